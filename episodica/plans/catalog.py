@@ -1,6 +1,8 @@
-"""The queries and their SQL forms."""
+"""All queries and their SQL forms."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph_queries, memory_queries, text_queries, vector_queries  # noqa: F401  enter their queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
