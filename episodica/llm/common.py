@@ -97,7 +97,7 @@ def offsets(df: DataFrame, group: list[str], amounts: dict[str, Column]) -> Data
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each id of edges (a, b; long) can reach. Ids without an edge to another have no row.
+    """(id, component): the smallest id that each id of edges (a, b; long) can reach, for each id but the smallest itself.
 
     Alternates large-star and small-star steps until nothing changes. A node with very many neighbours is aggregated
     before its shuffle and joined, so Spark can split it; each round's edges go to the shared folder."""
