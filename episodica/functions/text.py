@@ -24,13 +24,13 @@ def normalize(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """The multiset of words (over one ASCII letter or digit), CJK characters, and adjacent pairs of all of these characters.
 
-    Pairs run over spaces and punctuation. Takes any text; linear in its length."""
+    Pairs run over spaces and punctuation. Four regular expressions, no lambda, so it stays in generated code; linear in
+    the text's length. Where the tokens are used more than once, make them a column first."""
     low = F.lower(normalize(text))
-    words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) > 1)
+    compact = F.regexp_replace(low, "[^a-z0-9一-鿿]+", "")
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), 0)
     cjk = F.regexp_extract_all(low, F.lit("[一-鿿]"), 0)
-    chars = F.regexp_extract_all(low, F.lit("[a-z0-9一-鿿]"), 0)
-    n = F.size(chars) - 1
-    pairs = F.when(n > 0, F.zip_with(F.slice(chars, 1, F.greatest(n, F.lit(0))), F.slice(chars, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, b))).otherwise(none())
+    pairs = F.regexp_extract_all(compact, F.lit("(?=(..))"), 1)
     return F.concat(words, cjk, pairs)
 
 
@@ -66,10 +66,8 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def density(text: Column, question: Column, answer: Column, profile: Profile) -> Column:
-    """Information density of a turn in [0, 1], unrounded; blank text has 0."""
-    clean = normalize(text)
-    all_tokens = tokens(clean)
+def density(clean: Column, all_tokens: Column, question: Column, answer: Column, profile: Profile) -> Column:
+    """Information density of a turn in [0, 1], unrounded, from its normalised text and that text's tokens; blank text has 0."""
     distinct = F.array_distinct(all_tokens)
     entities = F.size(F.filter(distinct, lambda t: any_of(t, profile.entity_types)))
     chars = F.length(F.replace(clean, F.lit(" "), F.lit("")))

@@ -48,11 +48,11 @@ def density(edges: DataFrame, nodes: DataFrame, event: str) -> DataFrame:
     return n.join(pairs, event, "left").select(event, F.when(F.col("n") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce("pairs", F.lit(0)) / possible)).alias("density"))
 
 
-def sparse_cosine(pairs: DataFrame, a: str, b: str, vectors: DataFrame) -> DataFrame:
-    """pairs with cos: the dot product of the unit sparse vectors (id, idx, w) of columns a and b; 0 where none is shared."""
-    left = vectors.select(F.col("id").alias("__a"), "idx", F.col("w").alias("__wa"))
-    right = vectors.select(F.col("id").alias("__b"), "idx", F.col("w").alias("__wb"))
-    ids = pairs.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
+def sparse_cosine(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """pairs, each once, with cos: the dot product of the unit sparse vectors (id, idx, w) of columns a (from left) and b (from right); 0 where no place is shared."""
+    left = left.select(F.col("id").alias("__a"), "idx", F.col("w").alias("__wa"))
+    right = (left if right is None else right.select(F.col("id").alias("__a"), "idx", F.col("w").alias("__wa"))).select(F.col("__a").alias("__b"), "idx", F.col("__wa").alias("__wb"))
+    ids = pairs.select(F.col(a).alias("__a"), F.col(b).alias("__b"))
     cos = ids.join(left, "__a").join(right, ["__b", "idx"]).groupBy("__a", "__b").agg(F.sum(F.col("__wa") * F.col("__wb")).alias("__cos"))
     return pairs.join(cos, (pairs[a] == cos["__a"]) & (pairs[b] == cos["__b"]), "left").withColumn("cos", F.coalesce("__cos", F.lit(0.0))).drop("__a", "__b", "__cos")
 

@@ -94,8 +94,7 @@ def drift_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
     e = span_events(s)
     t = s.select("event_id", "id", "ord", X.tokens(F.col("text")).alias("k"))
-    vectors = embed(t, "id", "k").unionByName(embed(e, "event_id", "k"))
-    return maintain.drift(t.withColumn("t", F.array_distinct("k")).drop("k"), e, vectors, least=0.66)
+    return maintain.drift(t.withColumn("t", F.array_distinct("k")).drop("k"), e, embed(t, "id", "k"), embed(e, "event_id", "k"), least=0.66)
 
 
 @query(

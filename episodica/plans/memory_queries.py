@@ -45,16 +45,15 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     t = turns(spark, sf_dir).where("valid")
     q = t.select("memory_id", F.concat(F.lit("q"), "id").alias("query_id"), F.col("ord").alias("q_ord"), X.tokens(F.col("question")).alias("k"))
     n = t.select("memory_id", F.concat(F.lit("n"), "id").alias("node_id"), "ord", "text", X.tokens(F.col("text")).alias("nk"), F.when(X.any_of(F.col("text"), P.critical), 0.7).otherwise(0.5).alias("importance"))
-    vectors = embed(q.select("query_id", "k"), "query_id", "k").unionByName(embed(n.select("node_id", "nk"), "node_id", "nk"))
+    query_vectors, node_vectors = embed(q, "query_id", "k"), embed(n, "node_id", "nk")
     q = q.withColumn("q_t", F.array_distinct("k")).drop("k")
     n = n.withColumn("t", F.array_distinct("nk")).drop("nk")
     pairs = q.join(n, "memory_id").where(F.col("ord") < F.col("q_ord")).withColumn("weight", V.decay((F.col("q_ord") - F.col("ord")) * 600, PARAMS.half_life))
-    pairs = edges.sparse_cosine(pairs, "query_id", "node_id", vectors)
-    score = V.node_score(F.col("cos"), X.overlap(F.col("q_t"), F.col("t")), F.col("importance"), F.col("weight"))
-    return q, n, pairs.withColumn("score", F.round(score, 9))
+    pairs = retrieve.score_pairs(pairs, query_vectors, node_vectors)
+    return q, n, pairs.withColumn("score", F.round("score", 9))
 
 
-@query(_ASKED + " SELECT query_id, node_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 8")
+@query(_ASKED + " SELECT query_id, node_id, rank, round(round(score, 9), 6) AS score FROM ranked WHERE rank <= 8")
 def query_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieve.entries(_asked(spark, sf_dir)[2])
     return hits.select(F.substring("query_id", 2, 99).alias("query_id"), F.substring("node_id", 2, 99).alias("node_id"), "rank", F.round("score", 6).alias("score"))
@@ -117,9 +116,9 @@ def _routed(spark: SparkSession, sf_dir: str, legacy: bool) -> DataFrame:
     s = spans(spark, sf_dir)
     e = span_events(s)
     t = s.select("memory_id", "id", "ts", X.tokens(F.col("text")).alias("k"), _keys_struct("text").alias("keys"))
-    vectors = embed(t, "id", "k").unionByName(embed(e, "event_id", "k"))
+    vectors = embed(t, "id", "k")
     t = t.withColumn("t", F.array_distinct("k")).drop("k")
-    return route.route(t, e, vectors, PARAMS, P, legacy).withColumn("score", F.round("score", 6))
+    return route.route(t, e, vectors, embed(e, "event_id", "k"), PARAMS, P, legacy).withColumn("score", F.round("score", 6))
 
 
 @query(_sql_route(f"0.52 * {_COS} + 0.18 * {_LEXICAL} + 0.30 * exp(-ln(2::DOUBLE) * abs(e.updated_at - t.ts) / 21600.0::DOUBLE) + CASE WHEN e.ord = m.last THEN 0.15 ELSE 0.0 END", True))
@@ -205,7 +204,7 @@ def entity_pairs(n: DataFrame, columns: list[str]) -> DataFrame:
     return resolve.scored_pairs(n.select("event_id", "kind", "id", "ord", "t", *columns), embed(n, "id", "k"), ["event_id", "kind"])
 
 
-@query(_NODES + f", r AS (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY round(score, 9) DESC, a_ord) AS n FROM sc) SELECT b_id AS id, CASE WHEN round(score, 9) >= {MERGE} THEN a_id END AS node, round(score, 6) AS score FROM r WHERE n = 1")
+@query(_NODES + f", r AS (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY round(score, 9) DESC, a_ord) AS n FROM sc) SELECT b_id AS id, CASE WHEN round(score, 9) >= {MERGE} THEN a_id END AS node, round(round(score, 9), 6) AS score FROM r WHERE n = 1")
 def entity_match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = entity_pairs(entity_nodes(spark, sf_dir), []).withColumn("score", F.round("score", 9))
     return resolve.best_match(pairs, MERGE).withColumn("score", F.round("score", 6))
@@ -302,8 +301,8 @@ def anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     s = spans(spark, sf_dir)
     e = span_events(s)
     hits = retrieve.entries(pairs).join(s.select(F.concat(F.lit("n"), "id").alias("node_id"), "event_id"), "node_id")
-    vectors = embed(turns(spark, sf_dir).where("valid").select(F.concat(F.lit("q"), "id").alias("query_id"), X.tokens(F.col("question")).alias("k")), "query_id", "k").unionByName(embed(e, "event_id", "k"))
-    a = retrieve.anchors(hits, e.select("event_id", "t", F.lit(1.0).alias("survival"), "ord"), q, vectors)
+    asked = turns(spark, sf_dir).where("valid").select(F.concat(F.lit("q"), "id").alias("query_id"), X.tokens(F.col("question")).alias("k"))
+    a = retrieve.anchors(hits, e.select("event_id", "t", F.lit(1.0).alias("survival"), "ord"), q, embed(asked, "query_id", "k"), embed(e, "event_id", "k"))
     return a, e, hits
 
 

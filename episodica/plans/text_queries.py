@@ -71,8 +71,8 @@ SCORED = f"{TURNS}, toks AS (SELECT *, {sql_tokens('text')} AS k FROM turns), sc
 
 
 def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir)
-    return t.withColumn("density", X.density(F.col("text"), F.col("question"), F.col("answer"), P))
+    t = turns(spark, sf_dir).withColumn("k", X.tokens(F.col("text")))
+    return t.withColumn("density", X.density(F.col("text"), F.col("k"), F.col("question"), F.col("answer"), P))
 
 
 @query(f"WITH {SCORED} SELECT id, round(density, 6) AS density FROM scored")

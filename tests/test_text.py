@@ -56,7 +56,8 @@ def test_key_match_and_fence(spark):
 
 
 def test_density_is_zero_for_blank(spark):
-    r = one(spark, b=X.density(F.lit("  "), F.lit(""), F.lit(""), P), f=X.density(F.lit("起火 疏散 灭火 救援 楼"), F.lit("q"), F.lit("a"), P))
+    text = F.lit("起火 疏散 灭火 救援 楼")
+    r = one(spark, b=X.density(F.lit(""), X.tokens(F.lit("")), F.lit(""), F.lit(""), P), f=X.density(text, X.tokens(text), F.lit("q"), F.lit("a"), P))
     assert r.b == 0.0 and 0.3 < r.f <= 1.0
 
 
