@@ -167,3 +167,8 @@ def strip_fence(text: Column) -> Column:
 def time_or(text: Column, as_of: Column) -> Column:
     """Digits with dots as a number, anything else as as_of."""
     return F.coalesce(F.when(text.rlike(r"^[0-9.]+$"), text.try_cast("double")), as_of)
+
+
+def fuse(before: Column, new: Column, alike_by: Column, profile: Profile, alike: float = 0.70, limit: int = 240) -> Column:
+    """A summary after a new one: as it was if they are alike, else both, cut."""
+    return F.when(alike_by > alike, before).otherwise(F.substring(F.concat(before, F.lit(profile.join), new), 1, limit))

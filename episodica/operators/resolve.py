@@ -80,3 +80,10 @@ def relation_edges(relations: DataFrame, nodes: DataFrame, event: str, label: st
 def by_time(nodes: DataFrame, group: str) -> DataFrame:
     """nodes with place: 1 for the first seen."""
     return nodes.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("last_seen", "id")))
+
+
+def replaced(nodes: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Nodes of the corrected events (event_id, at) with corrected and confidence: a node before the correction keeps a tenth."""
+    joined = nodes.join(corrections, "event_id")
+    old = F.col("ord") < F.col("at")
+    return joined.withColumn("corrected", old).withColumn("confidence", F.when(old, 0.1).otherwise(1.0))

@@ -76,3 +76,27 @@ def test_point_id(spark):
 
     for t in ("", "a", "turn_东"):
         assert one(spark, i=S.point_id(F.lit(t))).i == uuid.uuid5(uuid.NAMESPACE_DNS, t).hex
+
+
+def test_hooks(spark):
+    from episodica.operators import hooks
+
+    df = spark.createDataFrame([("ab cd", ["x", "y"]), (None, [])], "question string, lines array<string>")
+    r = df.select(hooks.embed(F.col("question")).alias("v"), hooks.embed(F.col("question"), lambda b: [[float(len(t))] for t in b]).alias("w")).collect()
+    assert abs(sum(x * x for x in r[0].v) - 1) < 1e-9 and not any(r[1].v) and r[0].w == [5.0]
+    assert [x.answer for x in hooks.answer(df, None, "K: ", "none", "; ").collect()] == ["K: x; y", "none"]
+    assert [x.answer for x in hooks.answer(df, lambda q, c: [f"{a}{len(b)}" for a, b in zip(q, c)], "", "", "").collect()] == ["ab cd2", "0"]
+    assert [x.summary for x in hooks.summarise(df, "question", lambda b: [t.upper() for t in b]).collect()] == ["AB CD", ""]
+    assert [x.summary for x in hooks.summarise(df, "question").collect()] == ["ab cd", ""]
+    items = df.select("question")
+    assert hooks.review(items) is items
+    assert hooks.review(items, lambda p: p.fillna("z")).count() == 2
+
+
+def test_state_document_round_trip(spark, tmp_path):
+    e = spark.createDataFrame([("m", 1, 2), ("m", 2, 3), ("n", 4, 5)], "memory_id string, source long, target long")
+    doc = S.state_document({"temporal": e, "causal": e.where("memory_id = 'n'")})
+    doc.write.json(str(tmp_path / "state"))
+    back = S.read_state(spark, str(tmp_path / "state"), doc.schema, "temporal")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, e.collect()))
+    assert S.read_state(spark, str(tmp_path / "state"), doc.schema, "causal").count() == 1
