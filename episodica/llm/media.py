@@ -9,7 +9,7 @@ files side by side: a numpy step reads the next symbol of every interval at once
 
 Cases: a null or empty text is one unit of zeros; texts of any length are stored whole (over 4 GB a file would pass
 65,535 samples a side; a Spark string can't be so long); equal texts give equal files; a file that isn't baseline JPEG
-of one component gives nulls (read_media); repeated rows are stored each; an empty table gives an empty table; other
+with its components in one scan gives nulls (read_media); repeated rows are stored each; an empty table gives an empty table; other
 columns stay, except those named as a result.
 """
 
@@ -160,26 +160,45 @@ def write(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Image:
+    """A parsed file. A scan holds one minimum coded unit (mcu) after another; units names the component of each block of an mcu."""
+
     width: int
     height: int
-    quant: np.ndarray
-    tables: bytes  # what the lookups are kept by
-    interval: int
+    quant: np.ndarray  # of the luminance
+    tables: tuple[bytes, ...]  # raw code tables: DC, AC of each component
+    units: tuple[int, ...]
+    sampling: tuple[int, int, int, int]  # of the luminance across and down, and the most of any component
+    interval: int  # mcus
     comment: bytes
     scan: bytes
-    blocks: np.ndarray = field(default=None)  # blocks x 64 coefficients in zigzag order, once decoded
+    coded: np.ndarray = field(default=None)  # blocks x 64 coefficients in zigzag order as they come, once decoded
+
+    @property
+    def mcus(self) -> tuple[int, int]:
+        """Mcus across and down."""
+        _, _, wide, high = self.sampling
+        return -(-self.width // (8 * wide)), -(-self.height // (8 * high))
 
     @property
     def across(self) -> int:
-        return -(-self.width // 8)
+        return -(-self.width * self.sampling[0] // (8 * self.sampling[2]))
 
     @property
     def down(self) -> int:
-        return -(-self.height // 8)
+        return -(-self.height * self.sampling[1] // (8 * self.sampling[3]))
+
+    @property
+    def blocks(self) -> np.ndarray | None:
+        """The luminance's blocks, row by row."""
+        if self.coded is None or len(self.units) == 1:
+            return self.coded
+        (wide, high), (h, v) = self.mcus, self.sampling[:2]
+        mine = self.coded.reshape(-1, len(self.units), UNIT)[:, [u == 0 for u in self.units]]
+        return mine.reshape(high, wide, v, h, UNIT).transpose(0, 2, 1, 3, 4).reshape(high * v, wide * h, UNIT)[: self.down, : self.across].reshape(-1, UNIT)
 
 
 def parse(data: bytes | None) -> Image | None:
-    """The markers of a baseline JPEG file of one component; None if it is something else."""
+    """The markers of a baseline JPEG file whose components share one scan; None if it is something else."""
     if not data or data[:2] != b"\xff\xd8":
         return None
     at, quants, huffman, frame, interval, comment = 2, {}, {}, None, 0, b""
@@ -203,42 +222,44 @@ def parse(data: bytes | None) -> Image | None:
                     huffman[body[0]] = body[1 : 17 + n]
                     body = body[17 + n :]
             elif marker == 0xC0:
-                frame = struct.unpack(">BHHB", body[:6]), body[6:]
+                frame = struct.unpack(">BHHB", body[:6]), [body[6 + 3 * i : 9 + 3 * i] for i in range(body[5])]
             elif marker == 0xDD:
                 (interval,) = struct.unpack(">H", body)
             elif marker == 0xFE:
                 comment = body
             elif marker == 0xDA:
-                (precision, height, width, n), component = frame
-                if n != 1 or body[0] != 1 or precision != 8:
+                (precision, height, width, n), components = frame
+                if body[0] != n or precision != 8 or not width or not height or [c[0] for c in components] != list(body[1 : 1 + 2 * n : 2]):
                     return None
-                dc, ac = huffman[body[2] >> 4], huffman[16 | body[2] & 15]
-                return Image(width, height, quants[component[2]], dc + ac, interval, comment, data[at:])
+                chosen = body[2 : 2 + 2 * n : 2]
+                tables = tuple(huffman[k] for c in chosen for k in (c >> 4, 16 | c & 15))
+                sides = [(c[1] >> 4, c[1] & 15) for c in components] if n > 1 else [(1, 1)]  # a lone component's blocks aren't grouped
+                units = tuple(i for i, (h, v) in enumerate(sides) for _ in range(h * v))
+                most = max(h for h, _ in sides), max(v for _, v in sides)
+                return Image(width, height, quants[components[0][2]], tables, units, (*sides[0], *most), interval, comment, data[at:])
             elif 0xC1 <= marker <= 0xCF or marker == 0xD9:
                 return None
     except (struct.error, IndexError, KeyError, TypeError, ValueError):
         return None
 
 
-_lookups: dict[bytes, np.ndarray] = {}
+_lookups: dict[tuple[bytes, ...], np.ndarray] = {}
 
 
-def _tables(raw: bytes) -> np.ndarray:
-    """The lookups for DC and AC codes, one after the other."""
+def _tables(raw: tuple[bytes, ...]) -> np.ndarray:
+    """The lookups of the code tables, one after the other."""
     if raw not in _lookups:
         if len(_lookups) > 64:
             _lookups.clear()
-        n = sum(raw[:16])
-        ac = raw[16 + n :]
-        _lookups[raw] = np.concatenate([lookup(list(raw[:16]), list(raw[16 : 16 + n])), lookup(list(ac[:16]), list(ac[16:]))])
+        _lookups[raw] = np.concatenate([lookup(list(t[:16]), list(t[16:])) for t in raw])
     return _lookups[raw]
 
 
 def decode(images: list[Image]) -> None:
-    """Sets blocks of images that share their code tables; None stays where the scan is broken."""
+    """Sets coded of images that share their code tables and units; None stays where the scan is broken."""
     if not images:
         return
-    table = _tables(images[0].tables)
+    table, units = _tables(images[0].tables), np.array(images[0].units)
     joined = np.frombuffer(b"".join(i.scan for i in images), np.uint8)
     sizes = np.array([len(i.scan) for i in images])
     image_at = np.cumsum(sizes) - sizes
@@ -251,10 +272,9 @@ def decode(images: list[Image]) -> None:
     gone[ff[after == 0] + 1] = True
     data = joined[~gone]
     begins = begins - np.concatenate([[0], np.cumsum(gone)])[begins]
-    counts = np.array([i.across * i.down for i in images])
-    step = np.array([i.interval or i.across * i.down for i in images])
-    lanes = -(-counts // step)
-    good = np.bincount(of, minlength=len(images)) == lanes
+    counts = np.array([i.mcus[0] * i.mcus[1] * len(units) for i in images])
+    step = np.array([i.interval * len(units) or n for i, n in zip(images, counts, strict=True)])
+    good = np.bincount(of, minlength=len(images)) == -(-counts // step)
     keep = good[of]
     of, begins = of[keep], begins[keep]
     first = np.cumsum(counts) - counts
@@ -274,9 +294,12 @@ def decode(images: list[Image]) -> None:
     broken = np.zeros(len(of), bool)
     while len(lane):
         bits = window[np.minimum(at, limit - 1) >> 3] << (at & 7).astype(np.uint64)
-        found = table[(bits >> np.uint64(48)).astype(np.int64) + ((k > 0) << 16)]
-        length, run, size = found >> 8, (found >> 4) & 15, found & 15
         ac = k > 0
+        which = ac.astype(np.int64)
+        if len(units) > 1:
+            which += 2 * units[(todo[lane] - left) % len(units)]
+        found = table[(bits >> np.uint64(48)).astype(np.int64) + (which << 16)]
+        length, run, size = found >> 8, (found >> 4) & 15, found & 15
         k += np.where(ac, run, 0)
         amount = ((bits << length.astype(np.uint64)) >> np.uint64(1) >> (63 - size).astype(np.uint64)).astype(np.int64)
         value = np.where(amount >> np.maximum(size - 1, 0) > 0, amount, amount - (1 << size.astype(np.int64)) + 1)
@@ -295,23 +318,27 @@ def decode(images: list[Image]) -> None:
         stay = left > 0
         if not stay.all():
             at, k, base, left, lane = at[stay], k[stay], base[stay], left[stay], lane[stay]
-    # DC terms are differences within an interval
-    dc = np.cumsum(out[:, 0].astype(np.int64))
-    for_block = np.zeros(len(out), np.int64)
+    # a DC term is the difference from the component's last one in the interval
     order = np.repeat(np.arange(len(of)), todo)
-    places = np.repeat(block0, todo) + np.arange(len(order)) - np.repeat(np.cumsum(todo) - todo, todo)
-    for_block[places] = (dc[block0] - out[block0, 0])[order]
-    out[:, 0] = dc - for_block
+    within = np.arange(len(order)) - np.repeat(np.cumsum(todo) - todo, todo)
+    places = np.repeat(block0, todo) + within
+    for c in range(int(units.max()) + 1):
+        mine = units[within % len(units)] == c
+        at_c, lane_c = places[mine], order[mine]
+        dc = np.cumsum(out[at_c, 0].astype(np.int64))
+        start = np.flatnonzero(np.diff(lane_c, prepend=-1) > 0)
+        before = dc[start] - out[at_c[start], 0]
+        out[at_c, 0] = dc - np.repeat(before, np.diff(np.append(start, len(lane_c))))
     good[of[broken]] = False
     for i, image in enumerate(images):
         if good[i]:
-            image.blocks = out[first[i] : first[i] + counts[i]]
+            image.coded = out[first[i] : first[i] + counts[i]]
 
 
 def thumbnail(image: Image) -> np.ndarray:
     """One luminance sample (0 to 255) for each block, from its DC term alone."""
     dc = image.blocks[:, 0] * int(image.quant[0])
-    return np.clip((dc + 4 * 257) // 8, 0, 255).astype(np.uint8).reshape(image.down, image.across)
+    return np.clip((dc + 4) // 8 + 128, 0, 255).astype(np.uint8).reshape(image.down, image.across)
 
 
 def average_hash(thumb: np.ndarray) -> str:
@@ -323,13 +350,13 @@ def average_hash(thumb: np.ndarray) -> str:
 def read(files: list[bytes | None]) -> list[Image | None]:
     """The images, decoded, of baseline JPEG files; None where a file is something else or broken."""
     images = [parse(f) for f in files]
-    by: dict[bytes, list[Image]] = {}
+    by: dict[tuple, list[Image]] = {}
     for i in images:
         if i is not None:
-            by.setdefault(i.tables, []).append(i)
+            by.setdefault((i.tables, i.units), []).append(i)
     for same in by.values():
         decode(same)
-    return [i if i is not None and i.blocks is not None else None for i in images]
+    return [i if i is not None and i.coded is not None else None for i in images]
 
 
 def feature(image: Image) -> str:
@@ -340,7 +367,7 @@ def feature(image: Image) -> str:
 def payload(image: Image) -> bytes:
     """What write() stored."""
     units = int(image.comment.split()[1])
-    return (image.blocks[:units] - 1).astype(np.uint8).tobytes()
+    return (image.coded[:units] - 1).astype(np.uint8).tobytes()
 
 
 FIELDS = [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
@@ -369,7 +396,7 @@ def store_texts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 
 
 def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
-    """rows (binary column media) with width, height, feature and thumbnail (bytes, a sample a block); nulls where it is no baseline JPEG of one component."""
+    """rows (binary column media) with width, height, feature and thumbnail (bytes, a sample a block); nulls where it is no baseline JPEG."""
     from collections.abc import Iterator
 
     import pyarrow as pa

@@ -251,6 +251,30 @@ def test_media_decodes_other_tables_and_zero_runs():
     assert image.blocks[0].tolist() == want.tolist()
 
 
+def test_media_decodes_colour_with_two_luminance_blocks_a_unit():
+    """Two mcus of luminance 2 x 1, blue and red, DC terms only, in intervals of one mcu; the last luminance block lies outside the image."""
+    dc, ac = {4: 2, 0: 2, 3: 3}, {0x00: 1}
+    codes_dc, codes_ac = media.huffman_codes(*media._spec(dc)), media.huffman_codes(*media._spec(ac))
+
+    def block(diff):
+        n = abs(diff).bit_length()
+        code, length = codes_dc[n]
+        end, end_length = codes_ac[0]
+        return format(code, f"0{length}b") + (format(diff if diff > 0 else diff + (1 << n) - 1, f"0{n}b") if n else "") + format(end, f"0{end_length}b")
+
+    scan = b""
+    for m, diffs in enumerate(([8, 5, -4, 0], [-9, 12, 0, 7])):
+        bits = "".join(map(block, diffs))
+        bits += "1" * (-len(bits) % 8)
+        scan += bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00") + (b"\xff\xd0" if m == 0 else b"\xff\xd9")
+    tables = b"".join(media._segment(0xC4, bytes([c << 4, *media._spec(t)[0], *media._spec(t)[1]])) for c, t in ((0, dc), (1, ac)))
+    frame = media._segment(0xC0, bytes([8, 0, 8, 0, 24, 3, 1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    data = b"\xff\xd8" + media._segment(0xDB, bytes([0] + [16] * 64)) + tables + frame + media._segment(0xDD, b"\0\1") + media._segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan
+    (image,) = media.read([data])
+    assert image.coded[:, 0].tolist() == [8, 13, -4, 0, -9, 3, 0, 7]
+    assert media.thumbnail(image).tolist() == [[144, 154, 110]]
+
+
 def test_media_columns(spark):
     df = odd(spark)
     for r in media.store_texts(df, media=True).collect():
