@@ -37,7 +37,8 @@ def ratio(product: Column, norm_a: Column, norm_b: Column) -> Column:
 def unit(v: Column) -> Column:
     """v at length 1; a zero vector stays."""
     n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    # the norm goes in as an array, made once; inside a lambda it would be computed for each component
+    return F.when(n == 0, v).otherwise(F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, m: x / m))
 
 
 def fuse(text: Column, visual: Column, saliency: Column) -> Column:
