@@ -48,12 +48,18 @@ def density(edges: DataFrame, nodes: DataFrame, event: str) -> DataFrame:
     return n.join(pairs, event, "left").select(event, F.when(F.col("n") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce("pairs", F.lit(0)) / possible)).alias("density"))
 
 
-def sparse_cosine(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """pairs, each once, with cos: the dot product of the unit sparse vectors (id, idx, w) of columns a (from left) and b (from right); 0 where no place is shared."""
-    left = left.select(F.col("id").alias("__a"), "idx", F.col("w").alias("__wa"))
-    right = (left if right is None else right.select(F.col("id").alias("__a"), "idx", F.col("w").alias("__wa"))).select(F.col("__a").alias("__b"), "idx", F.col("__wa").alias("__wb"))
-    ids = pairs.select(F.col(a).alias("__a"), F.col(b).alias("__b"))
-    cos = ids.join(left, "__a").join(right, ["__b", "idx"]).groupBy("__a", "__b").agg(F.sum(F.col("__wa") * F.col("__wb")).alias("__cos"))
+def sparse_cosine(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame, block: list[str], order: str | None = None) -> DataFrame:
+    """pairs, each once and inside a block, with cos: the dot product of the unit sparse vectors (block, id, idx, w) of columns a (from left) and b (from right); 0 where no place is shared.
+
+    Vectors meet by block and place, so only shared places make rows, summed before their shuffle. With order, a column
+    of the vectors, only those meet whose left one comes first."""
+    extra = [order] if order else []
+    x = left.select(*block, F.col("id").alias("__a"), "idx", F.col("w").alias("__wa"), *[F.col(c).alias("__oa") for c in extra])
+    y = right.select(*block, F.col("id").alias("__b"), "idx", F.col("w").alias("__wb"), *[F.col(c).alias("__ob") for c in extra])
+    met = x.join(y, [*block, "idx"])
+    if order:
+        met = met.where("__oa < __ob")
+    cos = met.groupBy("__a", "__b").agg(F.sum(F.col("__wa") * F.col("__wb")).alias("__cos"))
     return pairs.join(cos, (pairs[a] == cos["__a"]) & (pairs[b] == cos["__b"]), "left").withColumn("cos", F.coalesce("__cos", F.lit(0.0))).drop("__a", "__b", "__cos")
 
 
@@ -66,7 +72,7 @@ def pairs_within(rows: DataFrame, block: list[str], order: str) -> DataFrame:
 
 def coarse(events: DataFrame, vectors: DataFrame, half_life: float, profile: Profile, least: float = 0.24) -> DataFrame:
     """(memory_id, source, target, score, shared_terms) of events (memory_id, id, ord, t, k, updated_at) whose score is at least 0.24."""
-    pairs = sparse_cosine(pairs_within(events, ["memory_id"], "ord"), "a_id", "b_id", vectors)
+    pairs = sparse_cosine(pairs_within(events, ["memory_id"], "ord"), "a_id", "b_id", vectors, vectors, ["memory_id"], "ord")
     gap = F.abs(F.col("a_updated_at") - F.col("b_updated_at"))
     score = 0.62 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.22 * X.overlap(F.col("a_t"), F.col("b_t")) + 0.16 * F.exp(-gap / half_life)
     return pairs.withColumn("score", score).where(F.col("score") >= least).select("memory_id", F.col("a_id").alias("source"), F.col("b_id").alias("target"), "score", X.shared(F.col("a_t"), F.col("b_t"), profile).alias("shared_terms"))
@@ -74,7 +80,7 @@ def coarse(events: DataFrame, vectors: DataFrame, half_life: float, profile: Pro
 
 def similar(events: DataFrame, vectors: DataFrame, profile: Profile, least: float = 0.56, gate: bool = True) -> DataFrame:
     """(memory_id, source, target, a_ord, b_ord, score): events alike enough to be merged; a tenth where key entities differ."""
-    pairs = sparse_cosine(pairs_within(events, ["memory_id"], "ord"), "a_id", "b_id", vectors)
+    pairs = sparse_cosine(pairs_within(events, ["memory_id"], "ord"), "a_id", "b_id", vectors, vectors, ["memory_id"], "ord")
     score = 0.76 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.24 * X.overlap(F.col("a_t"), F.col("b_t"))
     if gate:
         score = F.when(X.key_match(F.col("a_keys"), F.col("b_keys"), profile) < 0.3, 0.1 * score).otherwise(score)

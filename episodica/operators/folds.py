@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,18 @@ def token_list(text: str | None) -> list[str]:
     return [w for w in _WORDS.findall(low) if len(w) > 1] + [c for c in chars if c >= "一"] + [a + b for a, b in zip(chars, chars[1:], strict=False)]
 
 
+@lru_cache(maxsize=1 << 16)
+def _hashed(token: str) -> tuple[int, float]:
+    h = hashlib.md5(token.encode()).hexdigest()
+    return int(h[:8], 16), 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+
+
 def vector(tokens: list[str], dim: int = DIM) -> np.ndarray:
     """The same hash embedding as functions.vector.hash_embedding, dense."""
     v = np.zeros(dim)
     for t in tokens:
-        h = hashlib.md5(t.encode()).hexdigest()
-        v[int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        place, sign = _hashed(t)
+        v[place % dim] += sign
     n = np.linalg.norm(v)
     return v / n if n else v
 
@@ -56,7 +63,9 @@ def jaccard(a: set, b: set) -> float:
 
 def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """Runs start() anew for each key and feeds it the key's rows, in order, in batches; what it returns are the result's rows."""
-    dealt = df.repartition(key).sortWithinPartitions(key, *order)
+    # a fixed number of partitions: small rows can be long work, so Spark shouldn't join them up by size
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, key).sortWithinPartitions(key, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, step = None, None
@@ -131,6 +140,38 @@ def cluster_turns(turns: DataFrame, p: Params, profile: Profile) -> DataFrame:
     return fold(turns.select("memory_id", "id", "ord", "ts", "text"), "memory_id", ["ord", "id"], start, "memory_id string, id string, ord long, cluster int")
 
 
+class Nodes:
+    """The nodes of one block: their vectors in a growing matrix, and for each token the nodes that have it."""
+
+    def __init__(self):
+        self.ids: list[str] = []
+        self.matrix = np.zeros((8, DIM))
+        self.sizes = np.zeros(8)
+        self.having: dict[str, list[int]] = {}
+
+    def add(self, node: str, v: np.ndarray, own: set[str]) -> None:
+        n = len(self.ids)
+        if n == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.matrix[n], self.sizes[n] = v, len(own)
+        self.ids.append(node)
+        for t in own:
+            self.having.setdefault(t, []).append(n)
+
+    def best(self, v: np.ndarray, own: set[str]) -> tuple[int, float]:
+        """The first of the nodes of highest score, and its score."""
+        n = len(self.ids)
+        if not n:
+            return -1, -1.0
+        met = [i for t in own for i in self.having.get(t, ())]
+        both = np.bincount(np.array(met, np.int64), minlength=n)
+        lexical = both / np.maximum(len(own) + self.sizes[:n] - both, 1)
+        scores = 0.70 * np.maximum(self.matrix[:n] @ v, 0.0) + 0.30 * lexical
+        i = int(scores.argmax())
+        return i, float(scores[i])
+
+
 def resolve_nodes(facts: DataFrame, threshold: float, by_class: bool = True) -> DataFrame:
     """(event_id, kind, fact_id, ord, name, node, created, score): each fact at the node it merges into, or makes.
 
@@ -138,29 +179,20 @@ def resolve_nodes(facts: DataFrame, threshold: float, by_class: bool = True) ->
     candidates are the event's nodes of the same class (of any class without by_class), the first best wins."""
 
     def start():
-        vectors: dict[str, list[np.ndarray]] = {}
-        sets: dict[str, list[set]] = {}
-        nodes: dict[str, list[str]] = {}
+        blocks: dict[str, Nodes] = {}
 
         def step(rows: pd.DataFrame) -> pd.DataFrame:
             made = []
             for kind, fact, name in zip(rows["kind"], rows["fact_id"], rows["name"], strict=True):
-                block = kind if by_class else ""
+                block = blocks.setdefault(kind if by_class else "", Nodes())
                 words = token_list(name)
                 own, v = set(words), vector(words)
-                best, score = -1, -1.0
-                if nodes.get(block):
-                    cos = np.array(vectors[block]) @ v
-                    all_scores = [0.70 * max(c, 0.0) + 0.30 * jaccard(own, s) for c, s in zip(cos, sets[block], strict=True)]
-                    best = int(np.argmax(all_scores))
-                    score = all_scores[best]
+                best, score = block.best(v, own)
                 if best >= 0 and score >= threshold:
-                    made.append((nodes[block][best], False, score))
-                    continue
-                nodes.setdefault(block, []).append(fact)
-                vectors.setdefault(block, []).append(v)
-                sets.setdefault(block, []).append(own)
-                made.append((fact, True, score if best >= 0 else None))
+                    made.append((block.ids[best], False, score))
+                else:
+                    made.append((fact, True, score if best >= 0 else None))
+                    block.add(fact, v, own)
             out = rows[["event_id", "kind", "fact_id", "ord", "name"]].copy()
             out["node"], out["created"], out["score"] = zip(*made, strict=True)
             return out

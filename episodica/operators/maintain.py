@@ -25,10 +25,10 @@ def rebuild_trigger(metrics: DataFrame) -> DataFrame:
 
 
 def drift(turns: DataFrame, events: DataFrame, turn_vectors: DataFrame, event_vectors: DataFrame, last: int = 10, least: float = 0.20) -> DataFrame:
-    """(event_id, id, drifts): an event's turns (event_id, id, ord, t); of its last ten, those unlike its summary (events: event_id, t) drift."""
+    """(event_id, id, drifts): an event's turns (event_id, id, ord, t); of its last ten, those unlike its summary (events: event_id, t) drift. Vectors: event_id, id, idx, w."""
     w = W.partitionBy("event_id").orderBy(F.desc("ord"))
     recent = turns.withColumn("__k", F.row_number().over(w)).join(events.select("event_id", F.col("t").alias("e_t")), "event_id")
-    scored = sparse_cosine(recent, "id", "event_id", turn_vectors, event_vectors)
+    scored = sparse_cosine(recent, "id", "event_id", turn_vectors, event_vectors, ["event_id"])
     score = 0.70 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.30 * X.overlap(F.col("t"), F.col("e_t"))
     return scored.select("event_id", "id", ((F.col("__k") <= last) & (score < least)).alias("drifts"))
 

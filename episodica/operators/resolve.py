@@ -16,7 +16,7 @@ def merge_score(cos: Column, a: Column, b: Column) -> Column:
 
 def scored_pairs(nodes: DataFrame, vectors: DataFrame, block: list[str]) -> DataFrame:
     """Pairs of nodes (block, id, ord, t) of one block, the earlier as a_*, with cos and score."""
-    pairs = sparse_cosine(pairs_within(nodes, block, "ord"), "a_id", "b_id", vectors)
+    pairs = sparse_cosine(pairs_within(nodes, block, "ord"), "a_id", "b_id", vectors, vectors, block, "ord")
     return pairs.withColumn("score", merge_score(F.col("cos"), F.col("a_t"), F.col("b_t")))
 
 

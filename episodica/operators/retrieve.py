@@ -13,7 +13,7 @@ from .edges import sparse_cosine
 
 def score_pairs(pairs: DataFrame, query_vectors: DataFrame, node_vectors: DataFrame) -> DataFrame:
     """Pairs of a query (query_id, q_t) and a node (node_id, t, importance, weight) of one memory, with cos and score."""
-    pairs = sparse_cosine(pairs, "query_id", "node_id", query_vectors, node_vectors)
+    pairs = sparse_cosine(pairs, "query_id", "node_id", query_vectors, node_vectors, ["memory_id"])
     return pairs.withColumn("score", V.node_score(F.col("cos"), X.overlap(F.col("q_t"), F.col("t")), F.col("importance"), F.col("weight")))
 
 
@@ -29,7 +29,7 @@ def entries(pairs: DataFrame, k: int = 8, least: float = 0.16) -> DataFrame:
 def anchors(hits: DataFrame, events: DataFrame, queries: DataFrame, query_vectors: DataFrame, event_vectors: DataFrame) -> DataFrame:
     """(query_id, event_id, score): the best of the events that a query's entry nodes lie in. events: event_id, t, survival, ord."""
     met = hits.select("query_id", "event_id").distinct().join(events, "event_id").join(queries.select("query_id", "q_t"), "query_id")
-    met = sparse_cosine(met, "query_id", "event_id", query_vectors, event_vectors)
+    met = sparse_cosine(met, "query_id", "event_id", query_vectors, event_vectors, ["memory_id"])
     q, t = F.col("q_t"), F.col("t")
     score = 0.48 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.20 * X.overlap(q, t) + 0.17 * X.coverage(q, t) + 0.15 * F.col("survival")
     met = met.withColumn("score", score)

@@ -18,7 +18,7 @@ def route(turns: DataFrame, events: DataFrame, turn_vectors: DataFrame, event_ve
     memory_id; the best is taken by an aggregate, so no memory is sorted."""
     counts = events.groupBy("memory_id").agg(F.count("*").alias("n_events"), F.max("ord").alias("last"))
     e = events.join(counts, "memory_id").select("memory_id", "event_id", "ord", "n_events", "updated_at", (F.col("ord") == F.col("last")).alias("newest"), F.col("t").alias("e_t"), F.col("keys").alias("e_keys"))
-    pairs = sparse_cosine(turns.join(e, "memory_id"), "id", "event_id", turn_vectors, event_vectors)
+    pairs = sparse_cosine(turns.join(e, "memory_id"), "id", "event_id", turn_vectors, event_vectors, ["memory_id"])
     cos, lexical = F.greatest(F.col("cos"), F.lit(0.0)), X.overlap(F.col("t"), F.col("e_t"))
     if legacy:
         score = 0.62 * cos + 0.22 * lexical + 0.16 * V.decay(F.col("ts") - F.col("updated_at"), p.half_life)

@@ -44,12 +44,12 @@ def initialise_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From turns to events with their frames, titles, nodes, edges and metrics: one row an event."""
     t = turns(spark, sf_dir).where("valid").withColumn("saliency", F.lit(0.0))
     c = folds.cluster_turns(t, CLUSTER, P).select("id", F.concat_ws("/", "memory_id", "cluster").alias("event_id"))
-    t = t.join(c, "id")
+    t = t.join(c, "id").persist()  # read by five branches
     frame = events.frame(t, "event_id", P)
     titles = events.titles(t, "event_id", P)
     facts = extract.facts(t, ["event_id", "id", "ord"], "text", P).withColumnRenamed("ord", "turn")
     facts = facts.select("event_id", "kind", F.concat_ws(":", "id", "pos").alias("fact_id"), (F.col("turn") * 100 + F.col("pos")).alias("ord"), F.col("chunk").alias("name"), "id", "pos", F.col("chunk"))
-    nodes = folds.resolve_nodes(facts, PARAMS.entity_merge)
+    nodes = folds.resolve_nodes(facts, PARAMS.entity_merge).persist()
     counts = nodes.groupBy("event_id").agg(F.count_if("created").alias("nodes"), F.count("*").alias("facts"))
     relations = extract.relations(facts, ["event_id", "id"], P)
     named = nodes.where("created").select("event_id", "name", F.col("node").alias("id"), "ord")
@@ -63,7 +63,7 @@ def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import edges
 
     e = talks(spark, sf_dir)
-    return folds.merge_plan(edges.similar(e.select("memory_id", "id", "ord", "t", "keys"), embed(e, "id", "k"), P))
+    return folds.merge_plan(edges.similar(e.select("memory_id", "id", "ord", "t", "keys"), embed(e, "id", "k", "memory_id", "ord"), P))
 
 
 @query()
@@ -94,7 +94,7 @@ def drift_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
     e = span_events(s)
     t = s.select("event_id", "id", "ord", X.tokens(F.col("text")).alias("k"))
-    return maintain.drift(t.withColumn("t", F.array_distinct("k")).drop("k"), e, embed(t, "id", "k"), embed(e, "event_id", "k"), least=0.66)
+    return maintain.drift(t.withColumn("t", F.array_distinct("k")).drop("k"), e, embed(t, "id", "k", "event_id"), embed(e.withColumn("id", F.col("event_id")), "id", "k", "event_id"), least=0.66)
 
 
 @query(

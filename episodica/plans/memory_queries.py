@@ -20,8 +20,9 @@ PARAMS = Params()
 BLOCK, SPAN = 20, 4
 
 
-def embed(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    return V.hash_embedding(rows.select(F.col(key).alias("id"), F.col(tokens).alias("k")), ["id"], "k", DIM)
+def embed(rows: DataFrame, key: str, tokens: str, *block: str) -> DataFrame:
+    """The sparse vectors of rows, with the columns of block."""
+    return V.hash_embedding(rows.select(F.col(key).alias("id"), F.col(tokens).alias("k"), *block), ["id", *block], "k", DIM)
 
 
 def _keys_struct(text: str):
@@ -45,7 +46,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     t = turns(spark, sf_dir).where("valid")
     q = t.select("memory_id", F.concat(F.lit("q"), "id").alias("query_id"), F.col("ord").alias("q_ord"), X.tokens(F.col("question")).alias("k"))
     n = t.select("memory_id", F.concat(F.lit("n"), "id").alias("node_id"), "ord", "text", X.tokens(F.col("text")).alias("nk"), F.when(X.any_of(F.col("text"), P.critical), 0.7).otherwise(0.5).alias("importance"))
-    query_vectors, node_vectors = embed(q, "query_id", "k"), embed(n, "node_id", "nk")
+    query_vectors, node_vectors = embed(q, "query_id", "k", "memory_id"), embed(n, "node_id", "nk", "memory_id")
     q = q.withColumn("q_t", F.array_distinct("k")).drop("k")
     n = n.withColumn("t", F.array_distinct("nk")).drop("nk")
     pairs = q.join(n, "memory_id").where(F.col("ord") < F.col("q_ord")).withColumn("weight", V.decay((F.col("q_ord") - F.col("ord")) * 600, PARAMS.half_life))
@@ -116,9 +117,9 @@ def _routed(spark: SparkSession, sf_dir: str, legacy: bool) -> DataFrame:
     s = spans(spark, sf_dir)
     e = span_events(s)
     t = s.select("memory_id", "id", "ts", X.tokens(F.col("text")).alias("k"), _keys_struct("text").alias("keys"))
-    vectors = embed(t, "id", "k")
+    vectors = embed(t, "id", "k", "memory_id")
     t = t.withColumn("t", F.array_distinct("k")).drop("k")
-    return route.route(t, e, vectors, embed(e, "event_id", "k"), PARAMS, P, legacy).withColumn("score", F.round("score", 6))
+    return route.route(t, e, vectors, embed(e, "event_id", "k", "memory_id"), PARAMS, P, legacy).withColumn("score", F.round("score", 6))
 
 
 @query(_sql_route(f"0.52 * {_COS} + 0.18 * {_LEXICAL} + 0.30 * exp(-ln(2::DOUBLE) * abs(e.updated_at - t.ts) / 21600.0::DOUBLE) + CASE WHEN e.ord = m.last THEN 0.15 ELSE 0.0 END", True))
@@ -150,7 +151,7 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coarse_graph(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     e = talks(spark, sf_dir)
-    return edges.coarse(e.select("memory_id", "id", "ord", "t", "updated_at"), embed(e, "id", "k"), PARAMS.half_life, P, least)
+    return edges.coarse(e.select("memory_id", "id", "ord", "t", "updated_at"), embed(e, "id", "k", "memory_id", "ord"), PARAMS.half_life, P, least)
 
 
 @query(_TALKS + f" SELECT memory_id, source, target, round(score, 6) AS score, array_to_string(list_sort(list_filter(list_intersect(ta, tb), lambda x: length(x) > 1 AND NOT list_contains({STOP}, x)))[1:6], '|') AS shared_terms FROM (SELECT *, 0.62 * cos + 0.22 * lexical + 0.16 * exp(-gap / 21600.0::DOUBLE) AS score FROM j) WHERE score >= 0.5")
@@ -161,7 +162,7 @@ def coarse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TALKS + f" SELECT memory_id, source, target, round(score, 6) AS score FROM (SELECT *, CASE WHEN {sql_key_match('a_', 'b_')} < 0.3 THEN 0.1 ELSE 1.0 END * (0.76 * cos + 0.24 * lexical) AS score FROM j) WHERE score >= 0.56")
 def similar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = talks(spark, sf_dir)
-    pairs = edges.similar(e.select("memory_id", "id", "ord", "t", "keys"), embed(e, "id", "k"), P)
+    pairs = edges.similar(e.select("memory_id", "id", "ord", "t", "keys"), embed(e, "id", "k", "memory_id", "ord"), P)
     return pairs.select("memory_id", "source", "target", F.round("score", 6).alias("score"))
 
 
@@ -201,7 +202,7 @@ def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_pairs(n: DataFrame, columns: list[str]) -> DataFrame:
-    return resolve.scored_pairs(n.select("event_id", "kind", "id", "ord", "t", *columns), embed(n, "id", "k"), ["event_id", "kind"])
+    return resolve.scored_pairs(n.select("event_id", "kind", "id", "ord", "t", *columns), embed(n, "id", "k", "event_id", "kind", "ord"), ["event_id", "kind"])
 
 
 @query(_NODES + f", r AS (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY round(score, 9) DESC, a_ord) AS n FROM sc) SELECT b_id AS id, CASE WHEN round(score, 9) >= {MERGE} THEN a_id END AS node, round(round(score, 9), 6) AS score FROM r WHERE n = 1")
@@ -301,8 +302,8 @@ def anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     s = spans(spark, sf_dir)
     e = span_events(s)
     hits = retrieve.entries(pairs).join(s.select(F.concat(F.lit("n"), "id").alias("node_id"), "event_id"), "node_id")
-    asked = turns(spark, sf_dir).where("valid").select(F.concat(F.lit("q"), "id").alias("query_id"), X.tokens(F.col("question")).alias("k"))
-    a = retrieve.anchors(hits, e.select("event_id", "t", F.lit(1.0).alias("survival"), "ord"), q, embed(asked, "query_id", "k"), embed(e, "event_id", "k"))
+    asked = turns(spark, sf_dir).where("valid").select("memory_id", F.concat(F.lit("q"), "id").alias("query_id"), X.tokens(F.col("question")).alias("k"))
+    a = retrieve.anchors(hits, e.select("event_id", "t", F.lit(1.0).alias("survival"), "ord"), q, embed(asked, "query_id", "k", "memory_id"), embed(e, "event_id", "k", "memory_id"))
     return a, e, hits
 
 
