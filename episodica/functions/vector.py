@@ -82,19 +82,12 @@ def hashed(token: Column, dim: int = 384) -> tuple[Column, Column]:
 def hash_embedding(df: DataFrame, keys: list[str], tokens: str, dim: int = 384) -> DataFrame:
     """(keys, idx, w): the hash embedding of each row's token multiset in sparse form, length 1; no rows for a text without tokens.
 
-    Summed by (keys, idx) before the shuffle; no dense vector is built."""
+    Rows are dealt out by their keys once; then a row's equal tokens are counted before they are hashed, and places are
+    summed, without another shuffle. No dense vector is built."""
     from pyspark.sql import Window as W
 
     place, sign = hashed(F.col("__t"), dim)
-    rows = df.select(*keys, F.explode(tokens).alias("__t")).select(*keys, place.alias("idx"), sign.alias("__s"))
-    sums = rows.groupBy(*keys, "idx").agg(F.sum("__s").alias("__w"))
+    counts = df.select(*keys, tokens).repartition(*keys).select(*keys, F.explode(tokens).alias("__t")).groupBy(*keys, "__t").agg(F.count("*").alias("__c"))
+    sums = counts.select(*keys, place.alias("idx"), (sign * F.col("__c")).alias("__s")).groupBy(*keys, "idx").agg(F.sum("__s").alias("__w"))
     length = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(W.partitionBy(*keys)))
     return sums.withColumn("__n", length).where("__n > 0 AND __w <> 0").select(*keys, "idx", (F.col("__w") / F.col("__n")).alias("w"))
-
-
-def dense_embedding(tokens: Column, dim: int = 384) -> Column:
-    """The same embedding as an array: one pass over the tokens, inside the row."""
-    place = F.transform(tokens, lambda t: hashed(t, dim)[0])
-    signed = F.zip_with(place, F.transform(tokens, lambda t: hashed(t, dim)[1]), lambda i, s: F.struct(i.alias("i"), s.alias("s")))
-    # the signed places, sorted, give each place's sum without a shuffle
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(signed, lambda x: x["i"] == k), F.lit(0.0), lambda a, x: a + x["s"])))
