@@ -106,10 +106,12 @@ def cascade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.cascade(temporal_edges(spark, sf_dir), gone, "event_id")
 
 
-@query(f"WITH {_COOCCUR}, e AS (SELECT DISTINCT user_id FROM p WHERE source = 'click' AND target = 'view') SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM e)")
+@query(f"WITH {_COOCCUR} SELECT DISTINCT user_id || '/' || day AS event_id FROM d WHERE (user_id, day) NOT IN (SELECT (user_id, day) FROM p)")
 def events_without_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
-    return edges.without_edges(users, [_cooccurring(spark, sf_dir).where("source = 'click' AND target = 'view'")], "user_id")
+    """Days of a user as events: those without a pair of types."""
+    day = F.concat_ws("/", "user_id", F.col("day").cast("string")).alias("event_id")
+    days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")).select(day).distinct()
+    return edges.without_edges(days, [_cooccurring(spark, sf_dir).select(day)], "event_id")
 
 
 @query(f"WITH {TURNS} SELECT memory_id, count(*) AS turns, count(*) FILTER (valid) AS valid_turns, count(*) FILTER (answer <> '') AS answered FROM turns GROUP BY ALL")
