@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -44,46 +45,61 @@ def zipf_scores(model: bytes) -> dict[str, float]:
 class Counter:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0  # of one byte that no piece covers
+        found: dict[str, set[int]] = {}
+        for p in scores:
+            if len(p) > 1:
+                found.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {end: sorted(n) for end, n in found.items()}  # of the pieces that end in these two characters
         self.clear()
 
     def clear(self) -> None:
-        self.root: list = [{}, 0.0, 0]  # children, forward score, pieces
-        self.nodes = 0
+        self.below: dict[int, int] = {}  # (node << 21 | character) to node; node 0 is the root
+        self.score, self.pieces = array("d", [0.0]), array("q", [0])  # of each node
         self.counts: dict[str, int] = {}
 
-    def _forward(self, word: str, end: int, path: list) -> tuple[float, int]:
-        """The forward score and pieces of word[:end] from those of the shorter prefixes."""
+    def _forward(self, word: str, end: int, path, score: array, pieces: array) -> None:
+        """Appends the forward score and pieces of word[:end] to those of its shorter prefixes, which lie at path."""
         scores = self.scores.get
-        n = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        last = path[end - 1]
-        best, pieces = last[1] + n * self.unknown, last[2] + n
-        for start in range(max(0, end - self.longest), end):
-            s = scores(word[start:end])
-            if s is not None:
-                node = path[start]
-                total, k = node[1] + s, node[2] + 1
-                if total > best or total == best and k < pieces:
-                    best, pieces = total, k
-        return best, pieces
+        c, last = word[end - 1], path[end - 1]
+        s = scores(c)
+        if s is None:
+            n = len(c.encode("utf-8", "surrogatepass"))
+            best, least = score[last] + n * self.unknown, pieces[last] + n
+        else:  # better than its bytes, each of which is below all pieces
+            best, least = score[last] + s, pieces[last] + 1
+        if end > 1:
+            for n in self.lengths.get(word[end - 2 : end], ()):
+                if n > end:
+                    break
+                s = scores(word[end - n : end])
+                if s is not None:
+                    at = path[end - n]
+                    total, k = score[at] + s, pieces[at] + 1
+                    if total > best or total == best and k < least:
+                        best, least = total, k
+        score.append(best)
+        pieces.append(least)
 
     def count(self, word: str) -> int:
         """Pieces of the best split of a pre-token."""
-        path, node, keep = [self.root], self.root, len(word) <= LONG
+        if len(word) > LONG:
+            score, pieces, path = array("d", [0.0]), array("q", [0]), range(len(word))
+            for end in range(1, len(word) + 1):
+                self._forward(word, end, path, score, pieces)
+            return pieces[-1]
+        below, score, pieces, node, path = self.below, self.score, self.pieces, 0, [0]
         for end, c in enumerate(word, 1):
-            below = node[0].get(c) if keep else None
-            if below is None:
-                below = [{}, *self._forward(word, end, path)]
-                if keep:
-                    node[0][c] = below
-                    self.nodes += 1
-            path.append(below)
-            node = below
-        return node[2]
+            edge = node << 21 | ord(c)
+            node = below.get(edge)
+            if node is None:
+                node = below[edge] = len(score)
+                self._forward(word, end, path, score, pieces)
+            path.append(node)
+        return pieces[node]
 
     def texts(self, texts: list[str | None]) -> list[list[int]]:
-        if self.nodes > NODES or len(self.counts) > NODES:
+        if len(self.score) > NODES or len(self.counts) > NODES:
             self.clear()
         words = [t.split(" ") if t else [] for t in texts]
         fresh = set(chain.from_iterable(words)).difference(self.counts)
