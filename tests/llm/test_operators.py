@@ -210,6 +210,14 @@ def test_vector_links(spark):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vector_passes_grow_with_the_label():
+    sizes = [0, 1, 1_000, 100_000, 10**7, 10**9, 10**11]
+    passes = [vector_dedup.passes_for(n, 0.98) for n in sizes]
+    assert passes == sorted(passes) and passes[0] == vector_dedup.LEAST_PASSES < passes[-1] < 100
+    for n, k in zip(sizes[3:], passes[3:]):
+        assert 1 - (1 - (1 - np.arccos(0.98) / np.pi) ** np.log2(n / vector_dedup.WINDOW)) ** k >= vector_dedup.RECALL
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50, 90)] + [(3, 1), (2, 3), (7, 7), (90, 50), (-5, 4)]
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
