@@ -142,13 +142,16 @@ def delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.delete_events(s, [], s.where("memory_id % 5 = 0"))[0].select("id", "status", "event_id")
 
 
-@query()
+@query(f"""WITH {TURNS}, h AS (SELECT id, sha1(unhex('{S.DNS}') || encode(id)) AS h FROM turns)
+SELECT id, h[1:12] || '5' || h[14:16] || substr('89ab', ('0x' || h[17:17])::INTEGER % 4 + 1, 1) || h[18:32] AS point_id FROM h""")
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version-5 ids of the turns."""
     return turns(spark, sf_dir).select("id", S.point_id(F.col("id")).alias("point_id"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS memory_id, event_id AS source, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target, event_type FROM events),
+f AS (SELECT *, {'source': source, 'target': target} AS edge FROM e WHERE target IS NOT NULL)
+SELECT memory_id, to_json(list(edge ORDER BY source, target))::VARCHAR AS temporal, to_json(list(edge ORDER BY source, target) FILTER (WHERE event_type = 'error'))::VARCHAR AS errors FROM f GROUP BY memory_id""")
 def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each memory with its lists of edges, as JSON."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")

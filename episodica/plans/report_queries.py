@@ -39,7 +39,12 @@ def coarse_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertices.unionByName(links)
 
 
-@query()
+@query(
+    _NODES
+    + """, n AS (SELECT event_id, list({'ord': ord, 'id': id, 'kind': kind, 'name': name, 'frequency': frequency} ORDER BY ord, id) AS nodes FROM nodes GROUP BY event_id),
+t AS (SELECT conv_id AS event_id, list({'ord': turn, 'role': role} ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id)
+SELECT event_id, to_json({'nodes': coalesce(nodes, []), 'turns': turns})::VARCHAR AS document FROM t LEFT JOIN n USING (event_id)"""
+)
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = entity_nodes(spark, sf_dir).select("event_id", "ord", "id", "kind", "name", "frequency")
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event_id"), F.col("turn").alias("ord"), "role")
