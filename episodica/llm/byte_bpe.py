@@ -94,8 +94,11 @@ class Codec:
                 todo.append(p)
             else:
                 self.known[p] = struct.pack("<I", rank)
-        for p, ids in zip(todo, self.model.encode([mapped(p.encode()) for p in todo], out_type=int, num_threads=1), strict=True):
-            self.known[p] = (np.array(ids, "<u4") - 1).astype("<u4").tobytes()
+        coded = self.model.encode([mapped(p.encode()) for p in todo], out_type=int, num_threads=1)
+        ids, at = (np.fromiter(chain.from_iterable(coded), "<u4") - 1).astype("<u4").tobytes(), 0
+        for p, n in zip(todo, map(len, coded), strict=True):
+            self.known[p] = ids[at : at + 4 * n]
+            at += 4 * n
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
