@@ -218,6 +218,39 @@ def test_vector_passes_grow_with_the_label():
         assert 1 - (1 - (1 - np.arccos(0.98) / np.pi) ** np.log2(n / vector_dedup.WINDOW)) ** k >= vector_dedup.RECALL
 
 
+def test_vector_links_of_a_label_with_a_common_mean(spark):
+    rng = np.random.default_rng(11)
+    pole = np.eye(64)[0]
+
+    def about_pole(x):
+        x = x - np.outer(x @ pole, pole)
+        return np.sqrt(0.9) * pole + np.sqrt(0.1) * x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    single = about_pole(rng.standard_normal((3000, 64)))
+    vectors = np.concatenate([single, about_pole(single[:400] + 0.027 * rng.standard_normal((400, 64)))])
+    near = vectors @ vectors.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = near.sum(1)
+    pairs = np.argwhere(near[:400, 3000:])
+    assert len(pairs) > 300
+    df = spark.createDataFrame(list(zip(range(len(vectors)), vectors.tolist(), [1] * len(vectors))), "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(vectors))] == links.tolist()
+    # by passes alone, as many as were measured
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(df, gain=0).collect()}
+    assert np.mean([got[i].component_id == got[3000 + j].component_id for i, j in pairs]) >= 0.99
+
+
+def test_vector_runs_longer_than_the_window(spark):
+    rng = np.random.default_rng(12)
+    # two far clouds, so tight that nearly all of a cloud shares its keys; each vector has one partner, 300 ids away
+    cloud = np.eye(8)[[0, 1] * 150] + 1e-4 * rng.standard_normal((300, 8))
+    vectors = np.concatenate([cloud, cloud + 1e-6 * rng.standard_normal((300, 8))])
+    df = spark.createDataFrame(list(zip(range(600), vectors.tolist(), [1] * 600)), "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(df, threshold=1 - 1e-10, gain=0).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(600)] == [(1, i % 300) for i in range(600)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50, 90)] + [(3, 1), (2, 3), (7, 7), (90, 50), (-5, 4)]
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
