@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Prose and names fall into few tokens of a tiktoken vocabulary, random strings into many. So a run of key characters
-with a letter and a digit whose characters per token are below RATIO is a secret of kind "random", unless it has the
-form of a known digest or identifier (hexadecimal digest lengths, UUIDs, dates, plain numbers) or meets a span that the
-patterns found already.
+whose characters per token are below RATIO is a secret of kind "random", unless it has the form of a known digest or
+identifier (hexadecimal digest lengths, UUIDs, dates, plain numbers). Below SURE characters a run in the letter case of a
+word, or with other signs in it, must be below STRICT. Of a run that meets spans of the patterns, the rest is tested.
+What the ratio doesn't tell from words is not found: runs below FLOOR characters, and runs cut to less by spaces, dots,
+brackets, quotes, colons, commas or other letters than ASCII.
 
 Cases: a null or empty text has no span; texts of any length are scanned whole; overlapping matches of one kind are
 taken leftmost, and kinds don't compete; repeated rows are scanned each; an empty table gives an empty table; other
@@ -26,9 +28,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is one match, so runs of 24 and more are the matches that stay
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+SIGNS = "!@#$%^&*~?"
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%^&*~?-]+")
+KEY = re.compile(r"[A-Za-z0-9+/_=-]+")
+WORD = re.compile(r"(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+)\Z")
 #: Characters a token below which a run counts as random. Base64 noise has about 1.4, hexadecimal noise 1.6, words over 2.5.
 RATIO = 2.0
+#: The same for runs that are shorter than SURE and written like a word, and for runs with other signs.
+STRICT = 1.5
+SURE = 18
+#: The shortest run that the ratio tells from words.
+FLOOR = 11
 #: Forms of digests and identifiers that are public by nature.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -55,16 +65,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
 
 
+def _outside(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What remains of a run outside the base spans, which are in order of their starts."""
+    out = []
+    for s, e, _ in base:
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
+def _random(run: str, enc, ratio: float) -> bool:
+    return len(run) >= FLOOR and not KNOWN.match(run) and len(run) < ratio * len(enc.encode_ordinary(run))
+
+
 def random_spans(text: str, enc, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or KNOWN.match(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
+        if m.end() - m.start() < FLOOR:
             continue
-        if len(run) < RATIO * len(enc.encode_ordinary(run)):
-            out.append((m.start(), m.end(), "random"))
+        for start, end in _outside(m.start(), m.end(), base):
+            run = text[start:end].rstrip(SIGNS)
+            start, run = start + len(run) - len(run.lstrip(SIGNS)), run.lstrip(SIGNS)
+            if KEY.fullmatch(run) is None and any(c.isalpha() for c in run) and _random(run, enc, STRICT):
+                out.append((start, start + len(run), "random"))
+                continue
+            for k in KEY.finditer(run):
+                strict = len(k[0]) < SURE and WORD.match(k[0])
+                if _random(k[0], enc, STRICT if strict else RATIO):
+                    out.append((start + k.start(), start + k.end(), "random"))
     return out
 
 

@@ -133,6 +133,16 @@ def test_random_strings_are_found_and_known_forms_are_not(encoding):
     assert base == [] and [(text[s:e], k) for s, e, k in every] == [("xK9fQ2mZ8vL4pR7tW1yB5nC3", "random")]
 
 
+def test_short_letter_only_and_signed_random_strings_are_found(encoding):
+    sixteen, letters, signed, rest = "xK9fQ2mZ8vL4pR7t", "xKqfQbmZhvLwpRjtWcyB", "vR7#kq9Zx!mT2$wLp", "Zq8vXk2LmP9wRt5B"
+    text = f"use {sixteen} or {letters} or {signed} with password=abcdef12/+{rest} {'a1' * 12}{rest}!"
+    base, every = secrets.spans(text, encoding)
+    found = [text[s:e] for s, e, k in every if k == "random"]
+    assert found[:3] == [sixteen, letters, signed] and rest in found[-1]
+    prose = "Internationalisation, straightforward, Wirtschaftswissenschaft UNDERSTANDING!!! well-known user@mail snake_case_name"
+    assert secrets.spans(prose, encoding) == ([], [])
+
+
 def test_scan_and_redact_odd_rows(spark):
     df = odd(spark, [*ODD, "password=abcdef12 " + "0" * 40])
     got = secrets.scan(df, RANKS, PATTERN).collect()
