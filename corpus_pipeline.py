@@ -12,8 +12,12 @@ from episodica.llm.queries import RANKS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language was found: those that are und or ambiguous go; a null lang becomes the one found."""
-    found = lang_id.identify(docs).where("lang_pred <> 'und' AND NOT ambiguous")
+    """Documents with a letter, ambiguous ones too; a null lang becomes the one found, und where none was learned."""
+    model = lang_id.fit(lang_id.sample(docs, "doc_id", "text", "lang", lang_id.DOCS_PER_LANG))
+    found = lang_id.predict(docs, model)
+    # und is a text without a letter, unless nothing was learned or a language is named so
+    told = model.langs and "und" not in model.langs
+    found = found.where("lang_pred <> 'und'") if told else lang_id.with_letter(found)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -194,6 +194,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     return per_text(docs, text, fields, lambda: shared.value.predict, keep)
 
 
+def with_letter(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter. No shuffle."""
+    tested = per_text(docs, text, [T.StructField("__letter", T.BooleanType())], lambda: lambda texts: [(grams(texts)[1] > 0).tolist()])
+    return tested.where("__letter").drop("__letter")
+
+
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = DOCS_PER_LANG, keep: list[str] | None = None) -> DataFrame:
     """Fits on docs' own labelled rows that are not held out, then predicts every row of docs."""
     return predict(docs, fit(sample(docs, doc_id, text, lang, per_lang)), text, keep)

@@ -33,5 +33,23 @@ def test_stages_and_columns(spark, data):
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in final.itertuples())
 
 
+def test_language_keeps_ambiguous_documents(spark, monkeypatch):
+    plain = lang_id.predict
+    monkeypatch.setattr(lang_id, "predict", lambda *a, **k: plain(*a, **k).selectExpr("* EXCEPT (ambiguous)", "true AS ambiguous"))
+    schema = "doc_id long, text string, lang string"
+    words = {"aa": "the house of the river and the stone", "bb": "der Fluss und das Haus mit dem Stein"}
+    rows = [(i, words[k], k) for i, k in enumerate(["aa", "bb"] * 40)]
+    rows += [(102, "12 + 3", "aa"), (103, None, "bb"), (104, "zq", None)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert set(kept) == {r[0] for r in rows} - {102, 103}
+    assert all(kept[i] == k for i, _, k in rows if k and i in kept) and set(kept.values()) == set(words)
+
+
+def test_language_keeps_documents_when_nothing_was_learned(spark):
+    docs = spark.createDataFrame([(1, "a house", None), (2, "1 2", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.language(spark, docs, "").collect()] == [(1, "a house", "und")]
+
+
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
