@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +80,12 @@ def hashed(token: Column, dim: int = 384) -> tuple[Column, Column]:
     return place.cast("int"), sign
 
 
+def place_and_sign(token: str, dim: int = 384) -> tuple[int, float]:
+    """hashed() for one token in Python."""
+    h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
+    return int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+
+
 def hash_embedding(df: DataFrame, keys: list[str], tokens: str, dim: int = 384) -> DataFrame:
     """(keys, idx, w): the hash embedding of each row's token multiset in sparse form, length 1; no rows for a text without tokens.
 

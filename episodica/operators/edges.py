@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..profile import Profile
+from .tiles import Pair, meet
 
 MAX_WEIGHT = 8.0
 
@@ -31,6 +32,13 @@ def accumulate(found: DataFrame, keys: list[str], delta: float, seen: str, evide
     return found.groupBy(*keys).agg(F.least(F.lit(MAX_WEIGHT), F.count("*") * delta).alias("weight"), F.count("*").alias("frequency"), F.max(seen).alias("last_seen"), F.array_sort(F.collect_set(evidence)).alias("evidence"))
 
 
+def insert_once(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row an edge key, as it was first found in order, with weight 1: later finds change nothing."""
+    rest = [c for c in found.columns if c not in keys and c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("__f")
+    return found.groupBy(*keys).agg(first).select(*keys, *[f"__f.{c}" for c in [*order, *rest]], F.lit(1.0).alias("weight"), F.lit(1).alias("frequency"))
+
+
 def cooccurrence(nodes: DataFrame, group: list[str], node: str, most: int = 10) -> DataFrame:
     """(group, source, target): unordered pairs of a group's distinct nodes, where it has 2 to 10 of them."""
     distinct = nodes.select(*group, node).distinct()
@@ -48,43 +56,31 @@ def density(edges: DataFrame, nodes: DataFrame, event: str) -> DataFrame:
     return n.join(pairs, event, "left").select(event, F.when(F.col("n") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce("pairs", F.lit(0)) / possible)).alias("density"))
 
 
-def sparse_cosine(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame, block: list[str], order: str | None = None) -> DataFrame:
-    """pairs, each once and inside a block, with cos: the dot product of the unit sparse vectors (block, id, idx, w) of columns a (from left) and b (from right); 0 where no place is shared.
+def _before(p: Pair) -> np.ndarray:
+    """Each unordered pair once: the earlier row on the left."""
+    return p.left.ord[:, None] < p.right.ord[None]
+
 
-    Vectors meet by block and place, so only shared places make rows, summed before their shuffle. With order, a column
-    of the vectors, only those meet whose left one comes first."""
-    extra = [order] if order else []
-    x = left.select(*block, F.col("id").alias("__a"), "idx", F.col("w").alias("__wa"), *[F.col(c).alias("__oa") for c in extra])
-    y = right.select(*block, F.col("id").alias("__b"), "idx", F.col("w").alias("__wb"), *[F.col(c).alias("__ob") for c in extra])
-    met = x.join(y, [*block, "idx"])
-    if order:
-        met = met.where("__oa < __ob")
-    cos = met.groupBy("__a", "__b").agg(F.sum(F.col("__wa") * F.col("__wb")).alias("__cos"))
-    return pairs.join(cos, (pairs[a] == cos["__a"]) & (pairs[b] == cos["__b"]), "left").withColumn("cos", F.coalesce("__cos", F.lit(0.0))).drop("__a", "__b", "__cos")
+def coarse(events: DataFrame, half_life: float, profile: Profile, least: float = 0.24) -> DataFrame:
+    """(memory_id, source, target, score, shared_terms) of events (memory_id, id, ord, k, t, updated_at) whose score is at least 0.24."""
 
+    def score(p: Pair) -> dict[str, np.ndarray]:
+        gap = np.abs(p.a("updated_at") - p.b("updated_at"))
+        return {"score": 0.62 * np.maximum(p.cos, 0) + 0.22 * p.overlap + 0.16 * np.exp(-gap / half_life)}
 
-def pairs_within(rows: DataFrame, block: list[str], order: str) -> DataFrame:
-    """Each unordered pair of rows of one block, the earlier as a_*, the later as b_*."""
-    a = rows.select(*block, *[F.col(c).alias(f"a_{c}") for c in rows.columns if c not in block])
-    b = rows.select(*block, *[F.col(c).alias(f"b_{c}") for c in rows.columns if c not in block])
-    return a.join(b, block).where(F.col(f"a_{order}") < F.col(f"b_{order}"))
+    found = meet(events, None, ["memory_id"], score, where=_before, least=least, numbers=(["updated_at"], []), stop=profile.stop)
+    return found.select("memory_id", F.col("a").alias("source"), F.col("b").alias("target"), "score", "shared_terms")
 
 
-def coarse(events: DataFrame, vectors: DataFrame, half_life: float, profile: Profile, least: float = 0.24) -> DataFrame:
-    """(memory_id, source, target, score, shared_terms) of events (memory_id, id, ord, t, k, updated_at) whose score is at least 0.24."""
-    pairs = sparse_cosine(pairs_within(events, ["memory_id"], "ord"), "a_id", "b_id", vectors, vectors, ["memory_id"], "ord")
-    gap = F.abs(F.col("a_updated_at") - F.col("b_updated_at"))
-    score = 0.62 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.22 * X.overlap(F.col("a_t"), F.col("b_t")) + 0.16 * F.exp(-gap / half_life)
-    return pairs.withColumn("score", score).where(F.col("score") >= least).select("memory_id", F.col("a_id").alias("source"), F.col("b_id").alias("target"), "score", X.shared(F.col("a_t"), F.col("b_t"), profile).alias("shared_terms"))
+def similar(events: DataFrame, profile: Profile, least: float = 0.56, gate: bool = True) -> DataFrame:
+    """(memory_id, source, target, a_ord, b_ord, score): events (memory_id, id, ord, k, t, keys) alike enough to be merged; a tenth where key entities differ."""
 
+    def score(p: Pair) -> dict[str, np.ndarray]:
+        s = 0.76 * np.maximum(p.cos, 0) + 0.24 * p.overlap
+        return {"score": np.where(p.key_match < 0.3, 0.1 * s, s) if gate else s}
 
-def similar(events: DataFrame, vectors: DataFrame, profile: Profile, least: float = 0.56, gate: bool = True) -> DataFrame:
-    """(memory_id, source, target, a_ord, b_ord, score): events alike enough to be merged; a tenth where key entities differ."""
-    pairs = sparse_cosine(pairs_within(events, ["memory_id"], "ord"), "a_id", "b_id", vectors, vectors, ["memory_id"], "ord")
-    score = 0.76 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.24 * X.overlap(F.col("a_t"), F.col("b_t"))
-    if gate:
-        score = F.when(X.key_match(F.col("a_keys"), F.col("b_keys"), profile) < 0.3, 0.1 * score).otherwise(score)
-    return pairs.withColumn("score", score).where(F.col("score") >= least).select("memory_id", F.col("a_id").alias("source"), F.col("b_id").alias("target"), "a_ord", "b_ord", "score")
+    found = meet(events, None, ["memory_id"], score, where=_before, least=least, keys=list(profile.key_patterns) if gate else [])
+    return found.select("memory_id", F.col("a").alias("source"), F.col("b").alias("target"), "a_ord", "b_ord", "score")
 
 
 def causal(items: DataFrame, nodes: DataFrame, event: str) -> DataFrame:
@@ -123,21 +119,23 @@ def expand(seeds: DataFrame, edges: DataFrame, least: float = 0.75) -> DataFrame
     return near.join(seeds, ["query_id", "node"], "left_anti")
 
 
-def bounded_paths(starts: DataFrame, edges: DataFrame, depth: int = 2, enqueue: float = 0.22, prune: float = 0.26, most: int = 6) -> DataFrame:
-    """(query_id, event, depth, path_score): events within two hops over coarse edges, fewest hops first, then the greatest product of scores; 6 at most.
+def bounded_paths(starts: DataFrame, edges: DataFrame, relevance: DataFrame, depth: int = 2, prune: float = 0.26, drift: float = 0.25, survival: float = 0.16, combined: float = 0.10, most: int = 6) -> DataFrame:
+    """(query_id, event, depth, path_score, rank): events within two hops over coarse edges, fewest hops first, then the greatest product of scores; 6 at most.
 
-    An edge below 0.22 isn't followed, one below 0.26 ends the path there."""
-    step = both_ways(edges.where(F.col("score") >= enqueue).select("source", "target", "score"))
+    starts: query_id, event; relevance: query_id, event, semantic, combined, survival. A path ends before an edge below 0.26,
+    and before an event that is over 0.25 less like the question than the start, has survived to less than 0.16, or
+    scores below 0.10 for the question."""
+    step = both_ways(edges.where(F.col("score") >= prune).select("source", "target", "score"))
+    anchor = relevance.join(starts.select("query_id", "event"), ["query_id", "event"]).select("query_id", F.col("semantic").alias("__anchor"))
+    fit = relevance.join(anchor, "query_id").where((F.col("__anchor") - F.col("semantic") <= drift) & (F.col("survival") >= survival) & (F.col("combined") >= combined)).select("query_id", F.col("event").alias("target"))
     here = starts.select("query_id", "event", F.lit(0).alias("depth"), F.lit(1.0).alias("path_score"))
     found = here
     for d in range(1, depth + 1):
-        here = here.join(step, here["event"] == step["source"]).where(F.col("score") >= prune)
+        here = here.join(step, here["event"] == step["source"]).join(fit, ["query_id", "target"])
         here = here.select("query_id", F.col("target").alias("event"), F.lit(d).alias("depth"), (F.col("path_score") * F.col("score")).alias("path_score"))
         here = here.groupBy("query_id", "event", "depth").agg(F.max("path_score").alias("path_score"))
         found = found.unionByName(here)
     best = W.partitionBy("query_id", "event").orderBy("depth", F.desc("path_score"))
     found = found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
-    rank = W.partitionBy("query_id").orderBy("depth", F.desc("path_score"), "event")
+    rank = W.partitionBy("query_id").orderBy("depth", F.desc(F.round("path_score", 9)), "event")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
-
-

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..functions.text import any_of
+from ..functions.text import any_of, local_summary, shared, token_set
 from ..profile import Params, Profile
 
 
@@ -32,6 +32,12 @@ def recent(turns: DataFrame, last: dict[str, tuple[str, int]]) -> DataFrame:
     return rows.groupBy("memory_id").agg(*sums)
 
 
+def consistency(scored: DataFrame, event: str, node: str, order: list[str], score: str, last: int = 8) -> DataFrame:
+    """scored with mean8, the mean of an event's last scores up to each row, and last8, their nodes."""
+    w = W.partitionBy(event).orderBy(*order).rowsBetween(1 - last, 0)
+    return scored.select(event, node, F.avg(score).over(w).alias("mean8"), F.collect_list(node).over(w).alias("last8"))
+
+
 def adjacent_pairs(nodes: DataFrame, event: str, node: str, order: list[str], threshold: float, weak: float = 0.16) -> DataFrame:
     """(event, source, target): neighbours in order, unpinned, one of them weak, with a cosine of at least threshold. nodes: v, weight, pinned."""
     w = W.partitionBy(event).orderBy(*order)
@@ -72,13 +78,43 @@ def frame(turns: DataFrame, event: str, profile: Profile) -> DataFrame:
     return turns.groupBy(event).agg(members.alias("members"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), importance.alias("importance"))
 
 
-def titles(turns: DataFrame, event: str, profile: Profile) -> DataFrame:
-    """(event, title, summary) from an event's first turns: the first critical word of the first three, else their first 18 characters; the first six distinct texts, joined, cut to 240."""
+def titles(turns: DataFrame, event: str, profile: Profile, previous: DataFrame | None = None, limit: int = 240) -> DataFrame:
+    """(event, title, summary) from an event's first turns (text normalised), and from previous (event, title, summary) if there is one.
+
+    Title: the first critical word in the first three texts; else their first three words that count; else the previous
+    title; else their first 18 characters. Summary: the previous one and the texts, the first six distinct, cut to 240."""
     first = turns.withColumn("__k", F.row_number().over(W.partitionBy(event).orderBy("ord"))).where("__k <= 6")
     texts = first.groupBy(event).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]).alias("six"))
-    head = F.array_join(F.slice("six", 1, 3), " ")
+    texts = texts.withColumn("head", F.array_join(F.slice("six", 1, 3), " ")).withColumn("__t", token_set(F.col("head")))
+    if previous is None:
+        texts = texts.withColumns({"__title": F.lit(None).cast("string"), "__summary": F.lit(None).cast("string")})
+    else:
+        texts = texts.join(previous.select(event, F.col("title").alias("__title"), F.col("summary").alias("__summary")), event, "left")
     title = F.when(F.lit(False), F.lit(None).cast("string"))
     for word in profile.critical:
-        title = title.when(F.contains(head, F.lit(word)), word + profile.title_suffix)
-    title = title.when(head == "", profile.default_title).otherwise(F.substring(head, 1, 18))
-    return texts.select(event, title.alias("title"), F.substring(F.array_join(F.array_distinct("six"), profile.join), 1, 240).alias("summary"))
+        title = title.when(F.contains("head", F.lit(word)), word + profile.title_suffix)
+    words = shared(F.col("__t"), F.col("__t"), profile, 3)
+    title = title.when(F.size(words) > 0, F.substring(F.array_join(words, " / "), 1, 18)).when(F.coalesce("__title", F.lit("")) != "", F.col("__title"))
+    title = title.when(F.col("head") == "", profile.default_title).otherwise(F.substring("head", 1, 18))
+    pieces = F.filter(F.concat(F.array(F.coalesce("__summary", F.lit(""))), "six"), lambda x: x != "")
+    return texts.select(event, title.alias("title"), F.substring(F.array_join(F.array_distinct(F.slice(pieces, 1, 6)), profile.join), 1, limit).alias("summary"))
+
+
+def last_texts(nodes: dict[str, DataFrame], k: int, event: str = "event_id") -> DataFrame:
+    """(event, last, n_nodes): the bodies of an event's last k nodes (event, ord, id, body), graph after graph, and how many it has."""
+    every = None
+    for place, n in enumerate(nodes.values()):
+        n = n.select(event, F.struct(F.lit(place).alias("graph"), "ord", "id", "body").alias("n"))
+        every = n if every is None else every.unionByName(n)
+    # the last k before they are gathered, so that an event of any size makes a short list
+    ranked = every.withColumn("__k", F.row_number().over(W.partitionBy(event).orderBy(F.desc("n"))))
+    last = F.transform(F.array_sort(F.collect_list(F.when(F.col("__k") <= k, F.col("n")))), lambda s: s["body"])
+    return ranked.groupBy(event).agg(last.alias("last"), F.count("*").alias("n_nodes"))
+
+
+def summary_pieces(previous: DataFrame, turns: DataFrame, profile: Profile) -> DataFrame:
+    """(event_id, ord, text): what an event's summary is fused from after its last turn: the summary before (event_id, summary), that turn's own, and the last three texts. turns: event_id, ord, question, answer, text."""
+    back = turns.withColumn("__k", F.row_number().over(W.partitionBy("event_id").orderBy(F.desc("ord")))).where("__k <= 3")
+    before = previous.select("event_id", F.lit(0).cast("long").alias("ord"), F.col("summary").alias("text"))
+    own = back.where("__k = 1").select("event_id", F.lit(1).cast("long").alias("ord"), local_summary(F.col("question"), F.col("answer"), F.lit("")).alias("text"))
+    return before.unionByName(own).unionByName(back.select("event_id", (5 - F.col("__k")).cast("long").alias("ord"), "text"))

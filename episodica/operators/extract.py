@@ -81,3 +81,32 @@ def relations(facts: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     rows = facts.withColumn("place", place["chunk"]).where("kind <> 'location' AND place IS NOT NULL")
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(order, "pos")))
     return rows.where(F.col("rank") <= RELATIONS).select(*keys, "rank", F.col("chunk").alias("source_text"), F.col("place").alias("target_text"), F.lit(profile.location_label).alias("relation_label"))
+
+
+def legacy_facts(df: DataFrame, keys: list[str], text: str, profile: Profile, visual: str | None = None, most: int = 8) -> DataFrame:
+    """(keys, kind, pos, name): chunks by the one-graph classes, each once and at most 8 a class; a visual description is one more, of class visual_evidence, cut to 80 characters."""
+    rows = chunk_rows(df, keys, text, profile)
+    rows = rows.select(*keys, classify(F.col("whole"), profile.legacy_classes, profile.legacy_other_class).alias("kind"), "pos", F.col("chunk").alias("name"))
+    if visual:
+        seen = df.where(F.col(visual) != "").select(*keys, F.lit("visual_evidence").alias("kind"), F.lit(CHUNKS).alias("pos"), F.substring(visual, 1, 80).alias("name"))
+        rows = rows.unionByName(seen)
+    first = rows.groupBy(*keys, "kind", "name").agg(F.min("pos").alias("pos"))
+    w = W.partitionBy(*keys, "kind").orderBy("pos")
+    return first.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def legacy_relations(facts: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:
+    """(keys, rank, source_text, target_text, relation_label): facts, class after class, that aren't places LOCATED_IN the first place, and the first hazard RELATES_TO the first incident; 10 at most."""
+    order = F.lit(len(classes))
+    for i, k in enumerate(classes):
+        order = F.when(F.col("kind") == k, i).otherwise(order)
+    whole = W.partitionBy(*keys)
+
+    def first(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.struct("pos", "name"))).over(whole)["name"]
+
+    rows = facts.withColumns({"__order": order, "__place": first("location"), "__hazard": first("hazard"), "__incident": first("incident")})
+    at = rows.where("kind <> 'location' AND __place IS NOT NULL").select(*keys, "__order", "pos", F.col("name").alias("source_text"), F.col("__place").alias("target_text"), F.lit("LOCATED_IN").alias("relation_label"))
+    meets = rows.where("__hazard IS NOT NULL AND __incident IS NOT NULL").select(*keys, F.lit(len(classes) + 1).alias("__order"), F.lit(0).alias("pos"), F.col("__hazard").alias("source_text"), F.col("__incident").alias("target_text"), F.lit("RELATES_TO").alias("relation_label")).distinct()
+    both = at.unionByName(meets).withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("__order", "pos")))
+    return both.where(F.col("rank") <= RELATIONS).select(*keys, "rank", "source_text", "target_text", "relation_label")

@@ -6,7 +6,6 @@ are dealt out by hash, so memories run side by side. A memory's own fold is seri
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -17,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.vector import place_and_sign
 from ..profile import Params, Profile
 
 DIM = 384
@@ -32,18 +32,15 @@ def token_list(text: str | None) -> list[str]:
     return [w for w in _WORDS.findall(low) if len(w) > 1] + [c for c in chars if c >= "一"] + [a + b for a, b in zip(chars, chars[1:], strict=False)]
 
 
-@lru_cache(maxsize=1 << 16)
-def _hashed(token: str) -> tuple[int, float]:
-    h = hashlib.md5(token.encode()).hexdigest()
-    return int(h[:8], 16), 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+_hashed = lru_cache(maxsize=1 << 16)(place_and_sign)
 
 
 def vector(tokens: list[str], dim: int = DIM) -> np.ndarray:
     """The same hash embedding as functions.vector.hash_embedding, dense."""
     v = np.zeros(dim)
     for t in tokens:
-        place, sign = _hashed(t)
-        v[place % dim] += sign
+        place, sign = _hashed(t, dim)
+        v[place] += sign
     n = np.linalg.norm(v)
     return v / n if n else v
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
-from ..profile import Params
-from .edges import cascade, sparse_cosine
+from ..profile import Params, Profile
+from .edges import cascade
 from .events import rekey
+from .resolve import compression_plan
+from .tiles import cosines
 
 
 def refresh(nodes: DataFrame, p: Params) -> DataFrame:
@@ -24,12 +26,12 @@ def rebuild_trigger(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("reason", reason).where("reason IS NOT NULL").select("event_id", "reason")
 
 
-def drift(turns: DataFrame, events: DataFrame, turn_vectors: DataFrame, event_vectors: DataFrame, last: int = 10, least: float = 0.20) -> DataFrame:
-    """(event_id, id, drifts): an event's turns (event_id, id, ord, t); of its last ten, those unlike its summary (events: event_id, t) drift. Vectors: event_id, id, idx, w."""
+def drift(turns: DataFrame, events: DataFrame, last: int = 10, least: float = 0.20) -> DataFrame:
+    """(event_id, id, drifts): an event's turns (event_id, id, ord, k); of its last ten, those unlike it (events: event_id, k; t of its summary) drift."""
     w = W.partitionBy("event_id").orderBy(F.desc("ord"))
-    recent = turns.withColumn("__k", F.row_number().over(w)).join(events.select("event_id", F.col("t").alias("e_t")), "event_id")
-    scored = sparse_cosine(recent, "id", "event_id", turn_vectors, event_vectors, ["event_id"])
-    score = 0.70 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.30 * X.overlap(F.col("t"), F.col("e_t"))
+    recent = turns.withColumn("__k", F.row_number().over(w)).join(events.select("event_id", F.col("k").alias("e_k"), F.col("t").alias("e_t")), "event_id")
+    scored = cosines(recent, "k", "e_k")
+    score = 0.70 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.30 * X.overlap(F.array_distinct("k"), F.col("e_t"))
     return scored.select("event_id", "id", ((F.col("__k") <= last) & (score < least)).alias("drifts"))
 
 
@@ -41,15 +43,63 @@ def split_plan(drifting: DataFrame) -> DataFrame:
     return joined.select("event_id", "id", F.when(F.col("drifts") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("event_id")).alias("new_event"))
 
 
-def compress(nodes: DataFrame, edges: DataFrame, into: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and a change log after folding (id, into), and pruning weak, unpinned, unimportant nodes; edges follow a folded node, and go with a pruned one."""
-    weak = ~F.col("pinned") & (F.col("active_weight") < p.compress) & (F.col("importance") < 0.70)
-    alive = nodes.join(into, "id", "left_anti")
-    pruned = alive.where(weak)
+def fold_into(nodes: DataFrame, edges: DataFrame, into: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph after some nodes went into others (id, into; a target stays): counts and times are rolled up into the target, its body takes the new ones that say something else, edges follow."""
+    joined = nodes.join(into, "id", "left").withColumn("__to", F.coalesce("into", "id"))
+    own = F.col("into").isNull()
+    texts = F.transform(F.array_sort(F.collect_list(F.when(~own, F.struct("ord", "body")))), lambda s: s["body"])
+    rest = [c for c in nodes.columns if c not in ("id", "frequency", "first_seen", "last_seen", "body")]
+    kept = F.max(F.when(own, F.struct("body", *rest)))
+    sums = joined.groupBy("__to").agg(F.sum("frequency").alias("frequency"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), kept.alias("k"), texts.alias("more"))
+    sums = sums.select(F.col("__to").alias("id"), "frequency", "first_seen", "last_seen", "k.*", "more")
+
+    def fuse(body: Column, new: Column) -> Column:
+        return X.fuse(body, new, X.overlap(X.token_set(body), X.token_set(new)), profile)
+
+    out = sums.withColumn("body", F.when(F.size("more") == 0, F.col("body")).otherwise(F.aggregate("more", F.col("body"), fuse)))
     moves = into.select(F.col("id").alias("old"), F.col("into").alias("kept"))
-    moved = rekey(rekey(edges, moves, "source"), moves, "target").where("source <> target").distinct()
-    log = into.select(F.lit("merged").alias("event_type"), "id").unionByName(pruned.select(F.lit("pruned").alias("event_type"), "id"))
-    return alive.where(~weak), cascade(moved, pruned, "id"), log
+    moved = rekey(rekey(edges, moves, "source"), moves, "target").where("source <> target")
+    return out.select(*nodes.columns), moved
+
+
+def runs(pairs: DataFrame, nodes: DataFrame, event: str, order: list[str]) -> DataFrame:
+    """(id, into): nodes of a run of adjacent pairs (source, target) go into the first of the run."""
+    w = W.partitionBy(event).orderBy(*order)
+    linked = nodes.join(pairs.select(F.col("target").alias("id"), F.lit(0).alias("__starts")).distinct(), "id", "left")
+    numbered = linked.select(event, "id", *[c for c in order if c != "id"], F.sum(F.coalesce("__starts", F.lit(1))).over(w).alias("__run"))
+    head = F.first("id").over(W.partitionBy(event, "__run").orderBy(*order))
+    return numbered.withColumn("into", head).where("id <> into").select("id", "into")
+
+
+def compress(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], p: Params, profile: Profile, merge: float | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
+    """The three graphs after compression, and a change log: weak entity nodes alike are merged, neighbouring stages alike are merged, weak and unimportant causal nodes go.
+
+    nodes: event_id, id, ord, kind or stage, body, k, pinned, weight, importance, frequency, first_seen, last_seen."""
+    entity = compression_plan(nodes["entity"], ["event_id", "kind"], p.entity_merge if merge is None else merge, p.compress)
+    order = ["start_time", "ord", "id"]
+    temporal = runs(stage_pairs(nodes["temporal"], order, p.temporal_merge if merge is None else merge, p.compress), nodes["temporal"], "event_id", order)
+    out, links = {}, {}
+    for name, into in (("entity", entity), ("temporal", temporal)):
+        out[name], links[name] = fold_into(nodes[name], edges[name], into, profile)
+    low = ~F.col("pinned") & (F.col("weight") < p.compress) & (F.col("importance") < 0.70)
+    gone = nodes["causal"].where(low).select("id")
+    out["causal"], links["causal"] = nodes["causal"].where(~low), cascade(edges["causal"], gone, "id")
+    log = entity.select(F.lit("entity_compressed").alias("event_type"), "id").unionByName(temporal.select(F.lit("temporal_compressed").alias("event_type"), "id")).unionByName(gone.select(F.lit("causal_pruned").alias("event_type"), "id"))
+    return out, links, log
+
+
+def stage_pairs(nodes: DataFrame, order: list[str], threshold: float, weak: float) -> DataFrame:
+    """(event_id, source, target): neighbouring stages, unpinned, one of them weak, whose token multisets k have a cosine of at least threshold."""
+    w = W.partitionBy("event_id").orderBy(*order)
+    n = nodes.select("event_id", F.col("id").alias("source"), "k", "weight", "pinned", *[F.lead(c).over(w).alias(f"b_{c}") for c in ("id", "k", "weight", "pinned")])
+    n = n.where(F.col("b_id").isNotNull() & ~F.col("pinned") & ~F.col("b_pinned") & ((F.col("weight") < weak) | (F.col("b_weight") < weak)))
+    return cosines(n, "k", "b_k").where(F.col("cos") >= threshold).select("event_id", "source", F.col("b_id").alias("target"))
+
+
+def move_turns(turns: DataFrame, moves: DataFrame) -> DataFrame:
+    """turns with the event that moves (id, new_event) gives them."""
+    m = moves.select(F.col("id").alias("__id"), "new_event")
+    return turns.join(m, turns["id"] == m["__id"], "left").withColumn("event_id", F.coalesce("new_event", "event_id")).drop("__id", "new_event")
 
 
 def delete_turns(turns: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

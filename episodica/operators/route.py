@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..functions import vector as V
 from ..profile import Params, Profile
-from .edges import sparse_cosine
+from .tiles import Pair, meet
 
 
-def route(turns: DataFrame, events: DataFrame, turn_vectors: DataFrame, event_vectors: DataFrame, p: Params, profile: Profile, legacy: bool = False) -> DataFrame:
+def route(turns: DataFrame, events: DataFrame, p: Params, profile: Profile, legacy: bool = False) -> DataFrame:
     """(id, event_id, score) for each turn that has an event in its memory: the best event, the earliest of equals, or null below the threshold.
 
-    turns: memory_id, id, ts, t, keys; events: memory_id, event_id, ord, updated_at, t, keys. An equi-join on
-    memory_id; the best is taken by an aggregate, so no memory is sorted."""
+    turns: memory_id, id, ord, ts, k, keys; events: memory_id, event_id, ord, updated_at, k, keys."""
     counts = events.groupBy("memory_id").agg(F.count("*").alias("n_events"), F.max("ord").alias("last"))
-    e = events.join(counts, "memory_id").select("memory_id", "event_id", "ord", "n_events", "updated_at", (F.col("ord") == F.col("last")).alias("newest"), F.col("t").alias("e_t"), F.col("keys").alias("e_keys"))
-    pairs = sparse_cosine(turns.join(e, "memory_id"), "id", "event_id", turn_vectors, event_vectors, ["memory_id"])
-    cos, lexical = F.greatest(F.col("cos"), F.lit(0.0)), X.overlap(F.col("t"), F.col("e_t"))
-    if legacy:
-        score = 0.62 * cos + 0.22 * lexical + 0.16 * V.decay(F.col("ts") - F.col("updated_at"), p.half_life)
-    else:
-        score = 0.52 * cos + 0.18 * lexical + 0.30 * V.decay(F.abs(F.col("updated_at") - F.col("ts")), p.half_life) + F.when(F.col("newest"), 0.15).otherwise(0.0)
-        score = F.when(X.key_match(F.col("keys"), F.col("e_keys"), profile) < 0.3, 0.15 * score).otherwise(score)
-    best = pairs.withColumn("score", score).groupBy("id").agg(F.max_by(F.struct("event_id", "score", "n_events"), F.struct("score", -F.col("ord"))).alias("b"))
-    threshold = F.when(F.col("b.n_events") <= 3, 0.55 * p.new_event).otherwise(p.new_event)
-    return best.select("id", F.when(F.col("b.score") >= threshold, F.col("b.event_id")).alias("event_id"), "b.score")
+    e = events.join(counts, "memory_id").withColumn("newest", F.col("ord") == F.col("last")).withColumn("id", F.col("event_id"))
+
+    def decay(age: np.ndarray) -> np.ndarray:
+        return np.exp2(-age / p.half_life)
+
+    def score(pair: Pair) -> dict[str, np.ndarray]:
+        cos = np.maximum(pair.cos, 0)
+        age = pair.a("ts") - pair.b("updated_at")
+        if legacy:
+            s = 0.62 * cos + 0.22 * pair.overlap + 0.16 * decay(np.maximum(age, 0))
+        else:
+            s = 0.52 * cos + 0.18 * pair.overlap + 0.30 * decay(np.abs(age)) + 0.15 * pair.b("newest")
+            s = np.where(pair.key_match < 0.3, 0.15 * s, s)
+        return {"score": s, "n_events": pair.b("n_events")}
+
+    met = meet(turns, e, ["memory_id"], score, top=1, numbers=(["ts"], ["updated_at", "newest", "n_events"]), keys=[] if legacy else list(profile.key_patterns), columns=["score", "n_events"])
+    best = met.groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct(F.col("b").alias("event_id"), "score", "n_events"), F.struct("score", -F.col("b_ord"))).alias("m"))
+    threshold = F.when(F.col("m.n_events") <= 3, 0.55 * p.new_event).otherwise(p.new_event)
+    return best.select("id", F.when(F.col("m.score") >= threshold, F.col("m.event_id")).alias("event_id"), "m.score")

@@ -45,6 +45,8 @@ class Profile:
     image_mark: str = "图像证据:"
     title_suffix: str = "态势"
     default_title: str = "火场态势"
+    #: how the context lines of events, entities, stages and causes begin
+    line_marks: tuple[str, str, str, str] = ("[事件]", "[实体]", "[时序]", "[因果]")
 
 
 # The word lists of the default profile.
@@ -154,12 +156,15 @@ ASCII = replace(
     image_mark="image:",
     title_suffix=" scene",
     default_title="scene",
+    line_marks=("[event]", "[entity]", "[stage]", "[cause]"),
 )
 
 
 @dataclass(frozen=True)
 class Params:
-    """Thresholds of the graph; the values are those of the rules' published defaults."""
+    """Thresholds of the graph.
+
+    Fixed values: those of the rules' published defaults."""
 
     cold_start: int = 6
     cluster: float = 0.24

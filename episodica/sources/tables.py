@@ -67,15 +67,24 @@ def repair_order(rows: DataFrame, known: DataFrame, group: str, key: str, place:
     return joined.select(group, key, F.row_number().over(w).alias("ord"))
 
 
-def state_document(edges: dict[str, DataFrame], memory: str = "memory_id") -> DataFrame:
-    """(memory, one list of edges a graph): the state of each memory as one row, for write.json."""
-    out = None
+def state_document(edges: dict[str, DataFrame], orders: dict[str, DataFrame] | None = None, memory: str = "memory_id") -> DataFrame:
+    """(memory, a list of ids in order for each of orders (memory, what they are ordered by, id), a list of edges for each graph): the state of each memory as one row."""
+    parts = {}
+    for name, o in (orders or {}).items():
+        rest = [c for c in o.columns if c not in (memory, "id")]
+        parts[name] = o.groupBy(memory).agg(F.transform(F.array_sort(F.collect_list(F.struct(*rest, "id"))), lambda s: s["id"]).alias(name))
     for name, e in edges.items():
-        lists = e.groupBy(memory).agg(F.array_sort(F.collect_list(F.struct(*[c for c in e.columns if c != memory]))).alias(name))
+        parts[name] = e.groupBy(memory).agg(F.array_sort(F.collect_list(F.struct(*[c for c in e.columns if c != memory]))).alias(name))
+    out = None
+    for lists in parts.values():
         out = lists if out is None else out.join(lists, memory, "full_outer")
     return out
 
 
+def write_state(document: DataFrame, path: str) -> None:
+    document.write.mode("overwrite").json(path)
+
+
 def read_state(spark: SparkSession, path: str, schema: T.StructType, graph: str) -> DataFrame:
     """The edges of one graph of a state document; a missing list is empty."""
     state = spark.read.schema(schema).json(path)
