@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import edges, events
+from ..operators import edges, events, report
 from ..profile import ASCII as P
 from ..profile import Params
 from ..sources import tables as S
-from .adapters import TURNS, quote, sql_any, table, turns
+from .adapters import TURNS, quote, sql_any, sql_tokens, table, turns
 from .registry import query
-from .text_queries import SCORED, scored_turns
-from .vector_queries import NODES, SQL_WEIGHT, timed_nodes, weighted_nodes
+from .text_queries import SCORED, STOP, scored_turns
+from .vector_queries import NODES, SQL_WEIGHT, centroids, timed_nodes, weighted_nodes
 
 COLD = Params()
 
@@ -28,10 +28,16 @@ def cold_start_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.cold_start(scored_turns(spark, sf_dir), COLD)
 
 
-@query("SELECT event_id, round(avg(value) OVER w, 6) AS mean8, list(event_id) OVER w AS last8 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)")
+@query(
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), c0 AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS i, unnest(v) AS x FROM e) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM c0 GROUP BY ALL),
+s AS (SELECT vec_id, label, list_inner_product(v, c) / sqrt(list_inner_product(v, v) * list_inner_product(c, c)) AS score FROM e JOIN c USING (label))
+SELECT vec_id, round(avg(score) OVER w, 6) AS mean8, array_to_string(list(vec_id) OVER w, '|') AS last8 FROM s WINDOW w AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)"""
+)
 def last8_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-7, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean8"), F.collect_list("event_id").over(w).alias("last8"))
+    """A vector's consistency is its cosine with its label's centre; the mean of the last eight."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v")).where("v IS NOT NULL")
+    scored = e.join(centroids(e, "label", "v"), "label").withColumn("score", V.cosine(F.col("v"), F.col("centre")))
+    return events.consistency(scored, "label", "vec_id", ["vec_id"], "score").select("vec_id", F.round("mean8", 6).alias("mean8"), F.array_join("last8", "|").alias("last8"))
 
 
 @query(
@@ -81,20 +87,22 @@ def edge_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.density(_cooccurring(spark, sf_dir), nodes, "user_id").withColumn("density", F.round("density", 6))
 
 
-@query(f"WITH {NODES}, w AS (SELECT *, {SQL_WEIGHT} AS weight FROM nodes) SELECT event_id, NOT pinned AND weight < 0.25 AND importance < 0.70 AS pruned FROM w")
+@query(f"WITH {NODES}, w AS (SELECT *, {SQL_WEIGHT} AS weight FROM nodes) SELECT event_id, NOT pinned AND weight < 0.16 AND importance < 0.70 AS pruned, NOT pinned AND weight < 0.25 AND importance < 0.70 AS pruned_at_025 FROM w")
 def prune_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted_nodes(spark, sf_dir).select("event_id", events.prunable(0.25).alias("pruned"))
+    """By the default threshold, and by one that more nodes fall under."""
+    return weighted_nodes(spark, sf_dir).select("event_id", events.prunable(COLD.compress).alias("pruned"), events.prunable(0.25).alias("pruned_at_025"))
 
 
 _FORGET = f"WITH {NODES}, f AS (SELECT *, CASE WHEN pinned THEN 1.0 ELSE least(1.0, exp(-ln(2::DOUBLE) * greatest(0, age) / 432000.0::DOUBLE) + 0.18 * importance) END AS survival FROM nodes)"
 
 
-@query(_FORGET + " SELECT event_id, CASE WHEN NOT pinned AND survival < 0.16 AND importance < 0.70 THEN 'forgotten' WHEN NOT pinned AND survival < 0.16 AND importance < 0.62 THEN 'skipped' ELSE 'kept' END AS verdict FROM f")
+@query(_FORGET + " SELECT event_id, NOT pinned AND survival < 0.16 AND importance < 0.70 AS forgotten, NOT pinned AND survival < 0.16 AND importance < 0.62 AS skipped, survival < 0.16 AND importance < 0.62 AS skipped_as_neighbour FROM f")
 def forget_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which nodes forgetting removes, and which a search passes over, met directly or as a neighbour."""
     n = timed_nodes(spark, sf_dir)
     n = n.withColumn("survival", V.legacy_survival(F.col("age"), F.col("importance"), F.col("pinned"), 432000.0))
-    low = ~F.col("pinned") & (F.col("survival") < 0.16)
-    return n.select("event_id", F.when(low & (F.col("importance") < 0.70), "forgotten").when(low & (F.col("importance") < 0.62), "skipped").otherwise("kept").alias("verdict"))
+    faded = F.col("survival") < 0.16
+    return n.select("event_id", (~F.col("pinned") & faded & (F.col("importance") < 0.70)).alias("forgotten"), (~F.col("pinned") & faded & (F.col("importance") < 0.62)).alias("skipped"), (faded & (F.col("importance") < 0.62)).alias("skipped_as_neighbour"))
 
 
 _FOLLOW = "t AS (SELECT user_id, event_id AS source, next AS target FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL)"
@@ -102,7 +110,7 @@ _FOLLOW = "t AS (SELECT user_id, event_id AS source, next AS target FROM (SELECT
 
 @query(_FORGET + f", g AS (SELECT event_id FROM f WHERE NOT pinned AND survival < 0.16 AND importance < 0.70), {_FOLLOW} SELECT user_id, source, target FROM t WHERE source NOT IN (SELECT event_id FROM g) AND target NOT IN (SELECT event_id FROM g)")
 def cascade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = forget_legacy(spark, sf_dir).where("verdict = 'forgotten'")
+    gone = forget_legacy(spark, sf_dir).where("forgotten")
     return edges.cascade(temporal_edges(spark, sf_dir), gone, "event_id")
 
 
@@ -115,18 +123,11 @@ def events_without_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {TURNS} SELECT memory_id, count(*) AS turns, count(*) FILTER (valid) AS valid_turns, count(*) FILTER (answer <> '') AS answered FROM turns GROUP BY ALL")
-def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir)
     return t.groupBy("memory_id").agg(F.count("*").alias("turns"), F.count_if("valid").alias("valid_turns"), F.count_if(F.col("answer") != "").alias("answered"))
 
 
-@query(f"WITH {TURNS}, r AS (SELECT memory_id, sum(length(text)) AS raw, sum(length(text[1:60])) AS kept FROM turns GROUP BY ALL) SELECT memory_id, round(CASE WHEN raw = 0 THEN 1.0 ELSE kept / raw::DOUBLE END, 4) AS ratio, round(greatest(0.0, 1 - CASE WHEN raw = 0 THEN 1.0 ELSE kept / raw::DOUBLE END), 4) AS saved FROM r")
-def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = turns(spark, sf_dir).groupBy("memory_id").agg(F.sum(F.length("text")).alias("raw"), F.sum(F.length(F.substring("text", 1, 60))).alias("kept"))
-    ratio = events.compression(F.col("kept"), F.col("raw"))
-    return r.select("memory_id", F.round(ratio, 4).alias("ratio"), F.round(F.greatest(F.lit(0.0), 1 - ratio), 4).alias("saved"))
-
-
 @query(
     """WITH prices(model, price) AS (VALUES ('A', 0.008), ('N', 0.02), ('R', 0.02)), u AS (SELECT l_returnflag AS model, sum(coalesce(l_quantity, 0))::DOUBLE AS i, sum(coalesce(l_linenumber, 0))::DOUBLE AS o FROM lineitem GROUP BY ALL)
 SELECT u.model, round(i / 1000 * price, 6)::DOUBLE AS input_cost, round(o / 1000 * price, 6)::DOUBLE AS output_cost, round(i / 1000 * price + o / 1000 * price, 6)::DOUBLE AS total_cost FROM u LEFT JOIN prices USING (model)"""
@@ -191,10 +192,11 @@ def edge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumn("ok", F.lit(True))
 
 
-@query("SELECT user_id, event_type, count(*) AS created FROM events WHERE event_id % 5 = 0 GROUP BY ALL")
+@query("SELECT user_id, event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS created, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS before FROM events GROUP BY ALL")
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    return S.delete(e, e.where("event_id % 5 <> 0"), ["event_id"]).groupBy("user_id", "event_type").agg(F.count("*").alias("created"))
+    """Nodes by user and type before an update in the middle of the table's time, and those that came with it."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return report.change_counts(e.where("ts < TIMESTAMP '2024-01-16'"), e, ["user_id", "event_type"], "event_id")
 
 
 @query("SELECT CASE WHEN user_id % 10 = 3 THEN user_id - 3 ELSE user_id END AS user_id, count(*) AS events, max(value) AS top FROM events GROUP BY 1")
@@ -216,10 +218,21 @@ def event_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.frame(t, "memory_id", P)
 
 
-@query(
-    f"""WITH {TURNS}, v AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY ord) AS n FROM turns WHERE valid), h AS (SELECT memory_id, array_to_string(list(text ORDER BY ord) FILTER (n <= 3), ' ') AS head, list(text ORDER BY ord) FILTER (n <= 6) AS six FROM v GROUP BY ALL)
-SELECT memory_id, CASE {' '.join(f"WHEN contains(head, {quote(w)}) THEN {quote(w + P.title_suffix)}" for w in P.critical)} ELSE head[1:18] END AS title,
-  array_to_string(list_transform(list_filter(list_zip(six, range(1, len(six) + 1)), lambda x: list_position(six, x[1]) = x[2]), lambda x: x[1]), '; ')[1:240] AS summary FROM h"""
-)
+_HEADS = f"v AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY ord) AS n FROM turns WHERE valid), h0 AS (SELECT memory_id, array_to_string(list(text ORDER BY ord) FILTER (n <= 3), ' ') AS head, list(text ORDER BY ord) FILTER (n <= 6) AS six FROM v GROUP BY ALL), h AS (SELECT *, list_sort(list_filter(list_distinct({sql_tokens('head')}), lambda x: length(x) > 1 AND NOT list_contains({STOP}, x)))[1:3] AS words FROM h0)"
+_TITLES = f"CASE {' '.join(f'WHEN contains(head, {quote(w)}) THEN {quote(w + P.title_suffix)}' for w in P.critical)} WHEN len(words) > 0 THEN array_to_string(words, ' / ')[1:18] ELSE head[1:18] END AS title"
+
+
+def _sql_summary(pieces: str) -> str:
+    return f"array_to_string(list_transform(list_filter(list_zip(({pieces})[1:6], range(1, len(({pieces})[1:6]) + 1)), lambda x: list_position(({pieces})[1:6], x[1]) = x[2]), lambda x: x[1]), '; ')[1:240]"
+
+
+@query(f"WITH {TURNS}, {_HEADS} SELECT memory_id, {_TITLES}, {_sql_summary('six')} AS summary FROM h")
 def event_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.titles(turns(spark, sf_dir).where("valid"), "memory_id", P)
+
+
+@query(f"WITH {TURNS}, {_HEADS}, one AS (SELECT *, {_TITLES}, {_sql_summary('six')} AS summary FROM h) SELECT memory_id, title, {_sql_summary('list_prepend(summary, six)')} AS summary FROM one")
+def event_titles_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles and summaries of events that have had some before."""
+    t = turns(spark, sf_dir).where("valid")
+    return events.titles(t, "memory_id", P, events.titles(t, "memory_id", P))

@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import vector as V
 from ..operators import edges, extract, resolve, retrieve, route
+from ..operators.tiles import Pair
 from ..profile import ASCII as P
 from ..profile import Params
-from .adapters import TURNS, quote, sql_any, sql_hits, sql_overlap, sql_tokens, table, turns
+from .adapters import TURNS, sql_any, sql_hits, sql_overlap, sql_tokens, table, turns
 from .registry import query
-from .text_queries import STOP, _sql_chunks, _sql_class, _sql_key, sql_key_match
-from .vector_queries import DIM, sql_embedding
+from .text_queries import _sql_chunks, _sql_class, _sql_key, sql_key_match
+from .vector_queries import sql_embedding
 
 PARAMS = Params()
-#: Conversations of one memory, where conversations stand for events, and turns of one event, where conversations stand for memories.
-BLOCK, SPAN = 20, 4
-
-
-def embed(rows: DataFrame, key: str, tokens: str, *block: str) -> DataFrame:
-    """The sparse vectors of rows, with the columns of block."""
-    return V.hash_embedding(rows.select(F.col(key).alias("id"), F.col(tokens).alias("k"), *block), ["id", *block], "k", DIM)
+#: Turns of one event, where conversations stand for memories.
+SPAN = 4
 
 
 def _keys_struct(text: str):
@@ -41,30 +37,38 @@ scored AS (SELECT p.*, 0.52 * greatest(coalesce(cos, 0), 0) + 0.18 * {sql_overla
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM scored WHERE score > 0.16)"""
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Queries, nodes, and scored pairs of a question and an earlier turn."""
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions, and turns as nodes."""
     t = turns(spark, sf_dir).where("valid")
-    q = t.select("memory_id", F.concat(F.lit("q"), "id").alias("query_id"), F.col("ord").alias("q_ord"), X.tokens(F.col("question")).alias("k"))
-    n = t.select("memory_id", F.concat(F.lit("n"), "id").alias("node_id"), "ord", "text", X.tokens(F.col("text")).alias("nk"), F.when(X.any_of(F.col("text"), P.critical), 0.7).otherwise(0.5).alias("importance"))
-    query_vectors, node_vectors = embed(q, "query_id", "k", "memory_id"), embed(n, "node_id", "nk", "memory_id")
-    q = q.withColumn("q_t", F.array_distinct("k")).drop("k")
-    n = n.withColumn("t", F.array_distinct("nk")).drop("nk")
-    pairs = q.join(n, "memory_id").where(F.col("ord") < F.col("q_ord")).withColumn("weight", V.decay((F.col("q_ord") - F.col("ord")) * 600, PARAMS.half_life))
-    pairs = retrieve.score_pairs(pairs, query_vectors, node_vectors)
-    return q, n, pairs.withColumn("score", F.round("score", 9))
+    q = t.select("memory_id", "id", "ord", X.tokens(F.col("question")).alias("k"))
+    n = t.select("memory_id", "id", "ord", "text", X.tokens(F.col("text")).alias("k"), F.when(X.any_of(F.col("text"), P.critical), 0.7).otherwise(0.5).alias("importance"))
+    return q, n
+
+
+def earlier(p: Pair) -> np.ndarray:
+    return p.right.ord[None] < p.left.ord[:, None]
+
+
+def _at_the_question(p: Pair) -> dict[str, np.ndarray]:
+    """The node score, with weights that decay until the question comes."""
+    weight = np.exp2(-600 * (p.left.ord[:, None] - p.right.ord[None]) / PARAMS.half_life)
+    return {"score": 0.52 * np.maximum(p.cos, 0) + 0.18 * p.overlap + 0.18 * p.b("importance") + 0.12 * weight}
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, n = asked(spark, sf_dir)
+    return retrieve.search(q, n, score=_at_the_question, where=earlier, numbers=([], ["importance"]))
 
 
 @query(_ASKED + " SELECT query_id, node_id, rank, round(round(score, 9), 6) AS score FROM ranked WHERE rank <= 8")
 def query_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieve.entries(_asked(spark, sf_dir)[2])
-    return hits.select(F.substring("query_id", 2, 99).alias("query_id"), F.substring("node_id", 2, 99).alias("node_id"), "rank", F.round("score", 6).alias("score"))
+    return retrieve.entries(_hits(spark, sf_dir)).select("query_id", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(_ASKED + ", h AS (SELECT node_id, count(*) AS n FROM ranked WHERE rank <= 8 GROUP BY ALL) SELECT t.id AS node_id, coalesce(h.n, 0) AS access FROM turns t LEFT JOIN h ON h.node_id = t.id WHERE t.valid")
 def access_reinforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, n, pairs = _asked(spark, sf_dir)
-    out = retrieve.reinforce(n.withColumn("access", F.lit(0)), retrieve.entries(pairs))
-    return out.select(F.substring("node_id", 2, 99).alias("node_id"), "access")
+    n = turns(spark, sf_dir).where("valid").select(F.col("id").alias("node_id"), F.lit(0).alias("access"))
+    return retrieve.reinforce(n, retrieve.entries(_hits(spark, sf_dir)))
 
 
 @query(
@@ -74,7 +78,7 @@ nx AS (SELECT * FROM (SELECT id AS source, lead(id) OVER (PARTITION BY memory_id
 SELECT DISTINCT s.query_id, b.target AS node FROM seeds s JOIN both_ways b ON b.source = s.node_id WHERE (s.query_id, b.target) NOT IN (SELECT (query_id, node_id) FROM seeds)"""
 )
 def legacy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = retrieve.seeds(_asked(spark, sf_dir)[2]).select(F.substring("query_id", 2, 99).alias("query_id"), F.substring("node_id", 2, 99).alias("node"))
+    s = retrieve.seeds(_hits(spark, sf_dir)).select("query_id", F.col("node_id").alias("node"))
     near = edges.follow(turns(spark, sf_dir).where("valid"), "memory_id", "id", ["ord"]).withColumn("weight", F.lit(1.0))
     return edges.expand(s, near)
 
@@ -94,7 +98,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_events(s: DataFrame) -> DataFrame:
     e = s.groupBy("memory_id", "event_id").agg(F.min("ord").alias("ord"), F.max("ts").alias("updated_at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return e.withColumn("k", X.tokens(F.col("text"))).withColumn("t", F.array_distinct("k")).withColumn("keys", _keys_struct("text"))
+    return e.withColumn("k", X.tokens(F.col("text"))).withColumn("keys", _keys_struct("text"))
 
 
 def _sql_route(score: str, gate: bool) -> str:
@@ -106,7 +110,7 @@ cs AS (SELECT p.id, p.event_id, sum(a.w * b.w) AS cos FROM p0 p JOIN v a ON a.id
 m AS (SELECT memory_id, count(*) AS n_events, max(ord) AS last FROM ev GROUP BY ALL),
 sc AS (SELECT t.id, e.event_id, e.ord, m.n_events, {gated} AS score FROM tk t JOIN ev e USING (memory_id) JOIN m USING (memory_id) LEFT JOIN cs c ON c.id = t.id AND c.event_id = e.event_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, ord) AS k FROM sc)
-SELECT id, CASE WHEN score >= CASE WHEN n_events <= 3 THEN 0.55 * {PARAMS.new_event} ELSE {PARAMS.new_event} END THEN event_id END AS event_id, round(score, 6) AS score FROM r WHERE k = 1"""
+SELECT id, CASE WHEN score >= CASE WHEN n_events <= 3 THEN 0.55 * {PARAMS.new_event} ELSE {PARAMS.new_event} END THEN event_id END AS event_id, round(round(score, 9), 6) AS score FROM r WHERE k = 1"""
 
 
 _LEXICAL = sql_overlap("list_distinct(t.k)", "list_distinct(e.k)")
@@ -115,11 +119,8 @@ _COS = "greatest(coalesce(c.cos, 0), 0)"
 
 def _routed(spark: SparkSession, sf_dir: str, legacy: bool) -> DataFrame:
     s = spans(spark, sf_dir)
-    e = span_events(s)
-    t = s.select("memory_id", "id", "ts", X.tokens(F.col("text")).alias("k"), _keys_struct("text").alias("keys"))
-    vectors = embed(t, "id", "k", "memory_id")
-    t = t.withColumn("t", F.array_distinct("k")).drop("k")
-    return route.route(t, e, vectors, embed(e, "event_id", "k", "memory_id"), PARAMS, P, legacy).withColumn("score", F.round("score", 6))
+    t = s.select("memory_id", "id", "ord", "ts", X.tokens(F.col("text")).alias("k"), _keys_struct("text").alias("keys"))
+    return route.route(t, span_events(s), PARAMS, P, legacy).withColumn("score", F.round("score", 6))
 
 
 @query(_sql_route(f"0.52 * {_COS} + 0.18 * {_LEXICAL} + 0.30 * exp(-ln(2::DOUBLE) * abs(e.updated_at - t.ts) / 21600.0::DOUBLE) + CASE WHEN e.ord = m.last THEN 0.15 ELSE 0.0 END", True))
@@ -132,55 +133,6 @@ def route_turns_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir, True)
 
 
-# --- conversations as events of a memory of twenty ---
-
-_TALKS = f"""WITH {TURNS}, c0 AS (SELECT memory_id AS id, memory_id::BIGINT // {BLOCK} AS memory_id, memory_id::BIGINT AS ord, max(ts) AS updated_at, array_to_string(list(text ORDER BY ord), ' ')[1:400] AS text FROM turns WHERE valid GROUP BY memory_id),
-ev AS (SELECT *, {sql_tokens('text')} AS k, {_KEY_COLUMNS} FROM c0), v AS ({sql_embedding('ev', 'id', 'k')}),
-p AS (SELECT a.memory_id, a.id AS source, b.id AS target, a.ord AS a_ord, b.ord AS b_ord, abs(a.updated_at - b.updated_at) AS gap, list_distinct(a.k) AS ta, list_distinct(b.k) AS tb, {', '.join(f'a.k_{k} AS a_{k}, b.k_{k} AS b_{k}' for k in P.key_patterns)} FROM ev a JOIN ev b ON a.memory_id = b.memory_id AND a.ord < b.ord),
-cs AS (SELECT p.source, p.target, sum(x.w * y.w) AS cos FROM p JOIN v x ON x.id = p.source JOIN v y ON y.id = p.target AND x.idx = y.idx GROUP BY ALL),
-j AS (SELECT p.*, greatest(coalesce(cos, 0), 0) AS cos, {sql_overlap('ta', 'tb')} AS lexical FROM p LEFT JOIN cs USING (source, target))"""
-
-
-def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir).where("valid")
-    e = t.groupBy(F.col("memory_id").alias("id")).agg(F.max("ts").alias("updated_at"), F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " "), 1, 400).alias("text"))
-    number = F.col("id").cast("long")
-    e = e.withColumn("ord", number).withColumn("memory_id", F.floor(number / BLOCK))
-    return e.withColumn("k", X.tokens(F.col("text"))).withColumn("t", F.array_distinct("k")).withColumn("keys", _keys_struct("text"))
-
-
-def coarse_graph(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
-    e = talks(spark, sf_dir)
-    return edges.coarse(e.select("memory_id", "id", "ord", "t", "updated_at"), embed(e, "id", "k", "memory_id", "ord"), PARAMS.half_life, P, least)
-
-
-@query(_TALKS + f" SELECT memory_id, source, target, round(score, 6) AS score, array_to_string(list_sort(list_filter(list_intersect(ta, tb), lambda x: length(x) > 1 AND NOT list_contains({STOP}, x)))[1:6], '|') AS shared_terms FROM (SELECT *, 0.62 * cos + 0.22 * lexical + 0.16 * exp(-gap / 21600.0::DOUBLE) AS score FROM j) WHERE score >= 0.5")
-def coarse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coarse_graph(spark, sf_dir, 0.5).withColumn("score", F.round("score", 6)).withColumn("shared_terms", F.array_join("shared_terms", "|"))
-
-
-@query(_TALKS + f" SELECT memory_id, source, target, round(score, 6) AS score FROM (SELECT *, CASE WHEN {sql_key_match('a_', 'b_')} < 0.3 THEN 0.1 ELSE 1.0 END * (0.76 * cos + 0.24 * lexical) AS score FROM j) WHERE score >= 0.56")
-def similar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = talks(spark, sf_dir)
-    pairs = edges.similar(e.select("memory_id", "id", "ord", "t", "keys"), embed(e, "id", "k", "memory_id", "ord"), P)
-    return pairs.select("memory_id", "source", "target", F.round("score", 6).alias("score"))
-
-
-@query(
-    _TALKS
-    + """, e AS (SELECT source, target, 0.62 * cos + 0.22 * lexical + 0.16 * exp(-gap / 21600.0::DOUBLE) AS score FROM j), s AS (SELECT source, target, score FROM e WHERE score >= 0.5 UNION ALL SELECT target, source, score FROM e WHERE score >= 0.5),
-h0 AS (SELECT DISTINCT memory_id AS query_id, arg_min(id, ord) OVER (PARTITION BY memory_id) AS event FROM ev), h1 AS (SELECT query_id, s.target AS event, max(score) AS path_score FROM h0 JOIN s ON s.source = h0.event GROUP BY ALL),
-h2 AS (SELECT query_id, s.target AS event, max(path_score * score) AS path_score FROM h1 JOIN s ON s.source = h1.event GROUP BY ALL),
-f AS (SELECT query_id, event, 0 AS depth, 1.0::DOUBLE AS path_score FROM h0 UNION ALL SELECT query_id, event, 1, path_score FROM h1 UNION ALL SELECT query_id, event, 2, path_score FROM h2),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id, event ORDER BY depth, path_score DESC) AS n FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, round(path_score, 9) DESC, event) AS rank FROM b WHERE n = 1)
-SELECT query_id, event, depth, round(path_score, 6) AS path_score, rank FROM r WHERE rank <= 6"""
-)
-def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = coarse_graph(spark, sf_dir, 0.5).select("source", "target", "score")
-    starts = talks(spark, sf_dir).groupBy(F.col("memory_id").alias("query_id")).agg(F.min_by("id", "ord").alias("event"))
-    return edges.bounded_paths(starts, g).withColumn("path_score", F.round("path_score", 6))
-
-
 # --- chunks of a conversation as entity nodes ---
 
 _NODES = f"""WITH d AS (SELECT conv_id, turn, {_sql_chunks('text')}[1:18] AS a FROM conversations), c AS (SELECT conv_id, turn, unnest(range(len(a))) AS pos, unnest(a) AS whole FROM d),
@@ -198,23 +150,18 @@ def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = extract.facts(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", P)
     n = f.groupBy(F.col("conv_id").alias("event_id"), "kind", F.col("chunk").alias("name")).agg(F.min(F.col("turn") * 100 + F.col("pos")).alias("ord"), F.count("*").alias("frequency"))
     n = n.withColumn("id", F.concat_ws(":", "event_id", "kind", "ord")).withColumn("turn", F.floor(F.col("ord") / 100))
-    return n.withColumn("k", X.tokens(F.col("name"))).withColumn("t", F.array_distinct("k"))
-
-
-def entity_pairs(n: DataFrame, columns: list[str]) -> DataFrame:
-    return resolve.scored_pairs(n.select("event_id", "kind", "id", "ord", "t", *columns), embed(n, "id", "k", "event_id", "kind", "ord"), ["event_id", "kind"])
+    return n.withColumn("k", X.tokens(F.col("name")))
 
 
 @query(_NODES + f", r AS (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY round(score, 9) DESC, a_ord) AS n FROM sc) SELECT b_id AS id, CASE WHEN round(score, 9) >= {MERGE} THEN a_id END AS node, round(round(score, 9), 6) AS score FROM r WHERE n = 1")
 def entity_match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = entity_pairs(entity_nodes(spark, sf_dir), []).withColumn("score", F.round("score", 9))
-    return resolve.best_match(pairs, MERGE).withColumn("score", F.round("score", 6))
+    return resolve.best_match(entity_nodes(spark, sf_dir), ["event_id", "kind"], MERGE).withColumn("score", F.round("score", 6))
 
 
 @query(_NODES + f", dd AS (SELECT event_id, count(*) AS pairs FROM sc WHERE score >= {MERGE} GROUP BY ALL), nn AS (SELECT event_id, count(*) AS node_count FROM nodes GROUP BY ALL) SELECT event_id, node_count, round(CASE WHEN node_count < 2 THEN 0.0 ELSE coalesce(pairs, 0) / node_count::DOUBLE END, 4) AS duplicate_ratio FROM nn LEFT JOIN dd USING (event_id)")
 def duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = entity_nodes(spark, sf_dir)
-    return resolve.duplicate_ratio(entity_pairs(n, []), n, "event_id", MERGE)
+    return resolve.duplicate_ratio(resolve.duplicates(n, ["event_id", "kind"], MERGE), n, "event_id")
 
 
 def _sql_evidence(side: str) -> str:
@@ -227,26 +174,64 @@ def _sql_signal(side: str) -> str:
 
 @query(_NODES + f", cp AS (SELECT * FROM sc WHERE {_sql_signal('b')} >= 0.3 AND a_turn <> b_turn AND cos < 0.5 AND {_sql_evidence('b')} > 1.3 * {_sql_evidence('a')}) SELECT a_id AS id, arg_min(b_id, b_ord) AS corrected_by FROM cp GROUP BY ALL")
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = entity_nodes(spark, sf_dir)
+    return resolve.corrections(evident_nodes(spark, sf_dir), ["event_id", "kind"])
+
+
+def evident_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_nodes() with evidence, signal and the columns that a correction sets."""
     evidence = X.evidence_weight(F.col("name"), F.col("frequency"), F.lit(0.5), (100 - F.col("turn")) * 600, PARAMS.half_life, P)
-    n = n.withColumn("evidence", evidence).withColumn("signal", X.conflict_signal(F.col("name"), P))
-    return resolve.first_correction(resolve.conflict_pairs(entity_pairs(n, ["turn", "evidence", "signal"])))
+    n = entity_nodes(spark, sf_dir).withColumn("evidence", evidence).withColumn("signal", X.conflict_signal(F.col("name"), P))
+    return n.withColumns({"corrected": F.lit(False), "weight": F.lit(1.0), "confidence": F.lit(1.0), "correction_source": F.lit("")})
+
+
+_NEXT = "nx AS (SELECT * FROM (SELECT event_id, id AS source, lead(id) OVER (PARTITION BY event_id ORDER BY ord, id) AS target FROM nodes) WHERE target IS NOT NULL)"
+_CORRECTED = _NODES + f", cp AS (SELECT * FROM sc WHERE {_sql_signal('b')} >= 0.3 AND a_turn <> b_turn AND cos < 0.5 AND {_sql_evidence('b')} > 1.3 * {_sql_evidence('a')}), co AS (SELECT a_id AS id, arg_min(b_id, b_ord) AS newer FROM cp GROUP BY ALL)"
+
 
+@query(_CORRECTED + """ SELECT n.id, co.id IS NOT NULL AS corrected, CASE WHEN co.id IS NULL THEN 1.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN co.id IS NULL THEN 1.0 ELSE 0.1 END::DOUBLE AS confidence, coalesce(newer, '') AS correction_source FROM nodes n LEFT JOIN co USING (id)""")
+def conflict_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node after the newer ones have corrected the older."""
+    n = evident_nodes(spark, sf_dir)
+    nodes, _, _ = resolve.resolve_conflicts(n, _next(n), ["event_id", "kind"])
+    return nodes.select("id", "corrected", F.round("weight", 6).alias("weight"), "confidence", "correction_source")
 
-@query(_NODES + f", al AS (SELECT * FROM sc WHERE a_ord % 7 <> 0 AND b_ord % 7 <> 0 AND score >= {MERGE}), f AS (SELECT DISTINCT b_id FROM al) SELECT b_id AS id, arg_min(a_id, a_ord) AS into FROM al WHERE a_id NOT IN (SELECT b_id FROM f) GROUP BY ALL")
+
+def _next(nodes: DataFrame) -> DataFrame:
+    return edges.follow(nodes, "event_id", "id", ["ord", "id"])
+
+
+@query(_CORRECTED + f", {_NEXT} SELECT 'edge' AS part, source AS id, target AS other FROM nx WHERE source NOT IN (SELECT id FROM co) AND target NOT IN (SELECT id FROM co) UNION ALL SELECT 'corrected', id, newer FROM co")
+def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that stay after corrections, and a log row for each correction."""
+    n = evident_nodes(spark, sf_dir)
+    _, stay, log = resolve.resolve_conflicts(n, _next(n), ["event_id", "kind"])
+    kept = stay.select(F.lit("edge").alias("part"), F.col("source").alias("id"), F.col("target").alias("other"))
+    return kept.unionByName(log.select(F.col("event_type").alias("part"), "id", F.col("by").alias("other")))
+
+
+#: The greedy walk: a node is gone where an earlier one that stays is like it, and goes into the first of these.
+_GREEDY = f""", al AS (SELECT b_id AS id, list(a_id ORDER BY a_ord) AS near FROM sc WHERE a_ord % 7 <> 0 AND b_ord % 7 <> 0 AND score >= {MERGE} GROUP BY ALL),
+nn AS (SELECT n.event_id, n.kind, n.id, row_number() OVER (PARTITION BY n.event_id, n.kind ORDER BY n.ord) AS place, coalesce(al.near, []) AS near FROM nodes n LEFT JOIN al USING (id)),
+walk AS (SELECT event_id, kind, 0::BIGINT AS place, []::VARCHAR[] AS stay, NULL::VARCHAR AS id, NULL::VARCHAR AS kept FROM (SELECT DISTINCT event_id, kind FROM nn)
+  UNION ALL SELECT nn.event_id, nn.kind, nn.place, CASE WHEN len(list_intersect(nn.near, w.stay)) > 0 THEN w.stay ELSE list_append(w.stay, nn.id) END, nn.id, list_filter(nn.near, lambda x: list_contains(w.stay, x))[1]
+  FROM walk w JOIN nn ON nn.event_id = w.event_id AND nn.kind = w.kind AND nn.place = w.place + 1),
+m AS (SELECT id, kept FROM walk WHERE kept IS NOT NULL)"""
+_RECURSIVE = _NODES.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def weak_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_nodes(spark, sf_dir).withColumn("pinned", F.lit(False)).withColumn("weight", F.when(F.col("ord") % 7 == 0, 0.5).otherwise(0.1))
+
+
+@query(_RECURSIVE + _GREEDY + " SELECT id, kept AS into FROM m")
 def compression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = entity_nodes(spark, sf_dir).withColumn("pinned", F.lit(False)).withColumn("weight", F.when(F.col("ord") % 7 == 0, 0.5).otherwise(0.1))
-    return resolve.compression_plan(entity_pairs(n, ["pinned", "weight"]), MERGE)
+    return resolve.compression_plan(weak_nodes(spark, sf_dir), ["event_id", "kind"], MERGE)
 
 
-@query(
-    _NODES
-    + f""", al AS (SELECT * FROM sc WHERE a_ord % 7 <> 0 AND b_ord % 7 <> 0 AND score >= {MERGE}), f AS (SELECT DISTINCT b_id FROM al), m AS (SELECT b_id AS id, arg_min(a_id, a_ord) AS into FROM al WHERE a_id NOT IN (SELECT b_id FROM f) GROUP BY ALL)
-SELECT coalesce(m.into, n.id) AS id, sum(frequency)::BIGINT AS frequency, min(turn) AS first_seen, max(turn) AS last_seen, array_to_string(list_sort(list_distinct(list(turn))), '|') AS turns FROM nodes n LEFT JOIN m USING (id) GROUP BY 1"""
-)
+@query(_RECURSIVE + _GREEDY + " SELECT coalesce(m.kept, n.id) AS id, sum(frequency)::BIGINT AS frequency, min(turn) AS first_seen, max(turn) AS last_seen, array_to_string(list_sort(list_distinct(list(turn))), '|') AS turns FROM nodes n LEFT JOIN m USING (id) GROUP BY 1")
 def node_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = entity_nodes(spark, sf_dir).withColumn("pinned", F.lit(False)).withColumn("weight", F.when(F.col("ord") % 7 == 0, 0.5).otherwise(0.1))
-    plan = resolve.compression_plan(entity_pairs(n, ["pinned", "weight"]), MERGE)
+    n = weak_nodes(spark, sf_dir)
+    plan = resolve.compression_plan(n, ["event_id", "kind"], MERGE)
     rows = n.select("id", "ord", "frequency", F.col("turn").alias("first_seen"), F.col("turn").alias("last_seen"), F.lit(0).alias("access"), F.lit(0.5).alias("importance"), F.array("turn").alias("turns"))
     out = resolve.roll_up(rows, plan)
     return out.select("id", "frequency", "first_seen", "last_seen", F.array_join(F.array_sort("turns"), "|").alias("turns"))
@@ -266,62 +251,3 @@ def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = resolve.relation_edges(r, entity_nodes(spark, sf_dir), "event_id", P.location_label)
     e = edges.accumulate(e.withColumn("at", F.lit(0)), ["event_id", "source", "target"], 0.9, "at", "at")
     return e.select("event_id", "source", "target", F.round("weight", 6).alias("weight"), "frequency")
-
-
-@query(
-    f"""WITH c AS (SELECT conv_id AS event_id, turn AS ord, {_sql_chunks('text')} AS a FROM conversations), n AS (SELECT event_id, ord, array_to_string(a[1:6], ' ') AS text FROM c), i AS (SELECT event_id, ord AS item, coalesce(a[1], '')[1:20] AS cause, coalesce(a[-1], '')[1:20] AS effect FROM c),
-m AS (SELECT i.event_id, item, arg_max(n.ord, n.ord) FILTER (contains(text, cause) OR contains(cause, text)) AS source, arg_max(n.ord, n.ord) FILTER (contains(text, effect) OR contains(effect, text)) AS target FROM i JOIN n ON n.event_id = i.event_id WHERE text <> '' AND cause <> '' AND effect <> '' GROUP BY ALL)
-SELECT * FROM m WHERE source IS NOT NULL AND target IS NOT NULL AND source <> target"""
-)
-def causal_edge_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event_id"), "turn", extract.chunks(F.col("text"), P).alias("a"))
-    n = c.select("event_id", F.col("turn").alias("node_id"), F.col("turn").alias("ord"), F.array_join(F.slice("a", 1, 6), " ").alias("text"))
-
-    def side(i: int):
-        return F.substring(F.coalesce(F.try_element_at("a", F.lit(i)), F.lit("")), 1, 20)
-
-    items = c.select("event_id", F.col("turn").alias("item"), side(1).alias("cause"), side(-1).alias("effect"))
-    return edges.causal(items, n, "event_id")
-
-
-# --- from a question to context lines ---
-
-_ANCHOR = (
-    _ASKED
-    + f""", {_SPANS}, {_EVENTS}, ei AS (SELECT event_id AS id, k FROM ev), ve AS ({sql_embedding('ei', 'id', 'k')}),
-m AS (SELECT DISTINCT r.query_id, g.event_id FROM ranked r JOIN g ON g.id = r.node_id WHERE r.rank <= 8),
-mc AS (SELECT m.query_id, m.event_id, sum(a.w * b.w) AS cos FROM m JOIN v a ON a.id = 'q' || m.query_id JOIN ve b ON b.id = m.event_id AND a.idx = b.idx GROUP BY ALL),
-ms AS (SELECT m.query_id, m.event_id, e.ord, e.text, 0.48 * greatest(coalesce(cos, 0), 0) + 0.20 * {sql_overlap('list_distinct(q.k)', 'list_distinct(e.k)')} + 0.17 * len(list_intersect(q.k, e.k)) / greatest(len(list_distinct(q.k)), 1)::DOUBLE + 0.15 * 1.0 AS score FROM m JOIN ev e USING (event_id) JOIN q ON q.id = m.query_id LEFT JOIN mc ON mc.query_id = m.query_id AND mc.event_id = m.event_id),
-an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS n FROM ms) WHERE n = 1)"""
-)
-
-
-def anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Anchor events of the questions, the events, and the entry nodes."""
-    q, n, pairs = _asked(spark, sf_dir)
-    s = spans(spark, sf_dir)
-    e = span_events(s)
-    hits = retrieve.entries(pairs).join(s.select(F.concat(F.lit("n"), "id").alias("node_id"), "event_id"), "node_id")
-    asked = turns(spark, sf_dir).where("valid").select("memory_id", F.concat(F.lit("q"), "id").alias("query_id"), X.tokens(F.col("question")).alias("k"))
-    a = retrieve.anchors(hits, e.select("event_id", "t", F.lit(1.0).alias("survival"), "ord"), q, embed(asked, "query_id", "k", "memory_id"), embed(e, "event_id", "k", "memory_id"))
-    return a, e, hits
-
-
-@query(_ANCHOR + " SELECT query_id, event_id, round(score, 6) AS score FROM an")
-def anchor_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, _ = anchored(spark, sf_dir)
-    return a.select(F.substring("query_id", 2, 99).alias("query_id"), "event_id", F.round("score", 6).alias("score"))
-
-
-@query(
-    _ANCHOR
-    + f""", l AS (SELECT query_id, 0 AS section, 0 AS place, '[event] ' || text[1:18] || ': ' || text[1:240] AS line FROM an UNION ALL
-SELECT query_id, 1, row_number() OVER (PARTITION BY r.query_id ORDER BY rank), '[turn] ' || t.text[1:120] FROM ranked r JOIN turns t ON t.id = r.node_id WHERE rank <= 8 AND r.query_id IN (SELECT query_id FROM an)),
-c AS (SELECT query_id, list(line ORDER BY section, place)[1:6] AS lines FROM l GROUP BY ALL) SELECT query_id, md5(array_to_string(lines, '|')) AS digest, len(lines) AS n, {quote('Known: ')} || array_to_string(lines[1:3], '; ') AS answer FROM c"""
-)
-def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, e, hits = anchored(spark, sf_dir)
-    head = a.join(e.select("event_id", "text"), "event_id").select("query_id", F.lit(0).alias("section"), F.lit(0).alias("place"), F.concat(F.lit("[event] "), F.substring("text", 1, 18), F.lit(": "), F.substring("text", 1, 240)).alias("line"))
-    rest = hits.select("query_id", F.lit(1).alias("section"), F.col("rank").alias("place"), F.concat(F.lit("[turn] "), F.substring("text", 1, 120)).alias("line"))
-    c = retrieve.context(head.unionByName(rest))
-    return c.select(F.substring("query_id", 2, 99).alias("query_id"), F.md5(F.array_join("lines", "|")).alias("digest"), F.size("lines").alias("n"), retrieve.rule_answer(F.col("lines"), "Known: ", "Nothing known.", "; ").alias("answer"))

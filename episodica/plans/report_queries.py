@@ -7,68 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import vector as V
-from ..operators import hooks, report, resolve, retrieve
+from ..operators import hooks, report, resolve
 from ..profile import ASCII as P
 from .adapters import TURNS, sql_overlap, sql_tokens, table, turns
-from .memory_queries import _ANCHOR, _ASKED, _NODES, _SPANS, _TALKS, _asked, anchored, coarse_graph, entity_nodes, spans, talks
+from .memory_queries import _ASKED, _NODES, _SPANS, asked, earlier, entity_nodes, spans
 from .registry import query
+from .text_queries import STOP
 
 
-@query(f"WITH {TURNS} SELECT id, length(question) AS q, length(answer) AS a, ts, valid, CASE WHEN NOT valid THEN 'rejected' WHEN ord > 2 THEN 'buffered' ELSE 'assigned' END AS status FROM turns WHERE valid")
+@query(f"WITH {TURNS} SELECT id, question, answer, text, ts, valid, CASE WHEN ord > 2 THEN 'buffered' ELSE 'assigned' END AS status, CASE WHEN ord <= 2 THEN memory_id END AS event_id, trim(regexp_replace(question || ' ' || answer || ' ', '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))[1:120] AS local_summary, '' AS candidate_node_ids, '' AS image_paths, '' AS visual_description, 'text' AS modality, 0.0::DOUBLE AS saliency_score FROM turns WHERE valid ORDER BY ts, id")
 def valid_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid turns that wait for an event, or have one, as the snapshot shows them: fourteen columns."""
     t = turns(spark, sf_dir).withColumn("status", F.when(~F.col("valid"), "rejected").when(F.col("ord") > 2, "buffered").otherwise("assigned"))
-    return report.turn_snapshot(report.buffered(t)).select("id", F.length("question").alias("q"), F.length("answer").alias("a"), "ts", "valid", "status")
-
-
-@query(
-    _NODES
-    + f""", t2 AS (SELECT conv_id AS event_id, count(*) AS turns FROM conversations GROUP BY ALL), n2 AS (SELECT event_id, count(*) AS nodes FROM nodes GROUP BY ALL), s2 AS (SELECT event_id, count(DISTINCT kind) AS kinds FROM nodes GROUP BY ALL)
-SELECT event_id, turns, coalesce(nodes, 0) AS nodes, coalesce(kinds, 0) AS kinds FROM t2 LEFT JOIN n2 USING (event_id) LEFT JOIN s2 USING (event_id)"""
-)
-def event_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = entity_nodes(spark, sf_dir)
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event_id"))
-    return report.counts({"turns": rows, "nodes": n, "kinds": n.select("event_id", "kind").distinct()}, "event_id")
-
-
-@query(_TALKS + " SELECT memory_id, id, 0.0::DOUBLE AS score, 'vertex' AS part FROM ev UNION ALL SELECT memory_id, source || '>' || target, round(score, 6), 'edge' FROM (SELECT *, 0.62 * cos + 0.22 * lexical + 0.16 * exp(-gap / 21600.0::DOUBLE) AS score FROM j) WHERE score >= 0.5")
-def coarse_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vertices = talks(spark, sf_dir).select("memory_id", "id", F.lit(0.0).alias("score"), F.lit("vertex").alias("part"))
-    links = coarse_graph(spark, sf_dir, 0.5).select("memory_id", F.concat_ws(">", "source", "target").alias("id"), F.round("score", 6).alias("score"), F.lit("edge").alias("part"))
-    return vertices.unionByName(links)
-
-
-@query(
-    _NODES
-    + """, n AS (SELECT event_id, list({'ord': ord, 'id': id, 'kind': kind, 'name': name, 'frequency': frequency} ORDER BY ord, id) AS nodes FROM nodes GROUP BY event_id),
-t AS (SELECT conv_id AS event_id, list({'ord': turn, 'role': role} ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id)
-SELECT event_id, to_json({'nodes': coalesce(nodes, []), 'turns': turns})::VARCHAR AS document FROM t LEFT JOIN n USING (event_id)"""
-)
-def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = entity_nodes(spark, sf_dir).select("event_id", "ord", "id", "kind", "name", "frequency")
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event_id"), F.col("turn").alias("ord"), "role")
-    return report.documents(t, {"nodes": n, "turns": t}, "event_id", "ord")
+    none, empty = F.lit(""), X.none()
+    t = t.withColumns({"event_id": F.when(F.col("ord") <= 2, F.col("memory_id")), "local_summary": X.local_summary(F.col("question"), F.col("answer"), none), "candidate_node_ids": F.array_join(empty, "|"), "image_paths": F.array_join(empty, "|"), "visual_description": X.visual_text(empty, none, P), "modality": X.modality(empty, none), "saliency_score": F.lit(0.0)})
+    return report.turn_snapshot(report.buffered(t)).orderBy("ts", "id")
 
 
 _COSINES = f"{_ASKED}, rk AS (SELECT *, round(coalesce(c.cos, 0), 4) AS semantic, round({sql_overlap('qt', 'nt')}, 4) AS lexical, round(0.7 * greatest(coalesce(c.cos, 0), 0) + 0.3 * {sql_overlap('qt', 'nt')}, 4) AS combined FROM pairs p LEFT JOIN cs c USING (query_id, node_id))"
 
 
-@query(_COSINES + ", o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, ord) AS rank FROM rk) SELECT query_id, node_id, rank, semantic, lexical, combined FROM o WHERE rank <= 10")
-def ranking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = report.ranking(_asked(spark, sf_dir)[2])
-    return out.select(F.substring("query_id", 2, 99).alias("query_id"), F.substring("node_id", 2, 99).alias("node_id"), "rank", "semantic", "lexical", "combined")
-
-
 @query(
-    _ANCHOR
-    + """, h AS (SELECT r.query_id, r.node_id, r.rank, g.event_id FROM ranked r JOIN g ON g.id = r.node_id WHERE r.rank <= 8), s AS (SELECT query_id, count(*) AS n_hits, count(DISTINCT event_id) AS n_events, array_to_string(list(node_id ORDER BY rank) FILTER (rank <= 4), '|') AS top4 FROM h GROUP BY ALL)
-SELECT s.query_id, n_hits, n_events, top4, an.event_id AS anchor FROM s LEFT JOIN an USING (query_id)"""
+    _COSINES
+    + f""", o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, ord) AS rank FROM rk)
+SELECT query_id, node_id, rank, semantic, lexical, combined, array_to_string(list_sort(list_filter(list_intersect(qt, nt), lambda x: length(x) > 1 AND NOT list_contains({STOP}, x)))[1:6], '|') AS shared, contains(t.text, 'thing') AS has_term FROM o JOIN turns t ON t.id = node_id WHERE rank <= 10"""
 )
-def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, hits = anchored(spark, sf_dir)
-    t = report.trace(hits.withColumn("node_id", F.substring("node_id", 2, 99)), a)
-    return t.select(F.substring("query_id", 2, 99).alias("query_id"), "n_hits", "n_events", F.array_join("top4", "|").alias("top4"), "anchor")
+def ranking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten likest earlier turns of each question, with their common terms, and which of them hold a term."""
+    q, n = asked(spark, sf_dir)
+    out = report.ranking(q, n, P, where=earlier)
+    held = n.select(F.col("id").alias("node_id"), F.contains("text", F.lit("thing")).alias("has_term"))
+    return out.withColumn("shared", F.array_join("shared", "|")).join(held, "node_id")
 
 
 #: JSON fields stand for classes here.
@@ -84,14 +53,26 @@ def extraction_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.array_join(entities, ",").alias("entities"), F.array_join(relations, ",").alias("relations"))
 
 
-@query(
-    f"WITH t AS (SELECT conv_id, turn, text[1:100] AS x, {sql_tokens('text[1:100]')} AS k FROM conversations), n AS (SELECT *, lag(x) OVER w AS px, lag(k) OVER w AS pk FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, CASE WHEN {sql_overlap('list_distinct(k)', 'list_distinct(pk)')} > 0.2 THEN px ELSE (px || '; ' || x)[1:240] END AS fused, (px || '; ' || x)[1:240] AS appended FROM n WHERE px IS NOT NULL"
-)
-def fuse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FUSED = f"WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x, {sql_tokens('text')} AS k FROM conversations), n AS (SELECT *, lag(x) OVER w AS px, lag(k) OVER w AS pk FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+
+
+def _fused(spark: SparkSession, sf_dir: str, alike: float) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 100).alias("x")).withColumn("k", X.token_set(F.col("x")))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("x")).withColumn("k", X.token_set(F.col("x")))
     t = t.withColumn("px", F.lag("x").over(w)).withColumn("pk", F.lag("k").over(w)).where("px IS NOT NULL")
-    return t.select("conv_id", "turn", X.fuse(F.col("px"), F.col("x"), X.overlap(F.col("k"), F.col("pk")), P, alike=0.2).alias("fused"), X.fuse(F.col("px"), F.col("x"), F.lit(0.0), P).alias("appended"))
+    return t.select("conv_id", "turn", X.fuse(F.col("px"), F.col("x"), X.overlap(F.col("k"), F.col("pk")), P, alike=alike).alias("fused"), X.fuse(F.col("px"), F.col("x"), F.lit(0.0), P).alias("appended"))
+
+
+@query(_FUSED + f" SELECT conv_id, turn, CASE WHEN {sql_overlap('list_distinct(k)', 'list_distinct(pk)')} > 0.7 THEN px ELSE (px || '; ' || x)[1:240] END AS fused, (px || '; ' || x)[1:240] AS appended FROM n WHERE px IS NOT NULL")
+def fuse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's text fused with the one before it."""
+    return _fused(spark, sf_dir, 0.70)
+
+
+@query(_FUSED + f" SELECT conv_id, turn, CASE WHEN {sql_overlap('list_distinct(k)', 'list_distinct(pk)')} > 0.2 THEN px ELSE (px || '; ' || x)[1:240] END AS fused, (px || '; ' || x)[1:240] AS appended FROM n WHERE px IS NOT NULL")
+def fuse_pairs_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at an overlap that invented prose reaches."""
+    return _fused(spark, sf_dir, 0.2)
 
 
 @query(_NODES + ", old AS (SELECT DISTINCT event_id, kind, lower(name) AS name FROM nodes WHERE turn = 0) SELECT id FROM nodes n WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.event_id = n.event_id AND o.kind = n.kind AND o.name = lower(n.name))")
@@ -108,33 +89,9 @@ def first_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("user_id", "b.event_type", "b.event_id")
 
 
-@query("SELECT vec_id, node, round(cos, 6) AS cos FROM (SELECT a.vec_id, b.vec_id AS node, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS cos, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) DESC, b.vec_id) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) b ON a.label = b.label AND b.vec_id < a.vec_id) WHERE n = 1")
-def stage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temporal resolution: the likest earlier node of the same stage (label) for each tenth vector."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.unit(V.doubles(F.col("embedding"))).alias("v"))
-    new = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "label", F.col("v").alias("u"))
-    pairs = new.join(e, "label").where("vec_id < id").withColumn("cos", V.dot(F.col("u"), F.col("v")))
-    best = pairs.groupBy("id").agg(F.max_by(F.struct("vec_id", "cos"), F.struct("cos", -F.col("vec_id"))).alias("b"))
-    return best.select(F.col("id").alias("vec_id"), F.col("b.vec_id").alias("node"), F.round("b.cos", 6).alias("cos"))
-
-
-@query("SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 20")
-def local_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.element_at("embedding", 1).alias("s"))
-    return retrieve.top(e, "label", 20, [F.desc("s"), F.col("vec_id")]).select("label", "vec_id", "rank")
-
-
 @query(f"WITH {TURNS}, {_SPANS} SELECT event_id, count(*) AS turns, max(ts) AS last_hit, least(1.0, round(0.5 + 0.05 * count(*), 6))::DOUBLE AS survival, list(id ORDER BY ord DESC)[1:8] AS recent FROM g GROUP BY ALL")
 def assigned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What assigning its turns does to an event."""
     s = spans(spark, sf_dir)
     ids = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ord", "id")), asc=False), lambda x: x["id"]), 1, 8)
     return s.groupBy("event_id").agg(F.count("*").alias("turns"), F.max("ts").alias("last_hit"), F.least(F.lit(1.0), F.round(0.5 + 0.05 * F.count("*"), 6)).alias("survival"), ids.alias("recent"))
-
-
-@query(f"WITH {TURNS}, {_SPANS}, c AS (SELECT * FROM g WHERE regexp_matches(lower(question), 'thing')) SELECT g.id, g.ord < c2.ord AS corrected, CASE WHEN g.ord < c2.ord THEN 0.1 ELSE 1.0 END::DOUBLE AS confidence FROM g LEFT JOIN (SELECT event_id, max(ord) AS ord FROM c GROUP BY ALL) c2 USING (event_id) WHERE c2.ord IS NOT NULL")
-def causal_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A correction replaces all earlier nodes of its event."""
-    s = spans(spark, sf_dir)
-    last = s.where(X.any_of(F.lower("question"), ("thing",))).groupBy("event_id").agg(F.max("ord").alias("at"))
-    return resolve.replaced(s, last).select("id", "corrected", "confidence")

@@ -184,21 +184,24 @@ def infer_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", extract.stage(extract.chunks(F.col("text"), P), P).alias("stage"))
 
 
-def _sql_causal() -> str:
+def _sql_causal_of(source: str, keys: str) -> str:
+    """The causal rule over source, which has h (the first 6 chunks, joined) and tail (the last chunk): keys, causal_type, body, cause, effect."""
     split_effect = f"contains(h, {quote(P.cause_word)}) AND contains(h, {quote(P.effect_word)})"
     split_condition = f"contains(h, {quote(P.condition_word)}) AND {sql_any('h', P.condition_needs)}"
     kind = "CASE " + " ".join(f"WHEN regexp_matches(h, {quote(p)}) THEN '{k}'" for p, k in P.causal_patterns) + " END"
     n = len(P.effect_word)
     cut = f"strpos(h, {quote(P.effect_word)})"
     sep = f"strpos(h, {quote(P.condition_split)})"
-    return f"""SELECT conv_id, turn, CASE WHEN how > 0 THEN k WHEN changed THEN 'state_change' ELSE 'implicit' END AS causal_type,
+    return f"""SELECT {keys}, CASE WHEN how > 0 THEN k WHEN changed THEN 'state_change' ELSE 'implicit' END AS causal_type, CASE WHEN how > 0 OR changed THEN h ELSE tail END AS body,
   CASE WHEN how = 1 THEN trim(replace(h[1:{cut} - 1], {quote(P.cause_word)}, ''))[1:60] WHEN how = 2 THEN trim(replace(CASE WHEN {sep} > 0 THEN h[1:{sep} - 1] ELSE h END, {quote(P.condition_word)}, ''))[1:60] ELSE '' END AS cause,
   CASE WHEN how = 1 THEN trim(h[{cut} + {n}:])[1:60] WHEN how = 2 THEN CASE WHEN {sep} > 0 THEN trim(h[{sep} + {len(P.condition_split)}:])[1:60] ELSE '' END WHEN changed THEN tail ELSE '' END AS effect
-FROM (SELECT *, CASE WHEN k IS NULL THEN 0 WHEN {split_effect} THEN 1 WHEN {split_condition} THEN 2 ELSE 0 END AS how, {sql_any('h', P.changes)} AS changed FROM (
-  SELECT *, {kind} AS k FROM (SELECT conv_id, turn, array_to_string(a[1:6], ' ') AS h, coalesce(a[-1], '') AS tail FROM (SELECT conv_id, turn, {_sql_chunks('text')} AS a FROM conversations))))"""
+FROM (SELECT *, CASE WHEN k IS NULL THEN 0 WHEN {split_effect} THEN 1 WHEN {split_condition} THEN 2 ELSE 0 END AS how, {sql_any('h', P.changes)} AS changed FROM (SELECT *, {kind} AS k FROM {source}))"""
 
 
-@query(_sql_causal())
+_CAUSAL = _sql_causal_of(f"(SELECT conv_id, turn, array_to_string(a[1:6], ' ') AS h, coalesce(a[-1], '') AS tail FROM (SELECT conv_id, turn, {_sql_chunks('text')} AS a FROM conversations))", "conv_id, turn")
+
+
+@query(f"SELECT conv_id, turn, causal_type, cause, effect FROM ({_CAUSAL})")
 def causal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", extract.causal(extract.chunks(F.col("text"), P), P).alias("c")).select("conv_id", "turn", "c.causal_type", "c.cause", "c.effect")

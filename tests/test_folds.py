@@ -69,16 +69,117 @@ def test_roll_up_keeps_the_sum_of_frequencies(spark):
     assert [tuple(x) for x in r] == [("a", 5, 4, 9, 1, 0.7, [1, 2])]
 
 
-def test_compression_moves_edges_and_prunes(spark):
+def test_compression_folds_prunes_and_cascades(spark):
+    from episodica.functions import text as X
     from episodica.profile import Params
 
-    nodes = spark.createDataFrame([(i, False, w, 0.5) for i, w in ((1, 0.9), (2, 0.9), (3, 0.01), (4, 0.9))], "id long, pinned boolean, active_weight double, importance double")
-    edges = spark.createDataFrame([(4, 2), (1, 3), (4, 1)], "source long, target long")
-    into = spark.createDataFrame([(4, 1)], "id long, into long")
-    kept, moved, log = maintain.compress(nodes, edges, into, Params())
-    assert sorted(r.id for r in kept.collect()) == [1, 2]
-    assert [tuple(r) for r in moved.collect()] == [(1, 2)]
-    assert sorted(map(tuple, log.collect())) == [("merged", 4), ("pruned", 3)]
+    schema = "event_id string, id string, ord long, kind string, stage string, body string, pinned boolean, weight double, importance double, frequency long, first_seen double, last_seen double, start_time double"
+
+    def nodes(rows):
+        rows = [("e", i, o, "k", "s", body, pin, w, imp, 1, float(o), float(o), float(o)) for i, o, body, pin, w, imp in rows]
+        return spark.createDataFrame(rows, schema).withColumn("k", X.tokens(F.col("body")))
+
+    same = "water gate north alpha"
+    entity = nodes([("a", 1, same, False, 0.1, 0.5), ("b", 2, same, False, 0.1, 0.5), ("c", 3, "stone", False, 0.1, 0.5), ("d", 4, same, False, 0.9, 0.5), ("p", 5, same, True, 0.1, 0.5)])
+    temporal = nodes([("t1", 1, same, False, 0.9, 0.5), ("t2", 2, same, False, 0.1, 0.5), ("t3", 3, same, False, 0.9, 0.5), ("t4", 4, "omega", False, 0.1, 0.5), ("t5", 5, "omega", False, 0.1, 0.5)])
+    causal = nodes([("x", 1, "why", False, 0.1, 0.5), ("y", 2, "why", True, 0.1, 0.5), ("z", 3, "why", False, 0.1, 0.7)])
+    edge = "event_id string, source string, target string"
+    links = {"entity": spark.createDataFrame([("e", "c", "b"), ("e", "a", "b")], edge), "temporal": spark.createDataFrame([("e", "t1", "t2"), ("e", "t3", "t4")], edge), "causal": spark.createDataFrame([("e", "x", "y"), ("e", "y", "z")], edge)}
+    out, left, log = maintain.compress({"entity": entity, "temporal": temporal, "causal": causal}, links, Params(), P)
+    assert {r.id: (r.frequency, r.last_seen, r.body) for r in out["entity"].collect()} == {"a": (2, 2.0, same), "c": (1, 3.0, "stone"), "d": (1, 4.0, same), "p": (1, 5.0, same)}
+    # a run goes into its first: t1 and t2 are alike, t2 and t3 too
+    assert {r.id: r.frequency for r in out["temporal"].collect()} == {"t1": 3, "t4": 2}
+    assert {r.id for r in out["causal"].collect()} == {"y", "z"}
+    ends = {g: sorted((r.source, r.target) for r in e.collect()) for g, e in left.items()}
+    assert ends == {"entity": [("c", "a")], "temporal": [("t1", "t4")], "causal": [("y", "z")]}
+    assert sorted((r.event_type, r.id) for r in log.collect()) == [("causal_pruned", "x"), ("entity_compressed", "b"), ("temporal_compressed", "t2"), ("temporal_compressed", "t3"), ("temporal_compressed", "t5")]
+
+
+def test_a_node_that_stays_takes_all_that_are_like_it(spark):
+    from episodica.functions import text as X
+
+    # a is like b, b like c, c like d, but no others: b goes into a, c stays and takes d
+    texts = ["aa ab ac", "ac ad ae", "ae af ag", "ag ah ai"]
+    rows = [("e", "k", i, o, t, False, 0.1) for o, (i, t) in enumerate(zip("abcd", texts))]
+    n = spark.createDataFrame(rows, "event_id string, kind string, id string, ord long, text string, pinned boolean, weight double").withColumn("k", X.tokens(F.col("text")))
+    near = resolve.duplicates(n, ["event_id", "kind"], 0.0).toPandas()
+    least = min(near[near.a.map(ord) - near.b.map(ord) == 1].score)
+    assert near[near.a.map(ord) - near.b.map(ord) > 1].score.max() < least
+    assert sorted(map(tuple, resolve.compression_plan(n, ["event_id", "kind"], least).collect())) == [("b", "a"), ("d", "c")]
+
+
+def test_tiles_of_any_size_give_the_same_pairs(spark):
+    from episodica.functions import text as X
+    from episodica.operators import edges, tiles
+
+    rng = random.Random(5)
+    words = ["thing", "water", "north", "gate", "alpha", "omega", "brand", "stone"]
+    rows = [("one memory", str(i), i, 600.0 * i, " ".join(rng.choices(words, k=4)) if i % 9 else "") for i in range(60)] + [("two", "x", 1, 0.0, "thing")]
+    e = spark.createDataFrame(rows, "memory_id string, id string, ord long, updated_at double, text string").withColumn("k", X.tokens(F.col("text"))).drop("text")
+    whole = sorted(map(tuple, edges.coarse(e, 21600.0, P).collect()))
+    assert len(whole) > 300
+    old, tiles.meet.__kwdefaults__["tile"] = tiles.meet.__kwdefaults__["tile"], 7
+    try:
+        assert sorted(map(tuple, edges.coarse(e, 21600.0, P).collect())) == whole
+        best = {r.id: (r.node, r.score) for r in resolve.best_match(e, ["memory_id"], 0.0).collect()}
+    finally:
+        tiles.meet.__kwdefaults__["tile"] = old
+    assert best == {r.id: (r.node, r.score) for r in resolve.best_match(e, ["memory_id"], 0.0).collect()} and len(best) == 59
+
+
+def test_the_same_tokens_give_the_same_vector_everywhere(spark):
+    from episodica.functions import text as X
+    from episodica.functions import vector as V
+    from episodica.operators import tiles
+
+    texts = ["Water at the gate", "gate gate", "", "漢字 ab"]
+    df = spark.createDataFrame([(i, t, texts[0]) for i, t in enumerate(texts)], "id long, a string, b string").select("id", X.tokens(F.col("a")).alias("a"), X.tokens(F.col("b")).alias("b"))
+    cos = {r.id: r.cos for r in tiles.cosines(df, "a", "b").collect()}
+    sparse = V.hash_embedding(df, ["id"], "a")
+    places = {i: {r.idx: r.w for r in sparse.where(F.col("id") == i).collect()} for i in range(4)}
+    for i, t in enumerate(texts):
+        dense = folds.vector(folds.token_list(t))
+        assert {p: round(w, 9) for p, w in places[i].items()} == {p: round(dense[p], 9) for p in range(len(dense)) if dense[p]}
+        assert abs(cos[i] - dense @ folds.vector(folds.token_list(texts[0]))) < 1e-9
+
+
+def test_replays_are_dropped_and_older_turns_are_taken(spark, tmp_path):
+    rows = some_turns(12, memories=1)
+    stamped = TURNS + ", at timestamp"
+
+    def send(batch):
+        made = spark.createDataFrame(batch, TURNS).withColumn("at", F.timestamp_seconds("ts"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.timely(ingest.read_turns(spark, str(tmp_path / "in"), stamped), "at", "1 day", ["memory_id", "id"])
+        ingest.run_once(ingest.assign(stream, CLUSTER, P), str(tmp_path / "out"), str(tmp_path / "state"))
+
+    send(rows[:4] + rows[6:9])
+    send(rows[7:])  # two come again
+    send(rows[4:6])  # older than what there is
+    got = [r.id for r in spark.read.schema(ingest.RESULT).parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(r[1] for r in rows)
+
+
+def test_replay_in_batches_is_the_batch_fold(spark, data):
+    from episodica.plans.catalog import QUERIES
+
+    key = lambda r: (r.memory_id, r.id)
+    once = {key(r): r.cluster for r in QUERIES["cluster_turns"](spark, data).collect()}
+    assert {key(r): r.cluster for r in QUERIES["incremental_replay"](spark, data).collect()} == once
+
+
+def test_one_node_of_all_images_and_descriptions(spark):
+    schema = "event_id string, node string, created boolean, ord long, kind string, name string, turn string, ts double, importance double, images array<string>, visual string"
+    rows = [("e", "n", True, 1, "k", "gate", "t1", 1.0, 0.5, ["a"], "red"), ("e", "n", False, 3, "k", "the gate", "t2", 9.0, 0.7, ["b", "a"], ""), ("e", "n", False, 2, "k", "gates", "t1", 4.0, 0.6, [], "red")]
+    (r,) = resolve.fine_nodes(spark.createDataFrame(rows, schema), "; ").collect()
+    assert (r.name, r.frequency, r.first_seen, r.last_seen, r.importance, r.turns, r.images, r.visual) == ("gate", 3, 1.0, 9.0, 0.7, ["t1", "t2"], ["a", "b"], "red")
+
+
+def test_snapshot_dump(spark, tmp_path):
+    from episodica.operators import report
+
+    report.dump(spark.range(3).withColumn("text", F.lit("ß")), str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 3
 
 
 def test_unknown_model_has_no_price(spark):
