@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..functions.text import any_of, local_summary, shared, token_set
 from ..profile import Params, Profile
+from .tiles import cosines
 
 
 def cold_start(turns: DataFrame, p: Params) -> DataFrame:
@@ -38,6 +39,19 @@ def consistency(scored: DataFrame, event: str, node: str, order: list[str], scor
     return scored.select(event, node, F.avg(score).over(w).alias("mean8"), F.collect_list(node).over(w).alias("last8"))
 
 
+def assigned(turns: DataFrame, events: DataFrame, profile: Profile, last: int = 8, gain: float = 0.05) -> DataFrame:
+    """(event_id, turns, last_hit, survival, recent, scores, consistency, visual): an event (event_id, k, survival) after its turns (event_id, id, ord, ts, k, visual): survival raised for each, the last turns, their cosines with the event and the mean of these, and the distinct visual descriptions, cut to 260."""
+    scored = cosines(turns.join(events.select("event_id", F.col("k").alias("e_k"), "survival"), "event_id"), "k", "e_k")
+    back = scored.withColumn("__k", F.row_number().over(W.partitionBy("event_id").orderBy(F.desc("ord"))))
+
+    def recent(column: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("__k") <= last, F.struct("ord", column)))), lambda s: s[column])
+
+    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("visual") != "", F.struct("ord", "visual")))), lambda s: s["visual"]))
+    survival = F.least(F.lit(1.0), F.max("survival") + gain * F.count("*"))
+    return back.groupBy("event_id").agg(F.count("*").alias("turns"), F.max("ts").alias("last_hit"), survival.alias("survival"), recent("id").alias("recent"), recent("cos").alias("scores"), F.avg(F.when(F.col("__k") <= last, F.col("cos"))).alias("consistency"), F.substring(F.array_join(seen, profile.join), 1, 260).alias("visual"))
+
+
 def adjacent_pairs(nodes: DataFrame, event: str, node: str, order: list[str], threshold: float, weak: float = 0.16) -> DataFrame:
     """(event, source, target): neighbours in order, unpinned, one of them weak, with a cosine of at least threshold. nodes: v, weight, pinned."""
     w = W.partitionBy(event).orderBy(*order)

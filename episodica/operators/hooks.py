@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
 from ..profile import Profile
+from . import extract as rules
 from .folds import DIM, token_list, vector
 
 
@@ -26,20 +27,76 @@ def embed(texts: Column, encode: Callable[[list[str]], list] | None = None) -> C
     return run(texts)
 
 
+def extract(turns: DataFrame, keys: list[str], text: str, profile: Profile, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """(keys, x): what a turn says, as struct(entities, temporal, causal, relations). model takes a batch of texts and gives a JSON text for each; the default is the rules."""
+    if model is not None:
+
+        @pandas_udf("string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series(model(batch.fillna("").tolist()))
+
+        return turns.select(*keys, extract_json(run(text), profile).alias("x"))
+    facts = rules.facts(turns, keys, text, profile)
+    related = rules.relations(facts, keys, profile)
+    parts = turns.select(*keys, rules.chunks(F.col(text), profile).alias("parts"))
+
+    def ordered(column: str, *rest: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(column, *rest))), lambda s: F.struct(*[s[c].alias(c) for c in rest]))
+
+    e = facts.withColumnRenamed("chunk", "name").groupBy(*keys).agg(ordered("pos", "kind", "name").alias("entities"))
+    r = related.groupBy(*keys).agg(ordered("rank", "source_text", "target_text", "relation_label").alias("relations"))
+    c = rules.causal(F.col("parts"), profile)
+    temporal = F.array(F.struct(rules.stage(F.col("parts"), profile).alias("stage_name"), F.lit("").alias("start_time_ref"), F.array_join(F.slice("parts", 1, 5), " ").alias("summary"), F.lit("").alias("sensor_ref")))
+    out = parts.select(*keys, temporal.alias("temporal"), F.array(F.struct(c["causal_type"].alias("causal_type"), c["text"].alias("text"), c["cause"].alias("cause"), c["effect"].alias("effect"))).alias("causal"))
+    out = out.join(e, keys, "left").join(r, keys, "left")
+    fields = ["entities", "temporal", "causal", "relations"]
+    return out.select(*keys, F.struct(*[F.coalesce(c, F.array()).alias(c) for c in fields]).alias("x"))
+
+
+_STAGE = "struct<stage_name: string, start_time_ref: string, summary: string, sensor_ref: string>"
+_CAUSE = "struct<causal_type: string, text: string, cause: string, effect: string>"
+_RELATION = "array<struct<source_text: string, target_text: string, relation_label: string>>"
+
+
 def extract_json(raw: Column, profile: Profile, most: int = 8) -> Column:
-    """An upstream model's JSON as struct(entities, relations): known classes only, normalised, without blanks, 8 a class at most; relations with both ends."""
+    """An upstream model's JSON as struct(entities, temporal, causal, relations): known classes only, normalised, without blanks, 8 a class at most; temporal and causal as lists, also where the JSON has one object; relations with both ends."""
     kinds = ", ".join(f"`{k}`: array<string>" for k in profile.entity_types)
-    schema = f"struct<entities: struct<{kinds}>, relations: array<struct<source_text: string, target_text: string, relation_label: string>>>"
-    parsed = F.from_json(X.strip_fence(raw), schema)
+    clean_raw = X.strip_fence(raw)
+    parsed = F.from_json(clean_raw, f"struct<entities: struct<{kinds}>, relations: {_RELATION}>")
+
+    def listed(name: str, kind: str) -> Column:
+        text = F.get_json_object(clean_raw, f"$.{name}")
+        one = F.from_json(text, kind)
+        some = F.when(F.substring(F.trim(text), 1, 1) == "[", F.from_json(text, f"array<{kind}>")).when(F.substring(F.trim(text), 1, 1) == "{", F.array(one))
+        return F.coalesce(some, F.from_json(F.lit("[]"), f"array<{kind}>"))
 
     def clean(values: Column) -> Column:
         return F.slice(F.filter(F.transform(F.coalesce(values, X.none()), X.normalize), lambda v: v != ""), 1, most)
 
     entities = F.flatten(F.array(*[_typed(clean(parsed["entities"][k]), k) for k in profile.entity_types]))
-    empty = F.from_json(F.lit("[]"), "array<struct<source_text: string, target_text: string, relation_label: string>>")
-    ends = F.filter(F.coalesce(parsed["relations"], empty), lambda r: (X.normalize(r["source_text"]) != "") & (X.normalize(r["target_text"]) != ""))
-    relations = F.transform(ends, lambda r: F.struct(X.normalize(r["source_text"]).alias("source_text"), X.normalize(r["target_text"]).alias("target_text"), F.coalesce(r["relation_label"], F.lit(profile.location_label)).alias("relation_label")))
-    return F.struct(entities.alias("entities"), relations.alias("relations"))
+    relations = _relations(parsed["relations"], profile.location_label)
+    return F.struct(entities.alias("entities"), listed("temporal", _STAGE).alias("temporal"), listed("causal", _CAUSE).alias("causal"), relations.alias("relations"))
+
+
+def legacy_extract_json(raw: Column, profile: Profile, most: int = 8) -> Column:
+    """The one-graph form, struct(candidates, relations): a candidate of a class that isn't known is one of the last class, and labels are upper case, RELATES_TO where there is none."""
+    parsed = F.from_json(X.strip_fence(raw), f"struct<candidates: map<string, array<string>>, relations: {_RELATION}>")
+    known = [k for k, _ in profile.legacy_classes]
+    entries = F.map_entries(F.coalesce(parsed["candidates"], F.from_json(F.lit("{}"), "map<string, array<string>>")))
+
+    def typed(e: Column) -> Column:
+        kind = F.when(e["key"].isin(*known), e["key"]).otherwise(profile.legacy_other_class)
+        names = F.slice(F.filter(F.transform(F.coalesce(e["value"], X.none()), X.normalize), lambda v: v != ""), 1, most)
+        return F.transform(names, lambda n: F.struct(kind.alias("kind"), n.alias("name")))
+
+    relations = F.transform(_relations(parsed["relations"], "RELATES_TO"), lambda r: F.struct(r["source_text"].alias("source_text"), r["target_text"].alias("target_text"), F.upper(X.normalize(r["relation_label"])).alias("relation_label")))
+    return F.struct(F.flatten(F.transform(entries, typed)).alias("candidates"), relations.alias("relations"))
+
+
+def _relations(found: Column, label: str) -> Column:
+    ends = F.filter(F.coalesce(found, F.from_json(F.lit("[]"), _RELATION)), lambda r: (X.normalize(r["source_text"]) != "") & (X.normalize(r["target_text"]) != ""))
+    return F.transform(ends, lambda r: F.struct(X.normalize(r["source_text"]).alias("source_text"), X.normalize(r["target_text"]).alias("target_text"), F.coalesce(r["relation_label"], F.lit(label)).alias("relation_label")))
 
 
 def _typed(values: Column, kind: str) -> Column:

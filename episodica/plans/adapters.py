@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores where their files make fewer tasks than there are: each text is long work."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def turns(spark: SparkSession, sf_dir: str, profile: Profile = ASCII) -> DataFrame:
     """(memory_id, ord, id, question, answer, text, ts, valid): a user row with the assistant row after it; system rows aren't valid."""
     w = W.partitionBy("conv_id").orderBy("turn")

@@ -49,7 +49,7 @@ def earlier(p: Pair) -> np.ndarray:
     return p.right.ord[None] < p.left.ord[:, None]
 
 
-def _at_the_question(p: Pair) -> dict[str, np.ndarray]:
+def at_the_question(p: Pair) -> dict[str, np.ndarray]:
     """The node score, with weights that decay until the question comes."""
     weight = np.exp2(-600 * (p.left.ord[:, None] - p.right.ord[None]) / PARAMS.half_life)
     return {"score": 0.52 * np.maximum(p.cos, 0) + 0.18 * p.overlap + 0.18 * p.b("importance") + 0.12 * weight}
@@ -57,7 +57,7 @@ def _at_the_question(p: Pair) -> dict[str, np.ndarray]:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, n = asked(spark, sf_dir)
-    return retrieve.search(q, n, score=_at_the_question, where=earlier, numbers=([], ["importance"]))
+    return retrieve.search(q, n, score=at_the_question, where=earlier, numbers=([], ["importance"]))
 
 
 @query(_ASKED + " SELECT query_id, node_id, rank, round(round(score, 9), 6) AS score FROM ranked WHERE rank <= 8")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import hooks, report, resolve
+from ..operators import events, hooks, report, resolve, retrieve
 from ..profile import ASCII as P
+from ..sources import scratch
+from ..sources import tables as S
 from .adapters import TURNS, sql_overlap, sql_tokens, table, turns
-from .memory_queries import _ASKED, _NODES, _SPANS, asked, earlier, entity_nodes, spans
+from .memory_queries import _ASKED, _EVENTS, _NODES, _SPANS, asked, at_the_question, earlier, entity_nodes, span_events, spans
 from .registry import query
 from .text_queries import STOP
+from .vector_queries import sql_embedding
 
 
 @query(f"WITH {TURNS} SELECT id, question, answer, text, ts, valid, CASE WHEN ord > 2 THEN 'buffered' ELSE 'assigned' END AS status, CASE WHEN ord <= 2 THEN memory_id END AS event_id, trim(regexp_replace(question || ' ' || answer || ' ', '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))[1:120] AS local_summary, '' AS candidate_node_ids, '' AS image_paths, '' AS visual_description, 'text' AS modality, 0.0::DOUBLE AS saliency_score FROM turns WHERE valid ORDER BY ts, id")
@@ -41,16 +47,54 @@ def ranking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: JSON fields stand for classes here.
-_RAW = "'```json {\"entities\": {\"ing\": [\" ' || event_type || ' \", \"\", \"x\"], \"zzz\": [\"y\"]}, \"relations\": [{\"source_text\": \"a\", \"target_text\": \"' || CASE WHEN event_id % 2 = 0 THEN 'b' ELSE ' ' END || '\"}]} ```'"
+_RAW = "'```json {\"entities\": {\"ing\": [\" ' || event_type || ' \", \"\", \"x\"], \"zzz\": [\"y\"]}, \"temporal\": ' || CASE WHEN event_id % 3 = 0 THEN '[{\"stage_name\": \"a\"}, {\"stage_name\": \"b\"}]' ELSE '{\"stage_name\": \"c\", \"summary\": \"s\"}' END || ', \"causal\": [{\"cause\": \"p\", \"effect\": \"' || CASE WHEN event_id % 5 = 0 THEN '' ELSE 'q' END || '\"}], \"candidates\": {\"person\": [\"m\"], \"zzz\": [\"' || event_type || '\"]}, \"relations\": [{\"source_text\": \"a\", \"target_text\": \"' || CASE WHEN event_id % 2 = 0 THEN 'b' ELSE ' ' END || '\"}]} ```'"
 
 
-@query("SELECT event_id, 'ing=' || event_type || ',ing=x' AS entities, CASE WHEN event_id % 2 = 0 THEN 'a-at-b' ELSE '' END AS relations FROM events")
+@query(
+    """SELECT event_id, 'ing=' || event_type || ',ing=x' AS entities, CASE WHEN event_id % 3 = 0 THEN 'a,b' ELSE 'c' END AS stages, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'p>q' END AS causes, CASE WHEN event_id % 2 = 0 THEN 'a-at-b' ELSE '' END AS relations,
+'person=m,status=' || event_type AS candidates, CASE WHEN event_id % 2 = 0 THEN 'a-RELATES_TO-b' ELSE '' END AS legacy_relations FROM events"""
+)
 def extraction_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's JSON in both forms; causal items need both sides."""
     rows = table(spark, sf_dir, "events").select("event_id", F.expr(_RAW).alias("raw"))
-    out = rows.select("event_id", hooks.extract_json(F.col("raw"), P).alias("x"))
-    entities = F.transform("x.entities", lambda e: F.concat_ws("=", e["kind"], e["name"]))
-    relations = F.transform("x.relations", lambda r: F.concat_ws("-", r["source_text"], r["relation_label"], r["target_text"]))
-    return out.select("event_id", F.array_join(entities, ",").alias("entities"), F.array_join(relations, ",").alias("relations"))
+    out = rows.select("event_id", hooks.extract_json(F.col("raw"), P).alias("x"), hooks.legacy_extract_json(F.col("raw"), P).alias("y"))
+
+    def pairs(column: str):
+        return F.array_join(F.transform(column, lambda e: F.concat_ws("=", e["kind"], e["name"])), ",")
+
+    def triples(column: str):
+        return F.array_join(F.transform(column, lambda r: F.concat_ws("-", r["source_text"], r["relation_label"], r["target_text"])), ",")
+
+    causes = F.transform(F.filter("x.causal", lambda c: (c["cause"] != "") & (c["effect"] != "")), lambda c: F.concat_ws(">", c["cause"], c["effect"]))
+    stages = F.transform("x.temporal", lambda t: t["stage_name"])
+    return out.select("event_id", pairs("x.entities").alias("entities"), F.array_join(stages, ",").alias("stages"), F.array_join(causes, ",").alias("causes"), triples("x.relations").alias("relations"), pairs("y.candidates").alias("candidates"), triples("y.relations").alias("legacy_relations"))
+
+
+@query("SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations")
+def loaded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table, read with the schema that it should have."""
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+    return S.load(spark, f"{sf_dir}/conversations.parquet", schema).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@query("SELECT user_id AS memory_id, event_id AS source, next AS target FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NOT NULL")
+def state_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a state document that was written and is read back."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("memory_id"), F.col("event_id").alias("source"), F.lead("event_id").over(w).alias("target")).where("target IS NOT NULL")
+    doc, path = S.state_document({"temporal": e}), f"{scratch.shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    S.write_state(doc, path)
+    return S.read_state(spark, path, doc.schema, "temporal")
+
+
+@query(_ASKED + ", al AS (SELECT t.id AS query_id, coalesce(array_to_string((list(n.text ORDER BY r.rank) FILTER (r.rank <= 3)), '; '), '') AS found FROM turns t LEFT JOIN ranked r ON r.query_id = t.id AND r.rank <= 3 LEFT JOIN turns n ON n.id = r.node_id WHERE t.valid GROUP BY t.id) SELECT query_id, CASE WHEN found = '' THEN 'Nothing known.' ELSE 'Known: ' || found END AS answer FROM al")
+def replayed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of questions in order: each is answered from the turns that came before it."""
+    q, n = asked(spark, sf_dir)
+    hits = retrieve.entries(retrieve.search(q, n, score=at_the_question, where=earlier, numbers=([], ["importance"])))
+    lines = hits.join(n.select(F.col("id").alias("node_id"), "text"), "node_id").select("query_id", F.lit(1).alias("section"), F.col("rank").alias("place"), F.col("text").alias("line"))
+    found = q.select(F.col("id").alias("query_id")).join(retrieve.context(lines), "query_id", "left").withColumn("lines", F.coalesce("lines", X.none()))
+    return hooks.answer(found, None, "Known: ", "Nothing known.", "; ").select("query_id", "answer")
 
 
 _FUSED = f"WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x, {sql_tokens('text')} AS k FROM conversations), n AS (SELECT *, lag(x) OVER w AS px, lag(k) OVER w AS pk FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
@@ -89,9 +133,15 @@ def first_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("user_id", "b.event_type", "b.event_id")
 
 
-@query(f"WITH {TURNS}, {_SPANS} SELECT event_id, count(*) AS turns, max(ts) AS last_hit, least(1.0, round(0.5 + 0.05 * count(*), 6))::DOUBLE AS survival, list(id ORDER BY ord DESC)[1:8] AS recent FROM g GROUP BY ALL")
+@query(
+    f"""WITH {TURNS}, {_SPANS}, {_EVENTS}, tk AS (SELECT g.event_id, g.id, {sql_tokens('g.text')} AS k FROM g), ids AS (SELECT id, k FROM tk UNION ALL SELECT event_id AS id, k FROM ev), v AS ({sql_embedding('ids', 'id', 'k')}),
+cs AS (SELECT t.id, sum(a.w * b.w) AS cos FROM tk t JOIN v a ON a.id = t.id JOIN v b ON b.id = t.event_id AND a.idx = b.idx GROUP BY ALL), s AS (SELECT g.*, coalesce(cos, 0) AS cos, row_number() OVER (PARTITION BY event_id ORDER BY ord DESC) AS back FROM g LEFT JOIN cs USING (id))
+SELECT event_id, count(*) AS turns, max(ts) AS last_hit, least(1.0, round(0.5 + 0.05 * count(*), 6))::DOUBLE AS survival, array_to_string(list(id ORDER BY ord) FILTER (back <= 8), '|') AS recent, round(avg(cos) FILTER (back <= 8), 6) AS consistency FROM s GROUP BY ALL"""
+)
 def assigned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What assigning its turns does to an event."""
     s = spans(spark, sf_dir)
-    ids = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ord", "id")), asc=False), lambda x: x["id"]), 1, 8)
-    return s.groupBy("event_id").agg(F.count("*").alias("turns"), F.max("ts").alias("last_hit"), F.least(F.lit(1.0), F.round(0.5 + 0.05 * F.count("*"), 6)).alias("survival"), ids.alias("recent"))
+    t = s.select("event_id", "id", "ord", "ts", X.tokens(F.col("text")).alias("k"), F.lit("").alias("visual"))
+    e = span_events(s).withColumn("survival", F.lit(0.5))
+    out = events.assigned(t, e, P)
+    return out.select("event_id", "turns", "last_hit", F.round("survival", 6).alias("survival"), F.array_join("recent", "|").alias("recent"), F.round("consistency", 6).alias("consistency"))

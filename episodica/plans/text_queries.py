@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import extract
 from ..profile import ASCII as P
-from .adapters import TURNS, quote, sql_any, sql_hits, sql_normalize, sql_overlap, sql_tokens, table, turns
+from .adapters import TURNS, documents, quote, sql_any, sql_hits, sql_normalize, sql_overlap, sql_tokens, table, turns
 from .registry import query
 
 STOP = "[" + ", ".join(map(quote, P.stop)) + "]"
@@ -17,7 +17,7 @@ STOP = "[" + ", ".join(map(quote, P.stop)) + "]"
 
 @query(f"SELECT doc_id, length(n) AS n_chars_clean, md5(n) AS digest FROM (SELECT doc_id, {sql_normalize('text')} AS n FROM documents)")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("n"))
+    n = documents(spark, sf_dir).select("doc_id", X.normalize(F.col("text")).alias("n"))
     return n.select("doc_id", F.length("n").alias("n_chars_clean"), F.md5("n").alias("digest"))
 
 
@@ -29,7 +29,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
 def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    t = documents(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
@@ -158,7 +158,7 @@ _CHUNKS = f"WITH d AS (SELECT doc_id, {_sql_chunks('text')} AS a FROM documents)
 
 @query(_CHUNKS + "SELECT doc_id, pos, chunk FROM c")
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.chunk_rows(table(spark, sf_dir, "documents"), ["doc_id"], "text", P).select("doc_id", "pos", "chunk")
+    return extract.chunk_rows(documents(spark, sf_dir), ["doc_id"], "text", P).select("doc_id", "pos", "chunk")
 
 
 @query(
@@ -168,7 +168,7 @@ def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f" round(greatest(0.05, least(1.0, 0.30 + least(0.30, 0.06 * {sql_hits('whole', P.critical)}) + {_sql_map(_sql_class('whole', P.legacy_classes, P.legacy_other_class), P.legacy_boosts, 0.04)})), 4)::DOUBLE AS legacy_importance FROM c"
 )
 def classify_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.chunk_rows(table(spark, sf_dir, "documents"), ["doc_id"], "text", P)
+    rows = extract.chunk_rows(documents(spark, sf_dir), ["doc_id"], "text", P)
     rows = rows.withColumn("kind", extract.classify(F.col("whole"), P.classes, P.other_class)).withColumn("legacy_kind", extract.classify(F.col("whole"), P.legacy_classes, P.legacy_other_class))
     return rows.select("doc_id", "pos", "kind", "legacy_kind", X.importance(F.col("kind"), P).alias("importance"), X.legacy_importance(F.col("whole"), F.col("legacy_kind"), F.lit(0.0), P).alias("legacy_importance"))
 
@@ -218,7 +218,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_ORDER}, pos) A
 SELECT doc_id, n AS rank, chunk AS source_text, place AS target_text, 'at' AS relation_label FROM r WHERE n <= 10"""
 )
 def infer_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = extract.facts(table(spark, sf_dir, "documents"), ["doc_id"], "text", P)
+    facts = extract.facts(documents(spark, sf_dir), ["doc_id"], "text", P)
     return extract.relations(facts, ["doc_id"], P)
 
 

@@ -100,3 +100,23 @@ def test_state_document_round_trip(spark, tmp_path):
     back = S.read_state(spark, str(tmp_path / "state"), doc.schema, "temporal")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, e.collect()))
     assert S.read_state(spark, str(tmp_path / "state"), doc.schema, "causal").count() == 1
+
+
+def test_extraction_by_rules_and_by_a_model(spark):
+    import json
+
+    from episodica.operators import hooks
+    from episodica.profile import DEFAULT
+
+    turns = spark.createDataFrame([(1, "东区仓库起火，消防员到达。因电线老化导致火势蔓延"), (2, None)], "id long, text string")
+    got = {r.id: r.x for r in hooks.extract(turns, ["id"], "text", DEFAULT).collect()}
+    assert [(e.kind, e.name) for e in got[1].entities] == [("location", "东区仓库起火"), ("person", "消防员到达"), ("material", "因电线老化导致火势蔓延")]
+    assert [(c.causal_type, c.cause[-4:], c.effect) for c in got[1].causal] == [("direct_cause", "电线老化", "火势蔓延")]
+    assert {r.source_text: r.target_text for r in got[1].relations} == {"消防员到达": "东区仓库起火", "因电线老化导致火势蔓延": "东区仓库起火"}
+    assert got[1].temporal[0].stage_name and got[2].entities == got[2].relations == []
+
+    def model(texts):
+        return [json.dumps({"entities": {"person": [t[:2]]}, "temporal": {"stage_name": "s"}, "relations": []}) for t in texts]
+
+    by_model = {r.id: r.x for r in hooks.extract(turns, ["id"], "text", DEFAULT, model).collect()}
+    assert [e.name for e in by_model[1].entities] == ["东区"] and by_model[1].temporal[0].stage_name == "s" and by_model[2].entities == []
