@@ -20,11 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import per_text
+from .common import held, per_text
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-#: Distinct pre-tokens that a Python worker remembers before it starts anew.
-CACHE = 400_000
+#: Bytes, as estimated, of pre-tokens and words that a Python worker remembers before it starts anew.
+CACHE_BYTES = 48 << 20
+_ENTRY = 190  # of an entry's objects and its place in a dictionary, besides its letters and ids
 _LETTERS = [chr(0x100 + b) for b in range(256)]
 #: A space beside other white space: only there can a match of the pattern run across the border between a space and what precedes it.
 _DOUBLE = re.compile(r" \s|\s ")
@@ -38,6 +39,11 @@ def mapped(token: bytes) -> str:
     return "".join(map(_LETTERS.__getitem__, token))
 
 
+def unmapped(piece: str) -> bytes:
+    """The inverse of mapped()."""
+    return bytes(ord(c) - 0x100 for c in piece)
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -72,18 +78,20 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers at most CACHE distinct pieces of text."""
+    """Encodes and decodes whole texts; remembers at most CACHE_BYTES of distinct pieces of text, besides those of one batch."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         import regex
         import sentencepiece
 
         self.ranks = parse_ranks(rank_file)
-        self.tokens = sorted(self.ranks, key=self.ranks.__getitem__)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
+        # what an id stands for: its piece in the model, each letter back to its byte
+        self.tokens = [unmapped(self.model.id_to_piece(i + 1)) for i in range(len(self.ranks))]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.size = 0
 
     def _pretokens(self, pretokens: set[str]) -> None:
         """Learns the ids of pre-tokens: a whole token at once, else by the model's merges."""
@@ -94,6 +102,7 @@ class Codec:
                 todo.append(p)
             else:
                 self.known[p] = struct.pack("<I", rank)
+            self.size += _ENTRY + 2 * len(p)
         coded = self.model.encode([mapped(p.encode()) for p in todo], out_type=int, num_threads=1)
         ids, at = (np.fromiter(chain.from_iterable(coded), "<u4") - 1).astype("<u4").tobytes(), 0
         for p, n in zip(todo, map(len, coded), strict=True):
@@ -105,8 +114,8 @@ class Codec:
 
         Text is cut before each single space, where the pattern always starts a match, so that a word seen before
         needs one look-up; a text with other runs of white space goes through the pattern as a whole."""
-        if len(self.known) + len(self.words) > CACHE:
-            self.known, self.words = {}, {}
+        if self.size > CACHE_BYTES:
+            self.known, self.words, self.size = {}, {}, 0
         known, words = self.known, self.words
         parts: list[tuple[list[str], list[str]]] = []
         for text in texts:
@@ -121,6 +130,7 @@ class Codec:
         self._pretokens(set(chain(chain.from_iterable(p[0] for p in parts), chain.from_iterable(fresh.values()))).difference(known))
         for w, pretokens in fresh.items():
             words[w] = b"".join(map(known.__getitem__, pretokens))
+            self.size += _ENTRY + 2 * len(w)
         return [b"".join(map(known.__getitem__, a)) + b"".join(map(words.__getitem__, b)) for a, b in parts]
 
     def decode(self, ids: bytes) -> bytes:
@@ -128,15 +138,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def codec(rank_file: bytes, pattern: str) -> Codec:
     """One for each Python worker, as the model takes a second to load."""
-    key = (hashlib.sha256(rank_file).digest(), pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(rank_file, pattern)
-    return _codecs[key]
+    return held(("byte_bpe", hashlib.sha256(rank_file).digest(), pattern), lambda: Codec(rank_file, pattern))
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -13,29 +13,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a Python worker handles at once; one longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+from ..sources.scratch import discard, materialize, shared_dir, written  # noqa: F401  the operators take them from here
+
+#: Bytes of text that a Python worker handles at once, and gets at once; one longer text is a batch of its own.
+BATCH_BYTES = 2 << 20
+ARROW_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Only where that is unset, as in tests, a folder of this machine is taken and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What make() gives, kept by a Python worker until another key is asked for: the state of one operator at a time."""
+    if key not in _held:
+        _held.clear()
+        tidy()
+        _held[key] = make()
+    return _held[key]
+
+
+def tidy() -> None:
+    """Gives back what the allocators of a Python worker hold without use."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that Python workers get; a lower bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -57,18 +69,21 @@ def per_text(df: DataFrame, text: str, fields: list[T.StructField], make: Callab
     A field replaces a column of df of the same name, in whatever case."""
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in kept] + fields)
+    # by place, as names may clash with the text's and mapInArrow takes none with a dot
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in kept] + fields)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         compute, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "text"):
                 made = compute(part.column(part.num_columns - 1).to_pylist())
                 columns = [part.column(i) for i in range(len(kept))] + [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        tidy()
 
     return source.mapInArrow(run, schema)
 
@@ -101,8 +116,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes. A node with very many neighbours is aggregated
     before its shuffle and joined, so Spark can split it; each round's edges go to the shared folder."""
+    spark = edges.sparkSession
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state, last = None, written(spark)[-1]
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -112,6 +128,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialize(small)
+        discard(spark, [last])
+        last = written(spark)[-1]
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not now[0] or tuple(now) == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -5,13 +5,15 @@ says how far a text's n-grams speak for 1. Decoding weighs each bit's logistic l
 did on training texts of the codeword's language, and takes the codeword of least loss; where the second is nearly as
 near, the text is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample (docs_per_lang, chosen by a hash of the id); all texts are predicted,
-whole. What reaches the driver are n-gram counts: languages times 2**BITS numbers at most.
+The classifiers are fitted on a bounded sample (docs_per_lang, chosen by a hash of id and text, of the MOST_LANGS
+languages with most documents); all texts are predicted, whole and each for itself. What reaches the driver are n-gram
+counts: MOST_LANGS times 2**BITS numbers at most.
 
 Cases: a null text, or one without a letter, is "und" with score 0 and not ambiguous; rows without a language are not
-learned from; without any labelled row every text is "und"; with one language every text with a letter is of it;
+learned from; a null id is in training; without any labelled row every text is "und"; with one language every text with a letter is of it;
 ties go to the language first in code-point order; repeated rows count and are predicted each; an empty table gives an
-empty table; other columns stay out of the prediction, and those named as a result are replaced.
+empty table; other columns stay out of the prediction, and those named as a result are replaced; a long text is read in
+pieces, so its memory is its own and that of a piece.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_text, slices
+from .common import per_text, slices, small_batches
 
 BITS = 15
 SIZE = 1 << BITS
@@ -34,8 +36,10 @@ SIZE = 1 << BITS
 DOCS_PER_LANG = 2000
 #: Least share of the second-best codeword's loss by which the best must be better.
 AMBIGUOUS = 0.1
-#: n-grams that one step of the arithmetic handles.
-_STEP = 1 << 20
+#: Languages that are learned at most: those with most documents in training.
+MOST_LANGS = 256
+#: Characters that one step of the arithmetic handles.
+PIECE = 1 << 17
 _letters: list[np.ndarray] = []
 
 
@@ -45,21 +49,53 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed n-grams of the texts, one after another, and how many each text has. All but letters counts as one space."""
-    lowered = [(t or "").lower() for t in texts]
-    joined = "\0".join(lowered) + "\0"
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    ends = np.cumsum([len(t) + 1 for t in lowered])
+def grams(texts: list[str], before: tuple[bool, int, int] | None = None, ends: bool = True) -> tuple[np.ndarray, np.ndarray, tuple[bool, int, int]]:
+    """The hashed n-grams of the texts, one after another, how many each text has, and what the next piece of the last one takes as before.
+
+    All but letters counts as one space, after a letter only; two spaces stand before a text. before: for a piece of one
+    text, whether a letter precedes it and the last two characters that count; ends: whether the texts end there."""
+    lowered = [t.lower() for t in texts]
+    mark = "\0" if ends else ""
+    points = np.frombuffer((mark.join(lowered) + mark).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) + len(mark) for t in lowered], np.int64)
     word = letters()[points]
     near = word.copy()
     near[1:] |= word[:-1]  # a letter, or what follows one
+    after, last, second = before or (False, 0, 0)
+    if after and len(near):
+        near[0] = True
     chars = np.where(word, points, 0)[near].astype(np.uint32)
-    per_text_chars = np.diff(np.concatenate([[0], np.cumsum(near)[ends - 1]]))
-    a, b, c = np.concatenate([[0, 0], chars[:-2]])[: len(chars)].astype(np.uint32), np.concatenate([[0], chars[:-1]])[: len(chars)].astype(np.uint32), chars
-    two = (b * np.uint32(0x9E3779B1) + c * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
-    three = (a * np.uint32(0xC2B2AE35) + b * np.uint32(0x27D4EB2F) + c * np.uint32(0x165667B1)) >> np.uint32(32 - BITS)
-    return np.stack([two, three], 1).ravel().astype(np.int32), 2 * per_text_chars
+    so_far = np.concatenate([[0], np.cumsum(near)])[np.concatenate([[0], np.cumsum(sizes)])]
+    counts = np.diff(so_far)
+    b, a = np.zeros_like(chars), np.zeros_like(chars)
+    b[1:], a[2:] = chars[:-1], chars[:-2]
+    first = so_far[:-1][counts > 0]
+    b[first], a[first] = last, second
+    a[so_far[:-1][counts > 1] + 1] = last
+    two = (b * np.uint32(0x9E3779B1) + chars * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
+    three = (a * np.uint32(0xC2B2AE35) + b * np.uint32(0x27D4EB2F) + chars * np.uint32(0x165667B1)) >> np.uint32(32 - BITS)
+    both = np.concatenate([[second, last], chars[-2:]])[-2:]
+    return np.stack([two, three], 1).ravel().astype(np.int32), 2 * counts, (bool(word[-1]) if len(word) else after, int(both[1]), int(both[0]))
+
+
+def steps(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(places, hashed n-grams, how many each place has) of the texts, PIECE characters at a time; a longer text comes in several steps."""
+    run, size = [], 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        if size + len(text) > PIECE and run:
+            yield (run, *grams([texts[j] or "" for j in run])[:2])
+            run, size = [], 0
+        if len(text) <= PIECE:
+            run.append(i)
+            size += len(text)
+            continue
+        before = None
+        for start in range(0, len(text), PIECE):
+            hashed, counts, before = grams([text[start : start + PIECE]], before, start + PIECE >= len(text))
+            yield [i], hashed, counts
+    if run:
+        yield (run, *grams([texts[j] or "" for j in run])[:2])
 
 
 def codewords(n: int) -> np.ndarray:
@@ -88,20 +124,14 @@ class Model:
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """Each bit's mean log odds over a text's n-grams; nan without a letter."""
-        hashed, counts = grams(texts)
-        out = np.full((len(texts), self.code.shape[1]), np.nan)
-        ends = np.cumsum(counts)
-        sums = np.zeros((len(texts), self.code.shape[1]))
-        for start in range(0, len(hashed), _STEP):  # a long text is summed over several steps
-            stop = min(start + _STEP, len(hashed))
-            first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop - 1, "right")
-            rows = np.arange(first, last + 1)
-            rows = rows[counts[rows] > 0]
-            cuts = np.maximum(ends[rows] - counts[rows], start) - start
-            sums[rows] += np.add.reduceat(self.weights[hashed[start:stop]], cuts, axis=0)
-        some = counts > 0
-        out[some] = sums[some] / counts[some, None]
-        return out
+        sums, seen = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts))
+        for places, hashed, counts in steps(texts):
+            some = counts > 0
+            rows, cuts = np.array(places)[some], (np.cumsum(counts) - counts)[some]
+            if len(rows):
+                sums[rows] += np.add.reduceat(self.weights[hashed], cuts, axis=0, dtype=np.float64)
+                seen[rows] += counts[some]
+        return np.where(seen[:, None] > 0, sums / np.maximum(seen, 1)[:, None], np.nan)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         if not self.langs:
@@ -127,29 +157,31 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_lang: int) -> DataFrame:
     """(lang, text) of labelled documents in training: all of a rare language, of others a share that makes per_lang expected."""
     usable = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)) & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}  # a row a language
-    if not counts:
-        return usable.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.lit(False))
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
-    drawn = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), F.lit(1 << 30)) / (1 << 30) < share[F.col(lang)]
-    return usable.where(drawn).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    usable = usable.select(F.col(doc_id).cast("string").alias("__id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    # one row a language, MOST_LANGS at most
+    counts = usable.groupBy(F.col("lang").alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(MOST_LANGS)
+    draw = F.pmod(F.xxhash64("__id", "text", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    return usable.join(F.broadcast(counts), F.col("lang") == F.col("__lang")).where(draw < per_lang / F.col("count")).select("lang", "text")
 
 
 def fit(labelled: DataFrame, smooth: float = 0.5) -> Model:
     """A model from (lang, text): two passes, one for n-gram counts, one for how often each bit's classifier is right."""
 
+    small_batches(labelled.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                langs, (hashed, n) = part.column(0).to_pylist(), grams(part.column(1).to_pylist())
-                of = np.repeat(np.arange(len(langs)), n)
-                for name in set(langs):
-                    mine = np.array([x == name for x in langs])
-                    sums[name] = sums.get(name, 0) + np.bincount(hashed[mine[of]], minlength=SIZE)
+                langs = np.array(part.column(0).to_pylist(), object)
+                for places, hashed, n in steps(part.column(1).to_pylist()):
+                    names, of = np.unique(langs[places], return_inverse=True)
+                    found = np.bincount(np.repeat(of, n) * SIZE + hashed, minlength=len(names) * SIZE).reshape(-1, SIZE)
+                    for name, v in zip(names, found, strict=True):
+                        sums[name] = sums.get(name, 0) + v
         for name, v in sums.items():
             at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "gram", "n"])
 
     rows = labelled.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(rows["lang"]))
@@ -194,9 +226,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     return per_text(docs, text, fields, lambda: shared.value.predict, keep)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def with_letter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs whose text has a letter. No shuffle."""
-    tested = per_text(docs, text, [T.StructField("__letter", T.BooleanType())], lambda: lambda texts: [(grams(texts)[1] > 0).tolist()])
+    tested = per_text(docs, text, [T.StructField("__letter", T.BooleanType())], lambda: lambda texts: [[has_letter(t) for t in texts]])
     return tested.where("__letter").drop("__letter")
 
 

@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Prose and names fall into few tokens of a tiktoken vocabulary, random strings into many. So a run of key characters
-whose characters per token are below RATIO is a secret of kind "random", unless it has the form of a known digest or
-identifier (hexadecimal digest lengths, UUIDs, dates, plain numbers). Below SURE characters a run in the letter case of a
-word, or with other signs in it, must be below STRICT. Of a run that meets spans of the patterns, the rest is tested.
+whose characters per token are below RATIO is a secret of kind "random", unless it is one of the strings given as known,
+or has the form of a digest or identifier (hexadecimal digest lengths, UUIDs, dates, plain numbers). Below SURE characters
+a run in the letter case of a word, or with other signs in it, must be below STRICT. Every run of FLOOR characters is
+measured: n_tested counts them, n_known those that are excluded, n_confirmed those that are random by this test and met
+by a pattern's span too, least_ratio is the lowest ratio of characters per token of a run that isn't excluded. Of a run
+that meets spans of the patterns, the rest makes spans of its own if it passes the test.
 What the ratio doesn't tell from words is not found: runs below FLOOR characters, and runs cut to less by spaces, dots,
 brackets, quotes, colons, commas or other letters than ASCII.
 
@@ -16,12 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .byte_bpe import parse_ranks
-from .common import per_text
+from .common import held, per_text
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -44,17 +49,15 @@ KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|\d{4}-\d\d-\d\dT?[\d-]*Z?)\Z"
 )
-_encodings: dict[tuple, object] = {}
-
-
 def encoding(rank_file: bytes, pattern: str):
     """One for each Python worker."""
-    key = (hashlib.sha256(rank_file).digest(), pattern)
-    if key not in _encodings:
+
+    def make():
         import tiktoken
 
-        _encodings[key] = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=parse_ranks(rank_file), special_tokens={})
-    return _encodings[key]
+        return tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=parse_ranks(rank_file), special_tokens={})
+
+    return held(("secrets", hashlib.sha256(rank_file).digest(), pattern), make)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -65,81 +68,131 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
 
 
-def _outside(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """What remains of a run outside the base spans, which are in order of their starts."""
-    out = []
+def _merged(base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The stretches that base spans, in order of their starts, cover."""
+    out: list[tuple[int, int]] = []
     for s, e, _ in base:
-        if s < end and start < e:
-            if start < s:
-                out.append((start, s))
-            start = max(start, e)
-    return [*out, (start, end)] if start < end else out
-
-
-def _random(run: str, enc, ratio: float) -> bool:
-    return len(run) >= FLOOR and not KNOWN.match(run) and len(run) < ratio * len(enc.encode_ordinary(run))
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
 
-def random_spans(text: str, enc, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out = []
+@dataclass
+class Test:
+    """The token-efficiency test over the runs of one text."""
+
+    enc: object
+    known: frozenset[str]
+    tested: int = 0
+    excluded: int = 0
+    confirmed: int = 0
+    least: float | None = None
+    last: tuple[str, int] = ("", 0)
+
+    def tokens(self, run: str) -> int:
+        if run != self.last[0]:
+            self.last = (run, len(self.enc.encode_ordinary(run)))
+        return self.last[1]
+
+    def random(self, run: str, ratio: float) -> bool:
+        if len(run) < FLOOR:
+            return False
+        if run in self.known or KNOWN.match(run):
+            return False
+        return len(run) < ratio * self.tokens(run)
+
+    def key(self, run: str) -> bool:
+        return self.random(run, STRICT if len(run) < SURE and WORD.match(run) else RATIO)
+
+    def measure(self, run: str, met: bool) -> None:
+        """Counts a whole run, whether or not a pattern's span meets it."""
+        self.tested += 1
+        if run in self.known or KNOWN.match(run):
+            self.excluded += 1
+            return
+        ratio = len(run) / self.tokens(run)
+        self.least = ratio if self.least is None else min(self.least, ratio)
+        strict = KEY.fullmatch(run) is None or len(run) < SURE and WORD.match(run)
+        self.confirmed += met and ratio < (STRICT if strict else RATIO)
+
+
+def random_spans(text: str, test: Test, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that the test adds. One walk over the runs and the base spans together."""
+    out, covered, at = [], _merged(base), 0
     for m in CANDIDATE.finditer(text):
         if m.end() - m.start() < FLOOR:
             continue
-        for start, end in _outside(m.start(), m.end(), base):
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        free, start, i = [], m.start(), at
+        while i < len(covered) and covered[i][0] < m.end():
+            if start < covered[i][0]:
+                free.append((start, covered[i][0]))
+            start = max(start, covered[i][1])
+            i += 1
+        if start < m.end():
+            free.append((start, m.end()))
+        test.measure(m[0], i > at)
+        for start, end in free:
             run = text[start:end].rstrip(SIGNS)
             start, run = start + len(run) - len(run.lstrip(SIGNS)), run.lstrip(SIGNS)
-            if KEY.fullmatch(run) is None and any(c.isalpha() for c in run) and _random(run, enc, STRICT):
+            if KEY.fullmatch(run) is None and any(c.isalpha() for c in run) and test.random(run, STRICT):
                 out.append((start, start + len(run), "random"))
                 continue
-            for k in KEY.finditer(run):
-                strict = len(k[0]) < SURE and WORD.match(k[0])
-                if _random(k[0], enc, STRICT if strict else RATIO):
-                    out.append((start + k.start(), start + k.end(), "random"))
+            out += [(start + k.start(), start + k.end(), "random") for k in KEY.finditer(run) if test.key(k[0])]
     return out
 
 
-def spans(text: str, enc) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """The base spans, and all spans in the same order."""
-    base = base_spans(text)
-    return base, sorted(base + random_spans(text, enc, base), key=lambda x: (x[0], KINDS.index(x[2])))
+def spans(text: str, enc, known: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], Test]:
+    """The base spans, all spans in the same order, and what the test measured."""
+    base, test = base_spans(text), Test(enc, known)
+    return base, sorted(base + random_spans(text, test, base), key=lambda x: (x[0], KINDS.index(x[2]))), test
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in found)
 
 
-def scan(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, base_sha256, spans and n_random. No shuffle."""
+def scan(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, known: Iterable[str] = ()) -> DataFrame:
+    """docs with n_assign, n_access, n_hex, base_sha256, spans, n_random, n_tested, n_known, n_confirmed and least_ratio. No shuffle.
+
+    known: digests and identifiers that are no secrets, as the tasks hold them: a list of bounded size."""
     with open(rank_path, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
-    fields = [T.StructField(n, t) for n, t in (("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_random", T.LongType()))]
+        data = docs.sparkSession.sparkContext.broadcast((f.read(), frozenset(known)))
+    counts = [T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex")]
+    texts_ = [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
+    more = [T.StructField(n, T.LongType()) for n in ("n_random", "n_tested", "n_known", "n_confirmed")]
 
     def make():
-        enc = encoding(data.value, pattern)
+        enc, fixed = encoding(data.value[0], pattern), data.value[1]
 
         def compute(texts):
-            both = [spans(t or "", enc) for t in texts]
-            count = lambda i, kind: [sum(x[2] == kind for x in b[i]) for b in both]
-            return [count(0, "assign"), count(0, "access"), count(0, "hex"), [hashlib.sha256(joined(b[0]).encode()).hexdigest() for b in both], [joined(b[1]) for b in both], count(1, "random")]
+            found = [spans(t or "", enc, fixed) for t in texts]
+            count = lambda i, kind: [sum(x[2] == kind for x in b[i]) for b in found]
+            tests = [b[2] for b in found]
+            measured = [[t.tested for t in tests], [t.excluded for t in tests], [t.confirmed for t in tests], [t.least for t in tests]]
+            return [count(0, "assign"), count(0, "access"), count(0, "hex"), [hashlib.sha256(joined(b[0]).encode()).hexdigest() for b in found], [joined(b[1]) for b in found], count(1, "random"), *measured]
 
         return compute
 
-    return per_text(docs, text, fields, make, keep)
+    return per_text(docs, text, [*counts, *texts_, *more, T.StructField("least_ratio", T.DoubleType())], make, keep)
 
 
-def redact(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", mark: str = "[SECRET]", known: Iterable[str] = ()) -> DataFrame:
     """docs with each secret in text replaced by mark; overlapping spans become one mark. Null stays null. No shuffle."""
     with open(rank_path, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
+        data = docs.sparkSession.sparkContext.broadcast((f.read(), frozenset(known)))
 
     def make():
-        enc = encoding(data.value, pattern)
+        enc, fixed = encoding(data.value[0], pattern), data.value[1]
 
         def clean(t):
             if t is None:
                 return None
             out, at = [], 0
-            for s, e, _ in spans(t, enc)[1]:
+            for s, e, _ in spans(t, enc, fixed)[1]:
                 if s >= at:
                     out += [t[at:s], mark]
                 at = max(at, e)

@@ -7,12 +7,14 @@ threshold (1 + 1) of either half, 16 at most, and is compared there with the fin
 and no anchor gathers more than what lies within 2 of it.
 
 Cases: a null or empty text has no word and so fingerprint zero, which links like any other; texts of any length are
-read whole; documents with one fingerprint (ties, repeated rows) are one node of the search, never pairs; an empty
+read whole, in pieces; documents with one fingerprint (ties, repeated rows) are one node of the search, never pairs; an empty
 table gives an empty table; only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -24,27 +26,38 @@ from .common import components, materialize, per_text
 
 HALF = 31
 SHIFTS = (0, HALF)
-_STEP = 1 << 16
+#: Bytes of a text that are cut into words at a time.
+PIECE = 1 << 19
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PIECE bytes that end where a word does."""
+    start = 0
+    while start < len(text):
+        end = _GAP.search(text, start + PIECE)
+        stop = end.start() if end else len(text)
+        yield text[start:stop]
+        start = stop
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """SimHash of the word shingles of a text, unsigned; 0 without words."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
-    if not words:
-        return 0
-    if len(words) < size:
-        words = [b" ".join(words)]
-        size = 1
-    ones, n = np.zeros(64, np.int64), len(words) - size + 1
-    for start in range(0, n, _STEP):
-        part = words[start : start + _STEP + size - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(size)), strict=False))
+    ones, n, words = np.zeros(64, np.int64), 0, []
+
+    def add(shingles) -> int:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        ones[:] += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        return len(hashes)
+
+    for piece in _pieces((text or "").encode("utf-8", "surrogatepass")):
+        words = words[len(words) - min(size - 1, len(words)) :] + piece.lower().split()  # bytes: only A-Z, only ASCII white space
+        n += add(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+    if not n and words:
+        n = add([b" ".join(words)])
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -23,12 +23,12 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import per_text
+from .common import held, per_text
 
 MARK = "▁"
 LONG = 200
-#: Nodes and pre-tokens that a Python worker keeps before it starts anew.
-NODES = 1_500_000
+#: Nodes, and pre-tokens, that a Python worker keeps before it starts anew: some 60 MB.
+NODES = 400_000
 FIELDS = [T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())]
 
 
@@ -113,15 +113,9 @@ class Counter:
         return out
 
 
-_counters: dict[bytes, Counter] = {}
-
-
 def counter(model: bytes) -> Counter:
     """One for each Python worker."""
-    key = hashlib.sha256(model).digest()
-    if key not in _counters:
-        _counters[key] = Counter(zipf_scores(model))
-    return _counters[key]
+    return held(("token_counts", hashlib.sha256(model).digest()), lambda: Counter(zipf_scores(model)))
 
 
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
