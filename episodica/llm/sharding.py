@@ -1,20 +1,24 @@
 """Sharding by a hierarchical weighted hash tree of regions, racks and shards.
 
-A shard's draw for a document is exponential with the shard's weight as rate, from a hash of id and shard; the draw of
-a rack or region is the least draw below it, which is exponential with the weight of the whole subtree as rate. A
-document descends to the region, then rack, then shard of the least draw. As draws of unchanged subtrees stay, a change
-of one weight moves documents only into or out of the subtree that holds it; a new shard takes documents only into
-itself. (With a draw of each node for itself, documents that enter a grown region would spread over its old shards.)
+A document descends: of the regions it takes the one of the least draw, then of that region's racks, then of that rack's
+shards. A node's draw is exponential, from a hash of id and node, with the weight of its whole subtree as rate; so a node
+gets its share by weight, and a descent costs one draw for each child on the way. Where a weight changes, the draws of
+the node's ancestors change with their weights, and documents move only into or out of these subtrees, or inside them.
+
+A shard that is added opens a region of its own: no weight that was there changes, so it takes documents only into
+itself (the key law). base says how many shards the balanced part of the tree has; the shards beyond it were added.
 
 All steps are DataFrame operations; only ids, sizes and checksums are shuffled, never texts.
 
-Cases: a null text has no bytes, so size 16 and checksum 0; rows with a null id go by the hash's seed, together; ties
-in the slot go by id, size and checksum, and repeated rows get a slot each; an empty table gives an empty table; only
-the named columns are read.
+Cases: a null text has no bytes, so size 16 and checksum 0; rows with a null id go by the hash's seed, together, to one
+shard, but not into one task; slots go by a hash of id, size and checksum, and rows that share all three get slots side
+by side; an empty table gives an empty table; only the named columns are read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,33 +29,89 @@ OVERHEAD = 16
 ROWS = 10_000
 
 
-def tree(n_shards: int, shards_per_rack: int = 5, racks_per_region: int = 2, weights: dict[int, float] | None = None) -> list[tuple[int, int, int, float]]:
-    """(region, rack, shard, weight) of each leaf; a shard weighs 1 unless weights says otherwise, and 0 takes it out."""
-    leaves = [(i // (shards_per_rack * racks_per_region), i // shards_per_rack, i, float((weights or {}).get(i, 1.0))) for i in range(n_shards)]
-    return [x for x in leaves if x[3] > 0]
+@dataclass(frozen=True)
+class Node:
+    """A region, rack or shard: its number, its subtree's weight, and what it holds."""
+
+    number: int
+    weight: float
+    children: tuple[Node, ...] = ()
+
+
+def tree(n_shards: int, shards_per_rack: int = 5, racks_per_region: int = 2, weights: dict[int, float] | None = None, base: int | None = None) -> tuple[Node, ...]:
+    """The regions of n_shards shards. A shard weighs 1 unless weights says otherwise, and 0 takes it out, with what is left empty.
+
+    base: shards in full racks and regions (all whole regions of n_shards, if not given); each one beyond is a region of its own."""
+    per_region = shards_per_rack * racks_per_region
+    base = n_shards // per_region * per_region if base is None else min(base, n_shards)
+
+    def over(number: int, children: list[Node]) -> list[Node]:
+        children = [c for c in children if c.weight > 0]
+        return [Node(number, sum(c.weight for c in children), tuple(children))] if children else []
+
+    def leaf(i: int) -> Node:
+        return Node(i, float((weights or {}).get(i, 1.0)))
+
+    out = []
+    for region in range(-(-base // per_region)):
+        racks = []
+        for rack in range(region * racks_per_region, (region + 1) * racks_per_region):
+            racks += over(rack, [leaf(i) for i in range(rack * shards_per_rack, min((rack + 1) * shards_per_rack, base))])
+        out += over(region, racks)
+    first_region, first_rack = -(-base // per_region), -(-base // per_region) * racks_per_region
+    for i in range(base, n_shards):
+        out += over(first_region + i - base, over(first_rack + i - base, [leaf(i)]))
+    return tuple(out)
+
+
+def draw(doc_id: Column, level: str, number: Column, weight: Column) -> Column:
+    """Exponential with weight as rate, from a hash of the id and the node."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(level), number), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(uniform) / weight
+
+
+def _nodes(nodes: tuple[Node, ...]) -> Column:
+    return F.array(*[F.struct(F.lit(n.number).alias("number"), F.lit(n.weight).alias("weight")) for n in nodes])
+
+
+def _least(doc_id: Column, level: str, nodes: Column) -> Column:
+    """struct(draw, number) of the node of least draw."""
+    return F.array_min(F.transform(nodes, lambda n: F.struct(draw(doc_id, level, n["number"], n["weight"]).alias("draw"), n["number"].alias("number"))))
 
 
-def place(doc_id: Column, leaves: list[tuple[int, int, int, float]]) -> Column:
-    """struct(draw, region, rack, shard) of the shard that doc_id descends to."""
-    shards = F.array(*[F.struct(F.lit(r).alias("region"), F.lit(k).alias("rack"), F.lit(s).alias("shard"), F.lit(w).alias("weight")) for r, k, s, w in leaves])
+def descend(docs: DataFrame, regions: tuple[Node, ...], doc_id: str = "doc_id") -> DataFrame:
+    """docs with region, rack, shard, and __draw of the region: three choices, each among the children of the one before."""
+    racks = [k for r in regions for k in r.children]
 
-    def draw(leaf: Column) -> Column:
-        uniform = (F.shiftrightunsigned(F.xxhash64(doc_id, leaf.getField("shard")), 11).cast("double") + 0.5) / float(1 << 53)
-        return F.struct((-F.log(uniform) / leaf.getField("weight")).alias("draw"), leaf.getField("region").alias("region"), leaf.getField("rack").alias("rack"), leaf.getField("shard").alias("shard"))
+    def below(nodes, chosen: str) -> Column:
+        """The children of the chosen node."""
+        parents = F.create_map(*[x for n in nodes for x in (F.lit(n.number), _nodes(n.children))])
+        return F.element_at(parents, F.col(chosen))
 
-    # the least of the regions' least of their racks' least draws: one pass over the leaves of all subtrees
-    return F.array_min(F.transform(shards, draw))
+    key = F.col(doc_id)
+    out = docs.withColumn("__r", _least(key, "region", _nodes(regions)))
+    out = out.withColumns({"__draw": F.col("__r.draw"), "region": F.col("__r.number")}).drop("__r")
+    out = out.withColumn("rack", _least(key, "rack", below(regions, "region"))["number"])
+    return out.withColumn("shard", _least(key, "shard", below(racks, "rack"))["number"])
 
 
 def assign(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", **shape) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, region, rack): a row for each document. slot counts from 0 in each shard without a gap."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    leaves, grown = tree(n_shards, **shape), tree(n_shards + 1, **shape)
+    regions = tree(n_shards, **shape)
+    added = max(n.number for n in regions) + 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(value) + OVERHEAD).cast("long").alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"))
-    rows = materialize(rows.withColumn("at", place(F.col("doc_id"), leaves)).withColumn("then", place(F.col("doc_id"), grown)).select("doc_id", "size", "text_crc32", "at.region", "at.rack", "at.shard", F.col("then.shard").alias("grown_shard")))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(1 << 30)) / float(1 << 30)
-    rows = bucketed(rows, spread, ROWS * n_shards)
-    before = offsets(rows, ["shard"], {"n": F.lit(1)}).select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), "__before_n")
+    # rows that share id, size and checksum are counted, so that no number of them meets in one task
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    rows = descend(rows, regions)
+    taken = draw(F.col("doc_id"), "region", F.lit(added), F.lit(float((shape.get("weights") or {}).get(n_shards, 1.0)))) < F.col("__draw")
+    rows = materialize(rows.withColumn("grown_shard", F.when(taken, n_shards).otherwise(F.col("shard"))).drop("__draw"))
+    order = F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot"))
+    rows = bucketed(rows.withColumn("__order", order), F.pmod("__order", F.lit(1 << 30)) / float(1 << 30), ROWS * n_shards)
+    before = offsets(rows, ["shard"], {"n": F.col("copies")}).select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), "__before_n")
     rows = rows.join(before, (rows.shard == before["__s"]) & (rows["__bucket"] == before["__b"]))
-    slot = F.row_number().over(W.partitionBy("shard", "__bucket").orderBy("doc_id", "size", "text_crc32")) - 1 + F.col("__before_n")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard", "region", "rack")
+    here = W.partitionBy("shard", "__bucket").orderBy("__order", "doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("__before_n") + F.coalesce(F.sum("copies").over(here), F.lit(0))
+    rows = rows.withColumn("__first", first)
+    rows = rows.withColumn("slot", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("copies") - 1)))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "region", "rack")
