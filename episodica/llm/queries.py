@@ -24,7 +24,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), chat_format.json_of(instruction=ok, output=ok).alias("record"))
     records = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), record.alias("record")).unionByName(extra)
-    return chat_format.digests(chat_format.format_records(records))
+    return chat_format.digests(chat_format.format_records(records, roles={}))
 
 
 def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
