@@ -7,7 +7,8 @@ and, from the DC terms alone, a thumbnail of one luminance sample a block.
 Restart intervals (INTERVAL blocks) are independent of each other, so the reader decodes those of a whole batch of
 files side by side: a numpy step reads the next symbol of every interval at once.
 
-Cases: a null or empty text is one unit of zeros; texts of any length are stored whole (over 4 GB a file would pass
+Cases: a null or empty text is one unit of zeros; texts of any length are stored whole, long ones piece by piece in memory
+that is a small multiple of the text's own (over 4 GB a file would pass
 65,535 samples a side; a Spark string can't be so long); equal texts give equal files; a file that isn't baseline JPEG
 with its components in one scan gives nulls (read_media); repeated rows are stored each; an empty table gives an empty table; other
 columns stay, except those named as a result.
@@ -19,7 +20,8 @@ import hashlib
 import math
 import struct
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ from .common import per_text
 
 UNIT = 64
 INTERVAL = 4
-#: Bytes of payload that one step of writing and reading handles; a longer payload is a step of its own.
+#: Bytes of payload that one step of writing and reading handles; a longer payload takes several steps. A multiple of 8 intervals.
 STEP = 1 << 20
 #: Code lengths of the symbols (zero run << 4 | size) that the writer uses; fixed, so equal payloads give equal files.
 DC_LENGTHS = {s: 4 for s in range(12)}
@@ -111,8 +113,27 @@ def padded(data: bytes) -> bytes:
 def write(payloads: list[bytes]) -> list[bytes]:
     """A baseline JPEG file for each payload, whose length is a positive multiple of 64."""
     sides = [shape(len(p) // UNIT) for p in payloads]
-    blocks = np.array([w * h for w, h in sides])
-    raw = np.frombuffer(b"".join(p + bytes(w * h * UNIT - len(p)) for p, (w, h) in zip(payloads, sides, strict=True)), np.uint8)
+    scans = _scans(payloads, [w * h for w, h in sides])
+    return [_header(len(p) // UNIT, w, h) + scan for p, (w, h), scan in zip(payloads, sides, scans, strict=True)]
+
+
+def write_long(payload: bytes) -> bytes:
+    """The same for one payload, STEP bytes at a time."""
+    wide, high = shape(len(payload) // UNIT)
+    out, step = bytearray(_header(len(payload) // UNIT, wide, high)), STEP // UNIT
+    for start in range(0, wide * high, step):
+        n = min(step, wide * high - start)
+        (scan,) = _scans([payload[start * UNIT : (start + n) * UNIT]], [n])
+        out += scan
+        if start + n < wide * high:
+            out[-1] = 0xD7  # a piece ends with every eighth interval, the file with its last
+    return bytes(out)
+
+
+def _scans(payloads: list[bytes], in_scan: list[int]) -> list[bytes]:
+    """The scans of payloads in so many blocks each; what a payload doesn't fill are zeros."""
+    blocks = np.array(in_scan)
+    raw = np.frombuffer(b"".join(p + bytes(n * UNIT - len(p)) for p, n in zip(payloads, in_scan, strict=True)), np.uint8)
     values = raw.reshape(-1, UNIT).astype(np.int32) + 1
     lanes_of = -(-blocks // INTERVAL)
     first = np.cumsum(blocks) - blocks
@@ -155,7 +176,7 @@ def write(payloads: list[bytes]) -> list[bytes]:
     out[marks[last] + 1] = 0xD9
     cuts = np.concatenate([[0], marks[last] + 2])
     scan = out.tobytes()
-    return [_header(len(p) // UNIT, w, h) + scan[a:b] for p, (w, h), a, b in zip(payloads, sides, cuts[:-1], cuts[1:], strict=True)]
+    return [scan[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @dataclass
@@ -335,10 +356,38 @@ def decode(images: list[Image]) -> None:
             image.coded = out[first[i] : first[i] + counts[i]]
 
 
+def decode_long(image: Image, step: int) -> Iterator[np.ndarray | None]:
+    """The blocks of a file of one component with restart intervals, about so many at a time; None, and an end, where the scan is broken."""
+    data = np.frombuffer(image.scan, np.uint8)
+    blocks = image.mcus[0] * image.mcus[1]
+    start, done, at, marks = 0, 0, 0, []
+    per_piece = max(1, step // image.interval)
+    while done < blocks:
+        while len(marks) < per_piece and at < len(data) - 1:
+            window = data[at : at + STEP + 1]
+            ff = np.flatnonzero(window[:-1] == 255)
+            marks += (at + ff[(window[ff + 1] >= 0xD0) & (window[ff + 1] <= 0xD9)]).tolist()
+            at += len(window) - 1
+        if not marks:
+            yield None
+            return
+        take = marks[:per_piece]
+        n = min(len(take) * image.interval, blocks - done)
+        piece = replace(image, width=8 * n, height=8, scan=image.scan[start : take[-1] + 2], coded=None)
+        decode([piece])
+        yield piece.coded
+        if piece.coded is None:
+            return
+        start, done, marks = take[-1] + 2, done + n, marks[per_piece:]
+
+
 def thumbnail(image: Image) -> np.ndarray:
     """One luminance sample (0 to 255) for each block, from its DC term alone."""
-    dc = image.blocks[:, 0] * int(image.quant[0])
-    return np.clip((dc + 4) // 8 + 128, 0, 255).astype(np.uint8).reshape(image.down, image.across)
+    return _samples(image.blocks, image).reshape(image.down, image.across)
+
+
+def _samples(blocks: np.ndarray, image: Image) -> np.ndarray:
+    return np.clip((blocks[:, 0] * int(image.quant[0]) + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
 
 def average_hash(thumb: np.ndarray) -> str:
@@ -359,8 +408,8 @@ def read(files: list[bytes | None]) -> list[Image | None]:
     return [i if i is not None and i.coded is not None else None for i in images]
 
 
-def feature(image: Image) -> str:
-    thumb = thumbnail(image)
+def feature(image: Image, thumb: np.ndarray | None = None) -> str:
+    thumb = thumbnail(image) if thumb is None else thumb
     return f"{image.width}x{image.height}:{average_hash(thumb)}:{zlib.crc32(thumb.tobytes()):08x}"
 
 
@@ -373,11 +422,30 @@ def payload(image: Image) -> bytes:
 FIELDS = [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
 
 
+def _store_long(raw: bytes) -> tuple:
+    """A row of FIELDS, and the file, for a text over STEP bytes: stored and read back piece by piece."""
+    data = write_long(padded(raw))
+    image = parse(data)
+    units = int(image.comment.split()[1])
+    got, left, tail, thumb = hashlib.sha256(), units, b"", []
+    for coded in decode_long(image, STEP // UNIT):
+        thumb.append(_samples(coded, image))
+        piece = (coded[:left] - 1).astype(np.uint8).tobytes()
+        got.update(piece)
+        left, tail = left - min(left, len(coded)), piece[-UNIT:] or tail
+    shown = feature(image, np.concatenate(thumb).reshape(image.down, image.across))
+    return len(raw), (units - left) * UNIT, got.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), shown, data
+
+
 def _store(texts: list[str | None], media: bool) -> list[list]:
     rows: list[tuple] = []
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     start = 0
     while start < len(raws):
+        if len(raws[start]) > STEP:
+            rows.append(_store_long(raws[start])[: None if media else -1])
+            start += 1
+            continue
         end, total = start, 0
         while end < len(raws) and (end == start or total + len(raws[end]) <= STEP):
             total += len(raws[end])
@@ -397,8 +465,6 @@ def store_texts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
 
 def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
     """rows (binary column media) with width, height, feature and thumbnail (bytes, a sample a block); nulls where it is no baseline JPEG."""
-    from collections.abc import Iterator
-
     import pyarrow as pa
 
     fields = [("width", T.IntegerType(), pa.int32()), ("height", T.IntegerType(), pa.int32()), ("feature", T.StringType(), pa.string()), ("thumbnail", T.BinaryType(), pa.binary())]
