@@ -13,9 +13,14 @@ from .tiles import cosines
 
 
 def cold_start(turns: DataFrame, p: Params) -> DataFrame:
-    """(memory_id, ord, n, reason): the first valid turn at which a memory's graph is made."""
-    w = W.partitionBy("memory_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    rows = turns.where("valid").select("memory_id", "ord", "density", F.avg("density").over(w).alias("mean"), F.count("*").over(w).alias("n"))
+    """(memory_id, ord, n, reason): the first valid turn at which a memory's graph is made.
+
+    By p.cold_start turns it fires at the latest, so of a memory of any size only so many are windowed; Spark cuts each
+    task's rows to these before the shuffle."""
+    first = W.partitionBy("memory_id").orderBy("ord")
+    turns = turns.where("valid").withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= p.cold_start)
+    w = first.rowsBetween(W.unboundedPreceding, 0)
+    rows = turns.select("memory_id", "ord", "density", F.avg("density").over(w).alias("mean"), F.count("*").over(w).alias("n"))
     reason = F.when(F.col("density") >= p.density, "density").when((F.col("mean") >= 0.7 * p.density) & (F.col("n") >= 2), "mean").when(F.col("n") >= p.cold_start, "count")
     fired = rows.withColumn("reason", reason).where("reason IS NOT NULL")
     return fired.groupBy("memory_id").agg(F.min(F.struct("ord", "n", "reason")).alias("f")).select("memory_id", "f.ord", "f.n", "f.reason")

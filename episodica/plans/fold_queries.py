@@ -16,7 +16,7 @@ from ..sources import scratch
 from ..sources import tables as S
 from ..streaming import ingest
 from .adapters import TURNS, sql_overlap, sql_tokens, table, turns
-from .graph_memory import GRAPH, TALKS, edge_tables, memory_turns, node_tables, talks
+from .graph_memory import GRAPH, TALKS, edge_tables, memory_turns, node_tables, stored, talks
 from .memory_queries import _EVENTS, _SPANS, span_events, spans
 from .registry import query
 from .text_queries import sql_key_match
@@ -56,7 +56,7 @@ def initialise_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir).where("valid").withColumn("saliency", F.lit(0.0))
     c = folds.cluster_turns(t, CLUSTER, P).select("id", F.concat_ws("/", "memory_id", "cluster").alias("event_id"))
     t = scratch.materialize(t.join(c, "id"))  # read by every branch
-    nodes = node_tables(t)
+    nodes = stored(node_tables(t))
     out = events.frame(t, "event_id", P).join(events.titles(t, "event_id", P), "event_id")
     out = out.select("event_id", "title", "summary", F.size("members").alias("turns"), "start_time", "end_time", "importance")
     counted = {f"{g}_nodes": n for g, n in nodes.items()} | {f"{g}_edges": e for g, e in edge_tables(t, nodes).items()}

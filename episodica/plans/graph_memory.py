@@ -34,7 +34,13 @@ def memory_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("event_id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOPIC), 0)).alias("w"))
     topics = words.groupBy("event_id", "w").agg(F.count("*").alias("n")).groupBy("event_id").agg(F.max_by("w", F.struct("n", "w")).alias("topic"))
     t = turns(spark, sf_dir).where("valid").withColumnRenamed("memory_id", "event_id")
-    return t.join(topics, "event_id", "left").withColumn("memory_id", F.coalesce("topic", F.lit(""))).drop("topic")
+    # written, as every graph is made from it
+    return materialize(t.join(topics, "event_id", "left").withColumn("memory_id", F.coalesce("topic", F.lit(""))).drop("topic"))
+
+
+def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables that several steps read, written once."""
+    return {k: materialize(t) for k, t in tables.items()}
 
 
 def _weighted(nodes: DataFrame, as_of: float) -> DataFrame:
@@ -218,7 +224,7 @@ all_edges AS (SELECT 'entity' AS graph, * FROM entity_edges UNION ALL SELECT 'te
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of the three graphs; temporal and causal ones are inserted once."""
     t = memory_turns(spark, sf_dir)
-    tables = edge_tables(t, node_tables(t))
+    tables = edge_tables(t, stored(node_tables(t)))
     out = None
     for name, e in tables.items():
         e = e.select(F.lit(name).alias("graph"), "event_id", "source", "target", "relation_label", "weight", F.col("frequency").cast("long").alias("frequency"))
@@ -268,7 +274,7 @@ class Retrieved:
     def __init__(self, spark: SparkSession, sf_dir: str):
         # what later steps read more than once is written
         t = memory_turns(spark, sf_dir)
-        nodes = node_tables(t)
+        nodes = stored(node_tables(t))
         self.nodes = materialize(candidates(nodes))
         self.events = materialize(event_table(t, {g: self.nodes.where(F.col("graph") == g).withColumn("ord", F.col("graph_ord")) for g in nodes}))
         self.questions = materialize(question_table(t))
@@ -357,8 +363,8 @@ FROM m LEFT JOIN evc USING (memory_id) LEFT JOIN ec USING (memory_id) LEFT JOIN
 def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns, events, coarse edges, and the nodes and edges of each graph, by memory."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t)
-    e = event_table(t, nodes)
+    nodes = stored(node_tables(t))
+    e = materialize(event_table(t, nodes))
     of = e.select("event_id", "memory_id")
     parts = {"turns": t, "events": e, "coarse_edges": coarse_graph(e)} | {f"{g}_nodes": n for g, n in nodes.items()} | {f"{g}_edges": x.join(of, "event_id") for g, x in edge_tables(t, nodes).items()}
     return report.counts(parts, "memory_id")
@@ -376,7 +382,7 @@ def _ratio(t: DataFrame, e: DataFrame, nodes: dict[str, DataFrame], key: str) ->
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of summaries and nodes over those of the turns, by memory."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t)
+    nodes = stored(node_tables(t))
     return _ratio(t, event_table(t, nodes), nodes, "memory_id")
 
 
@@ -388,8 +394,8 @@ FROM ev JOIN tc USING (event_id) LEFT JOIN rt USING (event_id) LEFT JOIN su USIN
 def event_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event as the snapshot shows it: eleven columns."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t)
-    e = event_table(t, nodes)
+    nodes = stored(node_tables(t))
+    e = materialize(event_table(t, nodes))
     counts = report.counts({"turn_count": t} | {f"{g}_count": n for g, n in nodes.items()}, "event_id")
     out = e.join(counts, "event_id").join(_ratio(t, e, nodes, "event_id"), "event_id", "left")
     return out.select("id", "title", "summary", "created_at", "updated_at", "turn_count", "entity_count", "temporal_count", "causal_count", F.col("survival").alias("survival_weight"), F.col("ratio").alias("compression_ratio"))
@@ -402,7 +408,7 @@ _LISTS = ", ".join(f"x{i} AS (SELECT event_id, list({{'ord': ord, 'id': id, 'bod
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event's nodes and edges of each graph, as one document of six lists."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t)
+    nodes = stored(node_tables(t))
     links = edge_tables(t, nodes)
     lists = {}
     for g in GRAPHS:
@@ -415,8 +421,8 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a batch of turns has made of the memory, in one row."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t)
-    e = event_table(t, nodes)
+    nodes = stored(node_tables(t))
+    e = materialize(event_table(t, nodes))
     n = report.counts({"turns": t.select(F.lit(1).alias("one")), "events": e.select(F.lit(1).alias("one")), "nodes": retrieve.union_nodes(nodes).select(F.lit(1).alias("one")), "coarse_edges": coarse_graph(e).select(F.lit(1).alias("one"))}, "one")
     with_one = {g: x.withColumn("one", F.lit(1)) for g, x in nodes.items()}
     return n.join(_ratio(t.withColumn("one", F.lit(1)), e.withColumn("one", F.lit(1)), with_one, "one"), "one").select("turns", "events", "nodes", "coarse_edges", "ratio")

@@ -10,7 +10,7 @@ from ..functions import vector as V
 from ..operators import edges, events, extract, folds, maintain, resolve, retrieve
 from ..profile import ASCII as P
 from .adapters import quote, sql_any, sql_overlap, sql_tokens, table
-from .graph_memory import AS_OF, EDGES, GRAPH, GRAPHS, PARAMS, causal_items, edge_tables, event_table, memory_turns, node_tables
+from .graph_memory import AS_OF, EDGES, GRAPH, GRAPHS, PARAMS, causal_items, edge_tables, event_table, memory_turns, node_tables, stored
 from .memory_queries import _ASKED, MERGE, asked, earlier
 from .registry import query
 from .text_queries import _sql_chunks, _sql_class, _sql_stage
@@ -23,7 +23,7 @@ LATER = AS_OF + 30 * 86400
 def _causal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Turns, causal nodes with the columns that a correction sets, and their edges."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t)
+    nodes = stored(node_tables(t))
     n = nodes["causal"].withColumns({"corrected": F.lit(False), "confidence": F.lit(1.0), "correction_source": F.lit("")})
     return t, n, edge_tables(t, nodes)["causal"]
 
@@ -108,7 +108,7 @@ def stage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _aged(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Nodes with their weights a month later, and tokens, and the edges."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t, LATER)
+    nodes = stored(node_tables(t, LATER))
     return {g: n.withColumn("k", X.tokens(F.col("text"))) for g, n in nodes.items()}, edge_tables(t, nodes)
 
 
@@ -169,7 +169,7 @@ def rebuilt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one turn are deleted: their turns wait again, their nodes and edges go."""
     t = memory_turns(spark, sf_dir)
-    nodes = node_tables(t)
+    nodes = stored(node_tables(t))
     links = edge_tables(t, nodes)
     gone = t.groupBy("event_id").agg(F.count("*").alias("n")).where("n = 1")
     tables = [*nodes.values(), *[e.withColumn("graph", F.lit(g)) for g, e in links.items()]]
@@ -182,19 +182,37 @@ def delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(
-    f"""{GRAPH}, e2 AS (SELECT event_id, kind, id, ord, {sql_tokens('text')} AS k FROM entity), v AS ({sql_embedding('e2', 'id', 'k')}), p AS (SELECT a.event_id, a.id AS a, b.id AS b, list_distinct(a.k) AS ta, list_distinct(b.k) AS tb FROM e2 a JOIN e2 b ON a.event_id = b.event_id AND a.kind = b.kind AND a.ord > b.ord),
+_ALIKE = f"""e2 AS (SELECT event_id, kind, id, ord, {sql_tokens('text')} AS k FROM entity), v AS ({sql_embedding('e2', 'id', 'k')}), p AS (SELECT a.event_id, a.id AS a, b.id AS b, list_distinct(a.k) AS ta, list_distinct(b.k) AS tb FROM e2 a JOIN e2 b ON a.event_id = b.event_id AND a.kind = b.kind AND a.ord > b.ord),
 cs AS (SELECT p.a, p.b, sum(x.w * y.w) AS cos FROM p JOIN v x ON x.id = p.a JOIN v y ON y.id = p.b AND x.idx = y.idx GROUP BY ALL), d AS (SELECT p.event_id, count(*) AS pairs FROM p LEFT JOIN cs USING (a, b) WHERE round(0.70 * greatest(coalesce(cos, 0), 0) + 0.30 * {sql_overlap('ta', 'tb')}, 9) >= {MERGE} GROUP BY ALL),
-m AS (SELECT event_id, count(*) AS node_count, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE coalesce(any_value(pairs), 0) / count(*)::DOUBLE END, 4) AS duplicate_ratio FROM entity LEFT JOIN d USING (event_id) GROUP BY event_id)
-SELECT event_id, CASE WHEN node_count >= 28 THEN 'size' WHEN node_count >= 10 AND duplicate_ratio >= 0.24 THEN 'duplicates' END AS reason FROM m WHERE node_count >= 28 OR node_count >= 10 AND duplicate_ratio >= 0.24"""
-)
+m AS (SELECT event_id, count(*) AS node_count, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE coalesce(any_value(pairs), 0) / count(*)::DOUBLE END, 4) AS duplicate_ratio FROM entity LEFT JOIN d USING (event_id) GROUP BY event_id)"""
+
+
+def _metrics(nodes: DataFrame) -> DataFrame:
+    n = nodes.withColumn("k", X.tokens(F.col("text")))
+    return resolve.duplicate_ratio(resolve.duplicates(n, ["event_id", "kind"], MERGE), n, "event_id")
+
+
+@query(f"{GRAPH}, {_ALIKE} SELECT event_id, CASE WHEN node_count >= 28 THEN 'size' WHEN node_count >= 10 AND duplicate_ratio >= 0.24 THEN 'duplicates' END AS reason FROM m WHERE node_count >= 28 OR node_count >= 10 AND duplicate_ratio >= 0.24")
 def rebuild_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with many entity nodes, or many alike."""
-    n = node_tables(memory_turns(spark, sf_dir))["entity"].withColumn("k", X.tokens(F.col("text")))
-    metrics = resolve.duplicate_ratio(resolve.duplicates(n, ["event_id", "kind"], MERGE), n, "event_id")
+    metrics = _metrics(node_tables(memory_turns(spark, sf_dir))["entity"])
     return maintain.rebuild_trigger(metrics.withColumns({"n_scores": F.lit(0), "mean_score": F.lit(1.0)}))
 
 
+@query(
+    f"""{GRAPH}, {EDGES}, {_ALIKE}, k AS (SELECT event_id, count(DISTINCT list_sort([source, target])) AS k FROM entity_edges GROUP BY ALL), t AS (SELECT event_id, max(ts) AS updated_at FROM tt GROUP BY ALL)
+SELECT m.event_id, node_count, duplicate_ratio::DOUBLE AS duplicate_ratio, round(CASE WHEN node_count < 2 THEN 0.0 ELSE least(1.0, coalesce(k, 0) / (node_count * (node_count - 1) / 2::DOUBLE)) END, 6)::DOUBLE AS edge_density, round(exp(-ln(2::DOUBLE) * ({AS_OF} - updated_at) / 21600.0::DOUBLE), 4)::DOUBLE AS survival FROM m JOIN t USING (event_id) LEFT JOIN k USING (event_id)"""
+)
+def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's counts, the share of nodes alike, how densely they are linked, and how fresh it is."""
+    t = memory_turns(spark, sf_dir)
+    nodes = stored(node_tables(t))
+    dense = edges.density(edge_tables(t, nodes)["entity"], nodes["entity"], "event_id")
+    fresh = t.groupBy("event_id").agg(F.round(V.decay(F.lit(AS_OF) - F.max("ts"), PARAMS.half_life), 4).alias("survival"))
+    out = _metrics(nodes["entity"]).join(dense, "event_id").join(fresh, "event_id")
+    return out.select("event_id", "node_count", "duplicate_ratio", F.round("density", 6).alias("edge_density"), "survival")
+
+
 # --- the one-graph form ---
 
 CLASSES = [k for k, _ in P.legacy_classes] + [P.legacy_other_class]
