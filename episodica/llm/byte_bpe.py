@@ -24,7 +24,7 @@ from .common import held, per_text
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 #: Bytes, as estimated, of pre-tokens and words that a Python worker remembers before it starts anew.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 _ENTRY = 190  # of an entry's objects and its place in a dictionary, besides its letters and ids
 _LETTERS = [chr(0x100 + b) for b in range(256)]
 #: A space beside other white space: only there can a match of the pattern run across the border between a space and what precedes it.

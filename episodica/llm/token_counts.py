@@ -27,8 +27,8 @@ from .common import held, per_text
 
 MARK = "▁"
 LONG = 200
-#: Nodes, and pre-tokens, that a Python worker keeps before it starts anew: some 60 MB.
-NODES = 400_000
+#: Nodes, and pre-tokens, that a Python worker keeps before it starts anew: some 200 MB.
+NODES = 1_500_000
 FIELDS = [T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())]
 
 
