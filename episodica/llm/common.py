@@ -111,6 +111,14 @@ def offsets(df: DataFrame, group: list[str], amounts: dict[str, Column]) -> Data
     )
 
 
+def expanded(df: DataFrame, copies: str, as_: str, at_once: int = 10_000) -> DataFrame:
+    """df with each row as often as copies (1 or more) says, numbered from 0 as as_; no array holds all copies of a row."""
+    blocks = F.explode(F.sequence(F.lit(0), F.expr(f"(`{copies}` - 1) DIV {at_once}")))
+    rows = df.withColumn("__block", blocks)
+    end = F.least(F.col(copies), (F.col("__block") + 1) * at_once) - 1
+    return rows.withColumn(as_, F.explode(F.sequence(F.col("__block") * at_once, end))).drop("__block")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each id of edges (a, b; long) can reach, for each id but the smallest itself.
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, lang_id, media, mixing, secrets, sharding, simhash, token_counts, vector_dedup
-from .common import read
+from . import byte_bpe, chat_format, filter_audit, importance, lang_id, media, mixing, multi_index, secrets, sharding, simhash, token_counts, vector_dedup
+from .common import materialize, read
 
 #: The vocabularies that the queries use; both are parameters of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,7 +66,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lang_id, op3_secrets, op4_byte_bpe, op5_vector_dedup, op6_media, op7_mixing, op8_sharding, op9_token_counts, op10_simhash)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(materialize(filter_audit.cells(docs, read(spark, sf_dir, "labels"))))
+
+
+def op12_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, read(spark, sf_dir, "benchmark").select("text"))
+
+
+_ALL = (op1_chat_format, op2_lang_id, op3_secrets, op4_byte_bpe, op5_vector_dedup, op6_media, op7_mixing, op8_sharding, op9_token_counts, op10_simhash)
+_ALL += (op11_filter_audit, op12_ann_search, op13_importance_resampling)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: The same rules in plain SQL: all draws come from md5, which both engines have.
 OP7_SQL = r"""
@@ -94,4 +110,38 @@ SELECT doc_id, size, source_size, target,
 FROM reached
 """
 
-ORACLE_SQL = {"op7_mixing": OP7_SQL}
+#: The five filters as bits, the cells of part and mask, and the prefixes by recursion.
+OP11_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+least AS (SELECT text, min(doc_id) AS least FROM split GROUP BY text),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masked AS (
+  SELECT s.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+    (len(s.words) < 50)::INT + 2 * (100 * len(list_distinct(s.words)) < 65 * len(s.words))::INT
+    + 4 * (100 * len(regexp_replace(s.text, '[^A-Z]', '', 'g')) > 5 * len(s.text))::INT
+    + 8 * regexp_matches(s.text, '[#$%&*|]')::INT + 16 * coalesce(s.doc_id > l.least, false)::INT AS mask
+  FROM split s JOIN least l ON s.text = l.text LEFT JOIN marks m ON s.doc_id = m.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+grown AS (
+  SELECT '' AS prefix, 0 AS step, 0 AS applied, 0 AS before, 0 AS bit
+  UNION ALL
+  SELECT g.prefix || l.letter, g.step + 1, g.applied | l.bit, g.applied, l.bit FROM grown g JOIN letters l ON g.applied & l.bit = 0),
+found AS (
+  SELECT c.part, g.prefix, g.step,
+    sum(CASE WHEN c.mask & g.applied = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN c.mask & g.bit > 0 AND c.mask & g.before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN c.mask & g.bit > 0 AND c.mask & g.before > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN c.mask = g.bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN c.mask & g.bit > 0 AND c.mask & g.before = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN c.mask & g.bit > 0 AND c.mask & g.before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM grown g, cells c WHERE g.step > 0 GROUP BY c.part, g.prefix, g.step),
+orders AS (SELECT prefix AS filter_order, unnest(range(1, 6)) AS at FROM grown WHERE step = 5),
+placed AS (SELECT f.part, o.filter_order, f.step, substr(o.filter_order, o.at, 1) AS letter, f.* EXCLUDE (part, step, prefix) FROM orders o JOIN found f ON f.prefix = o.filter_order[:o.at])
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM placed
+"""
+
+ORACLE_SQL = {"op7_mixing": OP7_SQL, "op11_filter_audit": OP11_SQL}
