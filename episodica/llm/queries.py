@@ -55,7 +55,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    return sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), 40, base=40)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

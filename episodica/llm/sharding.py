@@ -6,7 +6,9 @@ gets its share by weight, and a descent costs one draw for each child on the way
 the node's ancestors change with their weights, and documents move only into or out of these subtrees, or inside them.
 
 A shard that is added opens a region of its own: no weight that was there changes, so it takes documents only into
-itself (the key law). base says how many shards the balanced part of the tree has; the shards beyond it were added.
+itself (the key law). base says how many shards the balanced part of the tree was laid out for; the shards beyond it were
+added. It is stored with the layout and growth never changes it: with one base, the tree of one more shard is the same tree
+with one more region, whatever their number.
 
 All steps are DataFrame operations; only ids, sizes and checksums are shuffled, never texts.
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, offsets
+from .common import bucketed, expanded, materialize, offsets
 
 OVERHEAD = 16
 ROWS = 10_000
@@ -38,12 +40,13 @@ class Node:
     children: tuple[Node, ...] = ()
 
 
-def tree(n_shards: int, shards_per_rack: int = 5, racks_per_region: int = 2, weights: dict[int, float] | None = None, base: int | None = None) -> tuple[Node, ...]:
+def tree(n_shards: int, shards_per_rack: int = 5, racks_per_region: int = 2, weights: dict[int, float] | None = None, base: int = 1) -> tuple[Node, ...]:
     """The regions of n_shards shards. A shard weighs 1 unless weights says otherwise, and 0 takes it out, with what is left empty.
 
-    base: shards in full racks and regions (all whole regions of n_shards, if not given); each one beyond is a region of its own."""
+    base: the shards that racks and regions were laid out for, n_shards at most; each one beyond is a region of its own."""
     per_region = shards_per_rack * racks_per_region
-    base = n_shards // per_region * per_region if base is None else min(base, n_shards)
+    if not 1 <= base <= n_shards:
+        raise ValueError("a layout has as many shards as its base, or more")
 
     def over(number: int, children: list[Node]) -> list[Node]:
         children = [c for c in children if c.weight > 0]
@@ -99,7 +102,7 @@ def assign(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, region, rack): a row for each document. slot counts from 0 in each shard without a gap."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     regions = tree(n_shards, **shape)
-    added = max(n.number for n in regions) + 1
+    (added,) = {n.number for n in tree(n_shards + 1, **shape | {"weights": None})} - {n.number for n in tree(n_shards, **shape | {"weights": None})}
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(value) + OVERHEAD).cast("long").alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"))
     # rows that share id, size and checksum are counted, so that no number of them meets in one task
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
@@ -112,6 +115,5 @@ def assign(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "
     rows = rows.join(before, (rows.shard == before["__s"]) & (rows["__bucket"] == before["__b"]))
     here = W.partitionBy("shard", "__bucket").orderBy("__order", "doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
     first = F.col("__before_n") + F.coalesce(F.sum("copies").over(here), F.lit(0))
-    rows = rows.withColumn("__first", first)
-    rows = rows.withColumn("slot", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("copies") - 1)))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "region", "rack")
+    rows = expanded(rows.withColumn("__first", first), "copies", "__copy")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__first") + F.col("__copy")).cast("long").alias("slot"), "grown_shard", "region", "rack")
