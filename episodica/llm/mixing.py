@@ -5,8 +5,10 @@ above 3 times its source's words, and what is above goes to the others by weight
 its quality weight as rate; a source's documents, by key, fill its target: whole epochs first, then the documents whose
 words fit below the rest of the budget, the last of them in part.
 
-Prefix sums run in two levels: sums of key ranges, then rows inside a range of about ROWS rows, so a source with any
-share of all rows is dealt out. All steps are DataFrame operations.
+Rows equal in id, source and size have one key; they are counted before anything is sorted, so ids that repeat, or are
+null, are no hot key, and each copy takes what its place in the count gives it. Prefix sums run in two levels: sums of key
+ranges, then rows inside a range of about ROWS rows, so a source with any share of all rows is dealt out. All steps are
+DataFrame operations.
 
 Cases: a null or empty text has size 0 and takes nothing; a null source is a source; documents without a label weigh
 UNLABELLED; ties in the key go by id, then size, and repeated rows are documents of their own; without words all
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, offsets
+from .common import expanded, materialize, offsets
 
 #: Characters of words; the rest are the six white spaces of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,17 +60,19 @@ def plan(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id
         weight = F.when(F.col("__quality") >= 1, GOOD).when(F.col("__quality") < 1, BAD).otherwise(UNLABELLED)
     draw = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     uniform = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = materialize(sizes.select("doc_id", "source", "size", (-F.log(uniform) / weight).alias("key")))
-    to = targets(rows)
+    sizes = sizes.withColumn("weight", weight).groupBy("doc_id", "source", "size", "weight").agg(F.count("*").alias("copies"))
+    rows = materialize(sizes.select("doc_id", "source", "size", "copies", (-F.log(uniform) / F.col("weight")).alias("key")))
+    to = targets(rows.select("source", (F.col("size") * F.col("copies")).alias("size")))
     joined = rows.join(to.withColumnRenamed("source", "__source"), rows.source.eqNullSafe(F.col("__source"))).drop("__source")
     n = F.ceil(F.col("n_docs") / ROWS)
     dealt = materialize(joined.withColumn("__bucket", F.least(n - 1, F.floor((1 - F.exp(-F.col("key"))) * n)).cast("long")))
-    before = offsets(dealt, ["source"], {"size": F.col("size")}).select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before_size")
+    words = F.col("size") * F.col("copies")
+    before = offsets(dealt, ["source"], {"size": words}).select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before_size")
     rows = dealt.join(before, dealt.source.eqNullSafe(before["__s"]) & (dealt["__bucket"] == before["__b"]))
     here = W.partitionBy("source", "__bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.col("__before_size") + F.coalesce(F.sum("size").over(here), F.lit(0))
     budget = F.round("target").cast("long")
-    rows = rows.withColumn("reach", reach).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) DIV source_size")).otherwise(0))
+    rows = expanded(rows.withColumn("__sum", F.coalesce(F.sum(words).over(here), F.lit(0))), "copies", "__copy")
+    rows = rows.withColumn("reach", F.col("__before_size") + F.col("__sum") + F.col("__copy") * F.col("size")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) DIV source_size")).otherwise(0))
     rows = rows.withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("reach")))
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "rest", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
