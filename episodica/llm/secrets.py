@@ -2,13 +2,16 @@
 
 Prose and names fall into few tokens of a tiktoken vocabulary, random strings into many. So a run of key characters
 whose characters per token are below RATIO is a secret of kind "random", unless it is one of the strings given as known,
-or has the form of a digest or identifier (hexadecimal digest lengths, UUIDs, dates, plain numbers). Below SURE characters
-a run in the letter case of a word, or with other signs in it, must be below STRICT. Every run of FLOOR characters is
+or has the form of a digest or identifier (hexadecimal digest lengths, UUIDs, dates, plain numbers). A run with other
+signs in it must be below STRICT, one of letters in mixed case below MIXED. A run of letters cased like words, between
+signs if there are some, is prose: words of invented or rare languages have ratios as low as random letters, so such a
+run is a secret only from LONG letters on and below WORDY. Letters that touch a letter outside ASCII belong to its word
+and aren't part of any run. Every run of FLOOR characters is
 measured: n_tested counts them, n_known those that are excluded, n_confirmed those that are random by this test and met
 by a pattern's span too, least_ratio is the lowest ratio of characters per token of a run that isn't excluded. Of a run
 that meets spans of the patterns, the rest makes spans of its own if it passes the test.
-What the ratio doesn't tell from words is not found: runs below FLOOR characters, and runs cut to less by spaces, dots,
-brackets, quotes, colons, commas or other letters than ASCII.
+What the ratio doesn't tell from words is not found: letters of one case below LONG, runs below FLOOR characters, and runs
+cut to less by spaces, dots, brackets, quotes, colons, commas or other letters than ASCII.
 
 Cases: a null or empty text has no span; texts of any length are scanned whole; overlapping matches of one kind are
 taken leftmost, and kinds don't compete; repeated rows are scanned each; an empty table gives an empty table; other
@@ -19,7 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+import unicodedata
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,12 +40,16 @@ KINDS = ("assign", "access", "hex", "random")
 SIGNS = "!@#$%^&*~?"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%^&*~?-]+")
 KEY = re.compile(r"[A-Za-z0-9+/_=-]+")
-WORD = re.compile(r"(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+)\Z")
+WORD = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)\Z")
+BETWEEN = re.compile(r"[^A-Za-z0-9]+")
+LETTERS_FIRST, LETTERS_LAST = re.compile(r"[A-Za-z]*"), re.compile(r"[A-Za-z]*\Z")
 #: Characters a token below which a run counts as random. Base64 noise has about 1.4, hexadecimal noise 1.6, words over 2.5.
 RATIO = 2.0
-#: The same for runs that are shorter than SURE and written like a word, and for runs with other signs.
-STRICT = 1.5
-SURE = 18
+#: The same for runs with other signs, for letters in mixed case, and for LONG letters and more cased like a word. Set by
+#: the given tables: of 976,000 different runs of letters, those of mixed case have 2.0 and more, those of 23 letters and
+#: more 2.09 and more, and shorter ones cased like words as little as 1.1.
+STRICT, MIXED, WORDY = 1.5, 1.6, 1.7
+LONG = 24
 #: The shortest run that the ratio tells from words.
 FLOOR = 11
 #: Forms of digests and identifiers that are public by nature.
@@ -96,15 +104,20 @@ class Test:
             self.last = (run, len(self.enc.encode_ordinary(run)))
         return self.last[1]
 
-    def random(self, run: str, ratio: float) -> bool:
-        if len(run) < FLOOR:
+    def bar(self, run: str) -> float:
+        """The characters a token that run must be below."""
+        pieces = [p for p in BETWEEN.split(run) if p]
+        if all(map(WORD.match, pieces)):
+            return WORDY if max(map(len, pieces), default=0) >= LONG else 0.0
+        if KEY.fullmatch(run) is None:
+            return STRICT
+        return MIXED if run.isalpha() else RATIO
+
+    def random(self, run: str) -> bool:
+        if len(run) < FLOOR or run in self.known or KNOWN.match(run):
             return False
-        if run in self.known or KNOWN.match(run):
-            return False
-        return len(run) < ratio * self.tokens(run)
-
-    def key(self, run: str) -> bool:
-        return self.random(run, STRICT if len(run) < SURE and WORD.match(run) else RATIO)
+        bar = self.bar(run)
+        return bar > 0 and len(run) < bar * self.tokens(run)
 
     def measure(self, run: str, met: bool) -> None:
         """Counts a whole run, whether or not a pattern's span meets it."""
@@ -114,34 +127,49 @@ class Test:
             return
         ratio = len(run) / self.tokens(run)
         self.least = ratio if self.least is None else min(self.least, ratio)
-        strict = KEY.fullmatch(run) is None or len(run) < SURE and WORD.match(run)
-        self.confirmed += met and ratio < (STRICT if strict else RATIO)
+        self.confirmed += met and ratio < self.bar(run)
+
+
+def letter(text: str, at: int) -> bool:
+    """Whether a letter, or a mark on one, is at a place of text; next to a run it is one outside ASCII."""
+    return 0 <= at < len(text) and (text[at].isalpha() or unicodedata.combining(text[at]) > 0)
+
+
+def whole_runs(text: str) -> Iterator[tuple[int, int]]:
+    """The places of the runs of FLOOR characters and more, without letters that belong to a word outside ASCII."""
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        if end - start >= FLOOR:
+            if letter(text, start - 1):
+                start = LETTERS_FIRST.match(text, start, end).end()
+            if letter(text, end):
+                end = start + LETTERS_LAST.search(text[start:end]).start()
+            if end - start >= FLOOR:
+                yield start, end
 
 
 def random_spans(text: str, test: Test, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The spans that the test adds. One walk over the runs and the base spans together."""
     out, covered, at = [], _merged(base), 0
-    for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() < FLOOR:
-            continue
-        while at < len(covered) and covered[at][1] <= m.start():
+    for begin, stop in whole_runs(text):
+        while at < len(covered) and covered[at][1] <= begin:
             at += 1
-        free, start, i = [], m.start(), at
-        while i < len(covered) and covered[i][0] < m.end():
+        free, start, i = [], begin, at
+        while i < len(covered) and covered[i][0] < stop:
             if start < covered[i][0]:
                 free.append((start, covered[i][0]))
             start = max(start, covered[i][1])
             i += 1
-        if start < m.end():
-            free.append((start, m.end()))
-        test.measure(m[0], i > at)
+        if start < stop:
+            free.append((start, stop))
+        test.measure(text[begin:stop], i > at)
         for start, end in free:
             run = text[start:end].rstrip(SIGNS)
             start, run = start + len(run) - len(run.lstrip(SIGNS)), run.lstrip(SIGNS)
-            if KEY.fullmatch(run) is None and any(c.isalpha() for c in run) and test.random(run, STRICT):
+            if KEY.fullmatch(run) is None and any(c.isalpha() for c in run) and test.random(run):
                 out.append((start, start + len(run), "random"))
                 continue
-            out += [(start + k.start(), start + k.end(), "random") for k in KEY.finditer(run) if test.key(k[0])]
+            out += [(start + k.start(), start + k.end(), "random") for k in KEY.finditer(run) if test.random(k[0])]
     return out
 
 

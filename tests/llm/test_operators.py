@@ -4,8 +4,10 @@ import base64
 import hashlib
 import json
 import os
+import re
 import subprocess
 import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -274,6 +276,100 @@ def test_all_runs_are_measured_and_known_ones_excluded(encoding):
     assert not [1 for *_, k in every if k == "random"] and test.excluded == 2
 
 
+def plain_random(text, enc):
+    """The spans that the test adds, by a plain walk over characters."""
+    def signed(c):
+        return c.isascii() and (c.isalnum() or c in "+/_=-" or c in secrets.SIGNS)
+
+    def letter(i):
+        return 0 <= i < len(text) and (text[i].isalpha() or unicodedata.combining(text[i]) > 0)
+
+    def words(run):
+        pieces = re.findall("[A-Za-z0-9]+", run)
+        return all(p.isalpha() and (p == p.lower() or p == p.upper() or p == p.capitalize()) for p in pieces), max(map(len, pieces), default=0)
+
+    def bad(run):
+        if len(run) < secrets.FLOOR or secrets.KNOWN.match(run):
+            return False
+        prose, longest = words(run)
+        bar = (1.7 if longest >= 24 else 0) if prose else 1.5 if any(c in secrets.SIGNS for c in run) else 1.6 if run.isalpha() else 2.0
+        return len(run) / len(enc.encode_ordinary(run)) < bar
+
+    covered = {i for s, e, _ in secrets.base_spans(text) for i in range(s, e)}
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and signed(text[j]):
+            j += 1
+        a, b = i, j
+        i = j + 1
+        if b - a < secrets.FLOOR:
+            continue
+        if letter(a - 1):
+            while a < b and text[a].isalpha():
+                a += 1
+        if letter(b):
+            while a < b and text[b - 1].isalpha():
+                b -= 1
+        if b - a < secrets.FLOOR:
+            continue
+        k = a
+        while k < b:
+            m = k
+            while m < b and m not in covered:
+                m += 1
+            s, e = k, m
+            while s < e and text[s] in secrets.SIGNS:
+                s += 1
+            while e > s and text[e - 1] in secrets.SIGNS:
+                e -= 1
+            run = text[s:e]
+            if any(c in secrets.SIGNS for c in run) and any(c.isalpha() for c in run) and bad(run):
+                out.append((s, e))
+            else:
+                for p in re.finditer("[A-Za-z0-9+/_=-]+", run):
+                    if bad(p[0]):
+                        out.append((s + p.start(), s + p.end()))
+            k = m + 1
+    return out
+
+
+SCALES = [d for d in ("sf0.001", "sf0.01", "sf0.1") if os.path.isdir(f"/root/testdata/{d}")]
+
+
+@pytest.mark.parametrize("scale", SCALES)
+def test_no_prose_of_the_tables_is_taken_for_a_secret(spark, encoding, scale):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    got = secrets.scan(docs, RANKS, PATTERN, keep=["doc_id", "text"])
+    assert got.agg(F.sum("n_random")).first()[0] == 0
+    for r in got.where("n_tested > 0").limit(400).collect():
+        assert plain_random(r.text, encoding) == []
+
+
+def test_added_spans_are_those_of_a_plain_walk(encoding):
+    import random
+    import string
+
+    rng = random.Random(4)
+    pools = [string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits + "!@#$%", "0123456789abcdef", string.ascii_uppercase + string.digits + "+/-="]
+    joins = [" ", "-", "é", ": ", "\n", "!", "_", "ß ", " é", "=", "(", "password="]
+    some, n = [], 0
+    for _ in range(600):
+        text = "".join("".join(rng.choice(rng.choice(pools)) if rng.random() < 0.1 else rng.choice(pool) for _ in range(rng.choice([3, 10, 11, 12, 17, 24, 30, 40]))) + rng.choice(joins) for pool in rng.choices(pools, k=4)) + rng.choice(["Internationalisierung", "ÉAUXPAEAUEUX", "einpftzschtzzuein", "xK9fQ2mZ8vL4pR7tW1yB5nC3"])
+        got = [(s, e) for s, e, k in secrets.spans(text, encoding)[1] if k == "random"]
+        assert got == plain_random(text, encoding), text
+        n += len(got)
+        some.append(text)
+    assert n > 600
+
+
+def test_letters_next_to_other_letters_are_words(encoding):
+    for text in ("!! ÉAUXPAEAUEUX!!", "einpftzschtzzuein", "ONNTANHMDHK", "esthshhbgbm-tiinthhcfdk", "Eahelyhkdbk", "naïvexqzkwvbnmpt", "xqzkwvbnmpté"):
+        assert secrets.spans(text, encoding)[1] == [], text
+    text = "é=xK9fQ2mZ8vL4pR7tW1yB5nC3"
+    assert [text[s:e] for s, e, _ in secrets.spans(text, encoding)[1]] == ["=xK9fQ2mZ8vL4pR7tW1yB5nC3"]
+
+
 def test_spans_of_a_text_with_thousands_of_secrets(encoding):
     import time
 
@@ -574,6 +670,20 @@ def test_mix_of_odd_rows(spark):
     assert mixing.plan(df.where("false")).count() == 0 and mixing.apply_mix(df.where("false")).count() == 0
 
 
+def test_mix_where_all_rows_have_one_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS", 5)
+    few = spark.createDataFrame([(1, "w " * 7, "b"), (2, "w", "b")], "doc_id long, text string, source string")
+    for one in (None, 7):
+        many = spark.range(3000).select(F.lit(one).cast("long").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("a").alias("source"))
+        p = mixing.plan(many.unionByName(few)).toPandas()
+        assert len(p) == 3002 and (p.taken <= 3 * p["size"]).all()
+        for s, g in p.groupby("source"):
+            assert g.taken.sum() == round(g.target.iloc[0])
+        # whole copies but for one
+        a = p[p.source == "a"]
+        assert ((a.taken % a["size"]) > 0).sum() <= 1
+
+
 def test_mix_in_many_buckets_is_the_plain_prefix_sum(spark, data, monkeypatch, duck):
     monkeypatch.setattr(mixing, "ROWS", 7)
     from compare import rows
@@ -605,7 +715,7 @@ def test_shards_by_brute_force(spark, data, monkeypatch):
     # 4 regions of 2 racks of 5 shards, by hand
     now = [sharding.Node(r, 10.0, tuple(sharding.Node(2 * r + k, 5.0, tuple(sharding.Node(10 * r + 5 * k + s, 1.0) for s in range(5))) for k in range(2))) for r in range(4)]
     then = [*now, sharding.Node(4, 1.0, (sharding.Node(8, 1.0, (sharding.Node(40, 1.0),)),))]
-    assert tuple(now) == sharding.tree(40)
+    assert tuple(now) == sharding.tree(40, base=40)
     for r in got.itertuples():
         assert (r.region, r.rack, r.shard) == plain_descent(r.doc_id, now)
         assert r.grown_shard == plain_descent(r.doc_id, then)[2]
@@ -625,11 +735,24 @@ def test_a_shard_more_takes_rows_only_into_itself(spark):
     assert len(share) == 41 and share.min() > 50 and share.max() < 160
 
 
+def test_growth_adds_one_region_at_every_number_of_shards(spark):
+    for base in (1, 7, 10, 40):
+        for n in range(base, 121):
+            small, large = sharding.tree(n, base=base), sharding.tree(n + 1, base=base)
+            assert large[:-1] == small and [k.number for r in large[-1:] for c in r.children for k in c.children] == [n]
+    with pytest.raises(ValueError):
+        sharding.tree(3, base=4)
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for n in (9, 49, 50):
+        one, two = (sharding.assign(docs, k).toPandas().set_index("doc_id") for k in (n, n + 1))
+        assert (one.grown_shard == two.shard[one.index]).all() and set(one[one.shard != one.grown_shard].grown_shard) == {n}
+
+
 def test_a_weight_moves_rows_only_into_its_subtrees(spark):
     ids = spark.range(3000).select(F.col("id").alias("doc_id"))
 
     def places(**kind):
-        return sharding.descend(ids, sharding.tree(20, **kind)).toPandas().set_index("doc_id")
+        return sharding.descend(ids, sharding.tree(20, base=20, **kind)).toPandas().set_index("doc_id")
 
     a, b = places(), places(weights={7: 3.0})
     moved = a.index[a["shard"] != b["shard"]]
