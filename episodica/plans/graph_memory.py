@@ -1,4 +1,4 @@
-"""Queries over a memory of conversations with its three graphs: a conversation is an event, its topic the memory."""
+"""Queries over memories of conversations with their three graphs: a conversation is an event, sixteen in a row a memory."""
 
 from __future__ import annotations
 
@@ -19,10 +19,10 @@ from .text_queries import STOP, _sql_causal_of, _sql_chunks, _sql_class, _sql_ke
 from .vector_queries import sql_embedding
 
 PARAMS = Params()
-#: The time at which weights are taken: that of a hundredth turn.
-AS_OF = BASE + 100 * STEP
-#: Letters of the words that tell a conversation's topic, at least.
-TOPIC = "[a-z]{4,}"
+#: Conversations of one memory, as the table names no user: ids in a row; and the seconds between their starts.
+SESSIONS, GAP = 16, 7200
+#: The time at which weights are taken: that of a hundredth turn of a memory's last conversation.
+AS_OF = BASE + SESSIONS * GAP + 100 * STEP
 GRAPHS = ("entity", "temporal", "causal")
 
 
@@ -30,12 +30,13 @@ GRAPHS = ("entity", "temporal", "causal")
 
 
 def memory_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid turns with event_id (the conversation) and memory_id: the conversation's most frequent word, as the table names no user or case."""
-    words = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("event_id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOPIC), 0)).alias("w"))
-    topics = words.groupBy("event_id", "w").agg(F.count("*").alias("n")).groupBy("event_id").agg(F.max_by("w", F.struct("n", "w")).alias("topic"))
+    """Valid turns with event_id (the conversation), memory_id (SESSIONS conversations in a row), at (their order in the memory) and ts, a conversation's first turn GAP after the one before."""
     t = turns(spark, sf_dir).where("valid").withColumnRenamed("memory_id", "event_id")
+    conv = F.col("event_id").cast("long")
+    place = F.pmod(conv, F.lit(SESSIONS))
+    t = t.withColumns({"memory_id": F.floor(conv / SESSIONS).cast("string"), "at": place * 1_000_000 + F.col("ord"), "ts": F.col("ts") + place * GAP})
     # written, as every graph is made from it
-    return materialize(t.join(topics, "event_id", "left").withColumn("memory_id", F.coalesce("topic", F.lit(""))).drop("topic"))
+    return materialize(t)
 
 
 def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -111,9 +112,7 @@ _IMPORTANCE = f"round(greatest(0.05, least(1.0, 0.50 + {_sql_map('kind', P.boost
 _SEEN = "count(*) AS frequency, min(ts) AS first_seen, max(ts) AS last_seen"
 _TITLE = f"CASE {' '.join(f'WHEN contains(head, {quote(w)}) THEN {quote(w + P.title_suffix)}' for w in P.critical)} WHEN len(words) > 0 THEN array_to_string(words, ' / ')[1:18] ELSE head[1:18] END"
 GRAPH = f"""WITH {TURNS},
-words AS (SELECT event_id, w, count(*) AS n FROM (SELECT conv_id::VARCHAR AS event_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{TOPIC}')) AS w FROM conversations) GROUP BY ALL),
-topics AS (SELECT event_id, arg_max(w, (n, w)) AS topic FROM words GROUP BY event_id),
-tt AS (SELECT coalesce(topic, '') AS memory_id, t.memory_id AS event_id, id, ord, ts, question, answer, text, {_sql_chunks('text')} AS a, {_LOCAL} AS local FROM turns t LEFT JOIN topics p ON p.event_id = t.memory_id WHERE valid),
+tt AS (SELECT floor(t.memory_id::BIGINT / {SESSIONS}::DOUBLE)::BIGINT::VARCHAR AS memory_id, t.memory_id AS event_id, id, ord, ts + (t.memory_id::BIGINT % {SESSIONS}) * {GAP} AS ts, question, answer, text, {_sql_chunks('text')} AS a, {_LOCAL} AS local FROM turns t WHERE valid),
 fa AS (SELECT memory_id, event_id, id, ord, ts, unnest(range(len(a[1:18]))) AS pos, unnest(a[1:18]) AS whole FROM tt),
 fk AS (SELECT *, {_sql_class('whole', P.classes, P.other_class)} AS kind, whole[1:48] AS name FROM fa),
 entity AS (SELECT *, 'e:' || event_id || ':' || kind || ':' || ord AS id, name AS body, name || ' ' || name AS text, {_IMPORTANCE}, {sql_any('name', P.pins)} AS pinned FROM (SELECT memory_id, event_id, kind, name, min(ord * 100 + pos) AS ord, {_SEEN} FROM fk GROUP BY memory_id, event_id, kind, name)),
