@@ -29,14 +29,17 @@ GRAPHS = ("entity", "temporal", "causal")
 # --- the tables in Spark ---
 
 
-def memory_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid turns with event_id (the conversation), memory_id (SESSIONS conversations in a row), at (their order in the memory) and ts, a conversation's first turn GAP after the one before."""
-    t = turns(spark, sf_dir).where("valid").withColumnRenamed("memory_id", "event_id")
+def in_memories(t: DataFrame) -> DataFrame:
+    """Turns with event_id (the conversation), memory_id (SESSIONS conversations in a row), at (their order in the memory) and ts, a conversation's first turn GAP after the one before."""
+    t = t.withColumnRenamed("memory_id", "event_id")
     conv = F.col("event_id").cast("long")
     place = F.pmod(conv, F.lit(SESSIONS))
-    t = t.withColumns({"memory_id": F.floor(conv / SESSIONS).cast("string"), "at": place * 1_000_000 + F.col("ord"), "ts": F.col("ts") + place * GAP})
-    # written, as every graph is made from it
-    return materialize(t)
+    return t.withColumns({"memory_id": F.floor(conv / SESSIONS).cast("string"), "at": place * 1_000_000 + F.col("ord"), "ts": F.col("ts") + place * GAP})
+
+
+def memory_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid turns in memories, written, as every graph is made from them."""
+    return materialize(in_memories(turns(spark, sf_dir).where("valid")))
 
 
 def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -12,6 +12,7 @@ from ..operators.tiles import Pair
 from ..profile import ASCII as P
 from ..profile import Params
 from .adapters import TURNS, sql_any, sql_hits, sql_overlap, sql_tokens, table, turns
+from .graph_memory import GAP, SESSIONS, in_memories
 from .registry import query
 from .text_queries import _sql_chunks, _sql_class, _sql_key, sql_key_match
 from .vector_queries import sql_embedding
@@ -83,15 +84,16 @@ def legacy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.expand(s, near)
 
 
-_SPANS = f"g AS (SELECT *, memory_id || '/' || (rank // {SPAN}) AS event_id FROM (SELECT *, (row_number() OVER (PARTITION BY memory_id ORDER BY ord) - 1) AS rank FROM turns WHERE valid))"
+_SPANS = f"""g AS (SELECT *, memory_id || '/' || (rank // {SPAN}) AS event_id FROM (SELECT * REPLACE (spot AS ord), row_number() OVER (PARTITION BY memory_id ORDER BY spot) - 1 AS rank FROM (
+  SELECT * REPLACE (floor(memory_id::BIGINT / {SESSIONS}::DOUBLE)::BIGINT::VARCHAR AS memory_id, ts + (memory_id::BIGINT % {SESSIONS}) * {GAP} AS ts), (memory_id::BIGINT % {SESSIONS}) * 1000000 + ord AS spot FROM turns WHERE valid)))"""
 _EVENTS = f"ev0 AS (SELECT memory_id, event_id, min(ord) AS ord, max(ts) AS updated_at, array_to_string(list(text ORDER BY ord), ' ') AS text FROM g GROUP BY ALL), ev AS (SELECT *, {sql_tokens('text')} AS k, {_KEY_COLUMNS} FROM ev0)"
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid turns with event_id: four in a row are an event of their conversation."""
+    """Valid turns with event_id: four in a row are an event of their memory."""
     from pyspark.sql import Window as W
 
-    t = turns(spark, sf_dir).where("valid")
+    t = in_memories(turns(spark, sf_dir).where("valid")).drop("event_id", "ord").withColumnRenamed("at", "ord")
     rank = F.row_number().over(W.partitionBy("memory_id").orderBy("ord")) - 1
     return t.withColumn("event_id", F.concat("memory_id", F.lit("/"), F.floor(rank / SPAN)))
 
@@ -103,12 +105,12 @@ def span_events(s: DataFrame) -> DataFrame:
 
 def _sql_route(score: str, gate: bool) -> str:
     gated = f"CASE WHEN {sql_key_match('t.k_', 'e.k_')} < 0.3 THEN 0.15 * ({score}) ELSE {score} END" if gate else score
-    return f"""WITH {TURNS}, {_SPANS}, {_EVENTS}, tk AS (SELECT memory_id, id, ts, {sql_tokens('text')} AS k, {_KEY_COLUMNS} FROM turns WHERE valid),
+    return f"""WITH {TURNS}, {_SPANS}, {_EVENTS}, own AS (SELECT event_id, ord AS own, row_number() OVER w - 1 AS n_events, lag(ord) OVER w AS last FROM ev WINDOW w AS (PARTITION BY memory_id ORDER BY ord)),
+tk AS (SELECT memory_id, id, ts, own, n_events, last, {sql_tokens('text')} AS k, {_KEY_COLUMNS} FROM g JOIN own USING (event_id)),
 ids AS (SELECT id, k FROM tk UNION ALL SELECT event_id AS id, k FROM ev), v AS ({sql_embedding('ids', 'id', 'k')}),
-p0 AS (SELECT t.id, e.event_id FROM tk t JOIN ev e USING (memory_id)),
+p0 AS (SELECT t.id, e.event_id FROM tk t JOIN ev e ON e.memory_id = t.memory_id AND e.ord < t.own),
 cs AS (SELECT p.id, p.event_id, sum(a.w * b.w) AS cos FROM p0 p JOIN v a ON a.id = p.id JOIN v b ON b.id = p.event_id AND a.idx = b.idx GROUP BY ALL),
-m AS (SELECT memory_id, count(*) AS n_events, max(ord) AS last FROM ev GROUP BY ALL),
-sc AS (SELECT t.id, e.event_id, e.ord, m.n_events, {gated} AS score FROM tk t JOIN ev e USING (memory_id) JOIN m USING (memory_id) LEFT JOIN cs c ON c.id = t.id AND c.event_id = e.event_id),
+sc AS (SELECT t.id, e.event_id, e.ord, t.n_events, {gated} AS score FROM tk t JOIN ev e ON e.memory_id = t.memory_id AND e.ord < t.own LEFT JOIN cs c ON c.id = t.id AND c.event_id = e.event_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, ord) AS k FROM sc)
 SELECT id, CASE WHEN score >= CASE WHEN n_events <= 3 THEN 0.55 * {PARAMS.new_event} ELSE {PARAMS.new_event} END THEN event_id END AS event_id, round(round(score, 9), 6) AS score FROM r WHERE k = 1"""
 
@@ -119,12 +121,14 @@ _COS = "greatest(coalesce(c.cos, 0), 0)"
 
 def _routed(spark: SparkSession, sf_dir: str, legacy: bool) -> DataFrame:
     s = spans(spark, sf_dir)
-    t = s.select("memory_id", "id", "ord", "ts", X.tokens(F.col("text")).alias("k"), _keys_struct("text").alias("keys"))
-    return route.route(t, span_events(s), PARAMS, P, legacy).withColumn("score", F.round("score", 6))
+    e = span_events(s)
+    t = s.select("memory_id", "event_id", "id", "ord", "ts", X.tokens(F.col("text")).alias("k"), _keys_struct("text").alias("keys"))
+    return route.route(t, e, PARAMS, P, legacy).withColumn("score", F.round("score", 6))
 
 
-@query(_sql_route(f"0.52 * {_COS} + 0.18 * {_LEXICAL} + 0.30 * exp(-ln(2::DOUBLE) * abs(e.updated_at - t.ts) / 21600.0::DOUBLE) + CASE WHEN e.ord = m.last THEN 0.15 ELSE 0.0 END", True))
+@query(_sql_route(f"0.52 * {_COS} + 0.18 * {_LEXICAL} + 0.30 * exp(-ln(2::DOUBLE) * abs(e.updated_at - t.ts) / 21600.0::DOUBLE) + CASE WHEN e.ord = t.last THEN 0.15 ELSE 0.0 END", True))
 def route_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn against the events that had ended before its own began."""
     return _routed(spark, sf_dir, False)
 
 
