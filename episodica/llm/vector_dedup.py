@@ -7,11 +7,14 @@ and compared, never vectors, and of a batch's candidates only as many go on as c
 is global: rows are range-partitioned, and the first and last WINDOW rows of each partition are compared once more
 together, so windows don't end where a partition does.
 
-The candidates of all passes give groups, which are checked exactly: in a group of up to LARGE vectors each is compared
-with each, block of BLOCK rows by block; in a larger one, each with its windows' rows, vectors then beside the keys.
-The links found give components. Last, all links within each component are counted: in one of up to BLOCK vectors by
-comparing all; in a larger one, members within half the link angle of its centre link to each other by the triangle
-inequality and are only counted, and each other member is compared with its component's members.
+The rows that have a candidate in any pass go through the windows once more with their vectors, pass by pass, and pairs at
+the threshold are links; only these are united, over all passes, to components. A window can be too small for a run of rows
+whose keys are all alike: groups of candidates of more rows than a window, of any size, are compared exactly as well, each
+row with each, block of BLOCK rows by block, so that no link is lost to a group's size; that costs the square of a group
+of near copies, less the equal ones. Last, all links within each component are
+counted: in one of up to BLOCK vectors by comparing all; in a larger one, members within half the link angle of its centre
+link to each other by the triangle inequality and are only counted, and each other member is compared with its component's
+members.
 
 How many passes a label needs is measured: in the first PROBE passes, the prefix that a vector shares with the row
 WINDOW places before it says how many bits a partner must share to be met. A row whose window is full of candidates lies
@@ -44,8 +47,6 @@ from .common import components, discard, materialize, small_batches, written
 
 WINDOW = 24
 BLOCK = 2048
-#: Vectors of a group of candidates up to which each is compared with each.
-LARGE = 32 * BLOCK
 BITS = 64
 #: The least number of passes, whatever the table's size.
 LEAST_PASSES = 12
@@ -433,13 +434,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int | N
         found = _links(_walked(centred, threshold, window, 0, False), window)
     whole = centred.where("passes IS NULL")
     grouped = materialize(_grouped(found, centred.where("passes IS NOT NULL").select("nid", "label", "unit", "copies", "mean", "passes")))
-    links = _in_blocks(grouped.where(F.col("n") <= LARGE), _checked(threshold), ("a", "b"))
+    links = _in_windows(grouped, threshold, window)
+    links = links.unionByName(_in_blocks(grouped.where(F.col("n") > window), _checked(threshold), ("a", "b")))
     if passes is None and not whole.isEmpty():
         labels = F.xxhash64("label", "dim")  # labels that share a hash only share blocks: no link crosses a label below
         links = links.unionByName(_in_blocks(whole.select(labels.alias("of"), "n", "nid", "unit", "copies"), _checked(threshold), ("a", "b")))
-    huge = grouped.where(F.col("n") > LARGE)
-    if not huge.isEmpty():
-        links = links.unionByName(_in_windows(huge, threshold, window))
     inside = materialize(_grouped(links, nodes.select("nid", "unit", "copies", "least")))
 
     counts = _in_blocks(inside.where(F.col("n") <= BLOCK), _counted(threshold), ("nid", "others"))

@@ -505,9 +505,8 @@ def test_vector_links_of_a_label_with_a_common_mean(spark):
 
 
 def test_vector_links_of_large_groups(spark, monkeypatch):
-    """Groups over LARGE are checked in windows, those over BLOCK counted about their centre."""
+    """Groups over BLOCK are counted about their centre."""
     monkeypatch.setattr(vector_dedup, "BLOCK", 64)
-    monkeypatch.setattr(vector_dedup, "LARGE", 100)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((3, 16))
     vectors = [centres[i % 3] + (0.02, 0.05, 0.09)[i // 3 % 3] * rng.standard_normal(16) for i in range(450)]
@@ -548,6 +547,31 @@ def test_components(spark):
     assert {i: got.get(i, i) for i in (1, 2, 3, 4, 7, 75, 90)} == {1: 1, 2: 1, 3: 1, 4: -5, 7: 7, 75: 50, 90: 50}
 
 
+def test_planted_links_are_found(spark):
+    """Pairs planted at cosines of 0.98 to 0.99 among unlike vectors, as the given tables hold no link: all of 1,200."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for label in range(3):
+        mean = rng.normal(size=64) * (0, 0.5, 1.5)[label]
+        x = rng.normal(size=(4000, 64)) + mean
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        side = rng.normal(size=(400, 64))
+        side -= np.einsum("ij,ij->i", side, x[:400])[:, None] * x[:400]
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        c = rng.uniform(0.9801, 0.99, 400)[:, None]
+        every = np.concatenate([x, c * x[:400] + np.sqrt(1 - c * c) * side])
+        ids = np.arange(len(every)) + label * 10_000
+        near = every @ every.T >= 0.98
+        np.fill_diagonal(near, False)
+        want |= {int(i): int(n) for i, n in zip(ids, near.sum(1))}
+        rows += [(int(i), v.tolist(), label) for i, v in zip(ids, every)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df).collect()}
+    links = sum(want.values())
+    assert links >= 2400 and got.keys() == want.keys() and all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.995 * links
+
+
 # 6
 
 
