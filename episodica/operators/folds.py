@@ -81,8 +81,10 @@ class Clusters:
 
     p: Params
     profile: Profile
-    sums: list[np.ndarray] = field(default_factory=list)
-    tokens: list[set] = field(default_factory=list)
+    n: int = 0
+    sums: np.ndarray = field(default_factory=lambda: np.zeros((8, DIM)))  # grows by doubling
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(8))  # tokens of each cluster
+    having: dict[str, set[int]] = field(default_factory=dict)  # the clusters that have a token
     keys: list[dict] = field(default_factory=list)
     last: list[float] = field(default_factory=list)
     ends: list[str] = field(default_factory=list)  # each cluster text's last character that counts
@@ -91,34 +93,41 @@ class Clusters:
         """The cluster that the turn joins, or a new one's number."""
         words = token_list(text)
         own, v, keys = set(words), vector(words), keys_of(text, self.profile)
-        best, score = -1, -1.0
-        if self.sums:
-            m = np.array(self.sums)
+        best, score, n = -1, -1.0, self.n
+        if n:
+            m = self.sums[:n]
             norms = np.linalg.norm(m, axis=1)
             cos = np.where(norms > 0, m @ v / np.where(norms > 0, norms, 1), 0.0)
-            for i, c in enumerate(cos):
-                s = 0.68 * max(c, 0.0) + 0.22 * jaccard(own, self.tokens[i]) + 0.10 * math.exp(-math.log(2) * abs(self.last[i] - ts) / max(self.p.half_life, 1))
-                if key_match(keys, self.keys[i]) < 0.3:
-                    s *= 0.2
-                if s > score:
-                    best, score = i, s
+            met = np.array([i for t in own for i in self.having.get(t, ())], np.int64)
+            both = np.bincount(met, minlength=n)
+            lexical = both / np.maximum(len(own) + self.sizes[:n] - both, 1)
+            s = 0.68 * np.maximum(cos, 0.0) + 0.22 * lexical + 0.10 * np.exp(-math.log(2) * np.abs(np.array(self.last) - ts) / max(self.p.half_life, 1))
+            if any(keys.values()):  # without key entities all match
+                s *= np.array([0.2 if key_match(keys, k) < 0.3 else 1.0 for k in self.keys])
+            best = int(s.argmax())
+            score = float(s[best])
         chars = _CHARS.findall(_SPACE.sub(" ", text).strip().lower())
-        if best >= 0 and score >= self.p.cluster:
-            self.sums[best] = self.sums[best] + v
-            self.tokens[best] |= own
-            if self.ends[best] and chars:  # the pair that arises where texts meet
-                self.tokens[best].add(self.ends[best] + chars[0])
-            for k, found in keys.items():
-                self.keys[best][k] |= found
-            self.last[best] = max(self.last[best], ts)
-            self.ends[best] = chars[-1] if chars else self.ends[best]
-            return best
-        self.sums.append(v)
-        self.tokens.append(own)
-        self.keys.append(keys)
-        self.last.append(ts)
-        self.ends.append(chars[-1] if chars else "")
-        return len(self.sums) - 1
+        if score < self.p.cluster:
+            best = self.n
+            self.n += 1
+            if best == len(self.sums):
+                self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.keys.append({k: set() for k in keys})
+            self.last.append(ts)
+            self.ends.append("")
+        if self.ends[best] and chars:  # the pair that arises where texts meet
+            own = own | {self.ends[best] + chars[0]}
+        for t in own:
+            of = self.having.setdefault(t, set())
+            if best not in of:
+                of.add(best)
+                self.sizes[best] += 1
+        self.sums[best] += v
+        for k, found in keys.items():
+            self.keys[best][k] |= found
+        self.last[best] = max(self.last[best], ts)
+        self.ends[best] = chars[-1] if chars else self.ends[best]
+        return best
 
 
 def cluster_turns(turns: DataFrame, p: Params, profile: Profile) -> DataFrame:
@@ -243,3 +252,25 @@ def fuse_summaries(texts: DataFrame, join: str, limit: int = 240, alike: float =
     pieces = fold(texts.select("event_id", "ord", "text"), "event_id", ["ord"], start, "event_id string, ord long, piece string")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda s: s["piece"])
     return pieces.groupBy("event_id").agg(F.substring(F.array_join(ordered, join), 1, limit).alias("summary"))
+
+
+def fuse_chain(texts: DataFrame, join: str, limit: int = 240, alike: float = 0.72) -> DataFrame:
+    """(event_id, summary): an event's texts (event_id, ord, text) fused one after the other: each is added to what there is, unless it is like all of that."""
+    from pyspark.sql import functions as F
+
+    def start():
+        so_far = [""]
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            for t in rows["text"]:
+                piece, before = _SPACE.sub(" ", t or "").strip(), so_far[0]
+                new = piece and (not before or jaccard(set(token_list(before)), set(token_list(piece))) <= alike)
+                so_far[0] = (f"{before}{join}{piece}" if before else piece)[:limit] if new else before
+            out = rows[["event_id", "ord"]].tail(1).copy()
+            out["summary"] = so_far[0]
+            return out
+
+        return step
+
+    steps = fold(texts.select("event_id", "ord", "text"), "event_id", ["ord"], start, "event_id string, ord long, summary string")
+    return steps.groupBy("event_id").agg(F.max_by("summary", "ord").alias("summary"))

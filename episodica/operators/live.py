@@ -276,7 +276,7 @@ class Memory:
         event.look()
         for k, found in keys_of(event.summary, self.profile).items():
             event.keys[k] |= found
-        self._put(turn, event, "event", name=event.title, text=event.summary, value=float(event.n_nodes))
+        self._put(turn, event, "event", name=event.title, text=event.summary, other=event.source, value=float(event.n_nodes))
 
     def _trigger(self, turn, event: Event) -> None:
         mean = sum(event.scores) / len(event.scores)
@@ -378,6 +378,43 @@ def updates(turns: DataFrame, p: Params, profile: Profile, **rules) -> DataFrame
     return fold(turns, "memory_id", ["at", "id"], start, UPDATE)
 
 
+def rebuilt(turns: DataFrame, p: Params, profile: Profile, review: bool = True) -> DataFrame:
+    """UPDATE: what the turns (TURN, event_id, title, summary) of each event do to it when it is made anew: it begins with the title and summary given, without nodes and scores, and its turns come in order.
+
+    State is one event's nodes; events are dealt out by hash, whatever their memories."""
+    columns = [c.split()[0] for c in TURN.split(", ")]
+
+    def start():
+        held: list = []
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            rows = rows.assign(facts=[[(f["kind"], f["name"]) for f in facts] for facts in rows["facts"]])
+            for turn in rows.itertuples(index=False):
+                if not held:
+                    memory = Memory(turn.memory_id, p, profile, review)
+                    event = Event(turn.event_id, 0, turn.title, turn.summary, f"{turn.title}\n{turn.summary}", turn.ts, keys_of(f"{turn.title} {turn.summary}", profile))
+                    event.graphs = memory.graphs_of(event)
+                    memory.events[event.id] = event
+                    held.extend((memory, event))
+                memory, event = held
+                memory.out, memory.seq = [], 0
+                memory._assign(turn, event, None, "rebuilt", turn.first)
+                memory._apply(turn, event)
+                if turn.last:
+                    memory._put(turn, event, "event", name=event.title, text=event.summary, other=event.source, value=float(event.n_nodes))
+                out += memory.out
+            return pd.DataFrame(out, columns=_COLUMNS)
+
+        return step
+
+    w = W.partitionBy("event_id")
+    order = w.orderBy("at", "id")
+    marked = turns.select(*columns, "event_id", "title", "summary").withColumn("first", F.row_number().over(order) == 1)
+    marked = marked.withColumn("last", F.lead("id").over(order).isNull())
+    return fold(marked, "event_id", ["at", "id"], start, UPDATE)
+
+
 # --- tables from the log of updates ---
 
 
@@ -392,8 +429,8 @@ def assigned(log: DataFrame) -> DataFrame:
     return rows.select("memory_id", "turn", "at", "event_id", F.col("kind").alias("how"), "created", "score", F.col("value").alias("consistency"), mean.alias("mean8"))
 
 
-def nodes(log: DataFrame, as_of: float, p: Params, profile: Profile) -> DataFrame:
-    """(memory_id, event_id, graph, id, ord, kind, name, summary, frequency, turns, first_seen, last_seen, importance, pinned, weight, corrected, confidence): the nodes as the log leaves them, weighted as of a time."""
+def nodes(log: DataFrame, as_of: float, p: Params, profile: Profile, change: float = 1.0) -> DataFrame:
+    """(memory_id, event_id, graph, id, ord, kind, name, summary, frequency, turns, first_seen, last_seen, importance, pinned, weight, corrected, confidence): the nodes as the log leaves them, weighted as of a time; change: the weights' share of how much a node changed last."""
     place = F.struct("at", "seq")
     rows = log.where("what = 'node'").groupBy("memory_id", "event_id", "graph", F.col("node").alias("id")).agg(
         F.min("at").alias("ord"),
@@ -408,7 +445,7 @@ def nodes(log: DataFrame, as_of: float, p: Params, profile: Profile) -> DataFram
     dead = log.where("what = 'corrected'").select(F.col("node").alias("id"), F.lit(True).alias("corrected")).distinct()
     rows = rows.join(dead, "id", "left").withColumn("corrected", F.coalesce("corrected", F.lit(False)))
     rows = rows.withColumns({"kind": F.col("first.kind"), "name": F.col("first.name")}).withColumn("pinned", (F.col("graph") != "temporal") & X.any_of(F.col("name"), profile.pins))
-    weight = V.active_weight(F.lit(as_of) - F.col("last_seen"), F.lit(0), F.col("importance"), F.lit(1.0), F.col("pinned"), p)
+    weight = V.active_weight(F.lit(as_of) - F.col("last_seen"), F.lit(0), F.col("importance"), F.lit(change), F.col("pinned"), p)
     rows = rows.withColumn("weight", F.round(weight, 4)).withColumn("confidence", F.when(F.col("corrected"), 0.1).otherwise(1.0))
     return rows.select("memory_id", "event_id", "graph", "id", "ord", "kind", "name", "summary", "frequency", "turns", "first_seen", "last_seen", "importance", "pinned", "weight", "corrected", "confidence")
 

@@ -10,7 +10,8 @@ from ..functions import text as X
 from ..functions import vector as V
 from ..profile import Params, Profile
 from .edges import cascade
-from .events import rekey
+from .events import rekey, titles
+from .folds import fuse_chain
 from .resolve import compression_plan
 from .tiles import cosines
 
@@ -27,11 +28,12 @@ def rebuild_trigger(metrics: DataFrame) -> DataFrame:
 
 
 def drift(turns: DataFrame, events: DataFrame, last: int = 10, least: float = 0.20) -> DataFrame:
-    """(event_id, id, drifts): an event's turns (event_id, id, ord, k); of its last ten, those unlike it (events: event_id, k; t of its summary) drift."""
+    """(event_id, id, drifts): an event's turns (event_id, id, ord, k; t if its token set is of another text); of its last ten, those unlike it (events: event_id, k; t of its summary) drift."""
+    own = F.col("t") if "t" in turns.columns else F.array_distinct("k")
     w = W.partitionBy("event_id").orderBy(F.desc("ord"))
     recent = turns.withColumn("__k", F.row_number().over(w)).join(events.select("event_id", F.col("k").alias("e_k"), F.col("t").alias("e_t")), "event_id")
     scored = cosines(recent, "k", "e_k")
-    score = 0.70 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.30 * X.overlap(F.array_distinct("k"), F.col("e_t"))
+    score = 0.70 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.30 * X.overlap(own, F.col("e_t"))
     return scored.select("event_id", "id", ((F.col("__k") <= last) & (score < least)).alias("drifts"))
 
 
@@ -43,6 +45,30 @@ def split_plan(drifting: DataFrame) -> DataFrame:
     return joined.select("event_id", "id", F.when(F.col("drifts") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("event_id")).alias("new_event"))
 
 
+def rebuild(turns: DataFrame, moves: DataFrame, previous: DataFrame, profile: Profile) -> DataFrame:
+    """turns (id, at, text, ...) of the events that moves (event_id, id, new_event) lists, at their events as they will be, with the title and summary that these begin with: previous' (event_id, title, summary) and the texts; a new event's from its texts alone."""
+    moved = moves.select("id", F.col("event_id").alias("old"), F.col("new_event").alias("event_id"))
+    t = turns.drop("event_id").join(moved, "id").withColumn("ord", F.col("at"))
+    fresh = titles(t.where("event_id <> old"), "event_id", profile)
+    before = previous.join(moves.select("event_id").distinct(), "event_id", "left_semi").select("event_id", "title", "summary").unionByName(fresh)
+    return t.drop("ord", "old").join(titles(t, "event_id", profile, before), "event_id")
+
+
+def merge(plan: DataFrame, events: DataFrame, turns: DataFrame, nodes: DataFrame, edges: DataFrame, join: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Events, turns, nodes and edges after events were merged (plan: kept, gone).
+
+    The kept event (event_id, ord, title, summary) takes the gone ones' turns and nodes, which keep their ids, and its summary is
+    fused with theirs in order; the gone events' edges go with them."""
+    moves = plan.select(F.col("gone").alias("old"), "kept")
+    told = events.join(moves, events["event_id"] == moves["old"]).select(F.col("kept").alias("event_id"), "ord", F.col("summary").alias("text"))
+    own = events.join(plan.select(F.col("kept").alias("event_id")).distinct(), "event_id", "left_semi").select("event_id", F.lit(-1).cast("long").alias("ord"), F.col("summary").alias("text"))
+    summaries = fuse_chain(own.unionByName(told), join).withColumnRenamed("summary", "__s")
+    stay = events.join(moves.select(F.col("old").alias("event_id")), "event_id", "left_anti").join(summaries, "event_id", "left")
+    stay = stay.withColumn("summary", F.coalesce("__s", "summary")).drop("__s")
+    left = edges.join(moves.select(F.col("old").alias("event_id")), "event_id", "left_anti")
+    return stay, rekey(turns, moves, "event_id"), rekey(nodes, moves, "event_id"), left
+
+
 def fold_into(nodes: DataFrame, edges: DataFrame, into: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a graph after some nodes went into others (id, into; a target stays): counts and times are rolled up into the target, its body takes the new ones that say something else, edges follow."""
     joined = nodes.join(into, "id", "left").withColumn("__to", F.coalesce("into", "id"))
