@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vector as V
 from ..profile import Profile
-from .tiles import Pair, cosines, meet
+from .tiles import Pair, embedded, meet
 
 
 def node_score(p: Pair) -> dict[str, np.ndarray]:
@@ -38,11 +39,11 @@ def entries(hits: DataFrame, least: float = 0.16) -> DataFrame:
 
 def anchors(hits: DataFrame, events: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, event_id, score): the best of the events that a query's entry nodes lie in. events: event_id, k, t, survival, ord; queries: id, k."""
-    met = hits.select("query_id", "event_id").distinct().join(events.select("event_id", F.col("k").alias("e_k"), "t", "survival", "ord"), "event_id")
-    met = met.join(queries.select(F.col("id").alias("query_id"), F.col("k").alias("q_k")), "query_id")
-    met = cosines(met, "q_k", "e_k").withColumn("q", F.array_distinct("q_k"))
+    e = embedded(events.select("event_id", "k", "t", "survival", "ord"), "k", "e_v").drop("k")
+    own = embedded(queries.select(F.col("id").alias("query_id"), "k"), "k", "q_v").select("query_id", "q_v", F.array_distinct("k").alias("q"))
+    met = hits.select("query_id", "event_id").distinct().join(e, "event_id").join(own, "query_id")
     q, t = F.col("q"), F.col("t")
-    score = 0.48 * F.greatest(F.col("cos"), F.lit(0.0)) + 0.20 * X.overlap(q, t) + 0.17 * X.coverage(q, t) + 0.15 * F.col("survival")
+    score = 0.48 * F.greatest(V.dot(F.col("e_v"), F.col("q_v")), F.lit(0.0)) + 0.20 * X.overlap(q, t) + 0.17 * X.coverage(q, t) + 0.15 * F.col("survival")
     met = met.select("query_id", "event_id", "ord", F.round(score, 9).alias("score"))
     best = met.groupBy("query_id").agg(F.max_by(F.struct("event_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("query_id", "b.event_id", "b.score")

@@ -268,3 +268,19 @@ def cosines(df: DataFrame, a: str, b: str, rows: int = 512) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cos)], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def embedded(df: DataFrame, tokens: str, name: str = "v", rows: int = 512) -> DataFrame:
+    """df with the hash embedding of a column of token multisets as a dense vector at length 1: where a row meets many, its tokens are hashed once."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    at = df.columns.index(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                v = _Sets(pa.chunked_array([batch.column(at)])).vectors
+                offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * DIM)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -42,9 +42,10 @@ def memory_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(in_memories(turns(spark, sf_dir).where("valid")))
 
 
-def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables that several steps read, written once."""
-    return {k: materialize(t) for k, t in tables.items()}
+def stored(nodes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Node tables that several steps read, written once, by one job."""
+    every = materialize(retrieve.union_nodes(nodes))
+    return {g: every.where(F.col("graph") == g).withColumn("ord", F.col("graph_ord")).select(n.columns) for g, n in nodes.items()}
 
 
 def _weighted(nodes: DataFrame, as_of: float) -> DataFrame:
@@ -276,9 +277,8 @@ class Retrieved:
     def __init__(self, spark: SparkSession, sf_dir: str):
         # what later steps read more than once is written
         t = memory_turns(spark, sf_dir)
-        nodes = stored(node_tables(t))
-        self.nodes = materialize(candidates(nodes))
-        self.events = materialize(event_table(t, {g: self.nodes.where(F.col("graph") == g).withColumn("ord", F.col("graph_ord")) for g in nodes}))
+        self.nodes = materialize(candidates(node_tables(t)))
+        self.events = materialize(event_table(t, {g: self.nodes.where(F.col("graph") == g).withColumn("ord", F.col("graph_ord")) for g in GRAPHS}))
         self.questions = materialize(question_table(t))
         self.hits = retrieve.entries(retrieve.search(self.questions, self.nodes))
         self.entry = materialize(self.hits.join(self.nodes.select(F.col("id").alias("node_id"), "event_id"), "node_id"))
