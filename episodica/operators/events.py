@@ -109,14 +109,24 @@ def titles(turns: DataFrame, event: str, profile: Profile, previous: DataFrame |
         texts = texts.withColumns({"__title": F.lit(None).cast("string"), "__summary": F.lit(None).cast("string")})
     else:
         texts = texts.join(previous.select(event, F.col("title").alias("__title"), F.col("summary").alias("__summary")), event, "left")
+    title = title_of(F.col("head"), F.col("__t"), F.col("__title"), profile)
+    return texts.select(event, title.alias("title"), summary_of(F.col("six"), F.col("__summary"), profile, limit).alias("summary"))
+
+
+def title_of(head: Column, tokens: Column, previous: Column, profile: Profile) -> Column:
+    """An event's title from its first three texts in one, their token set, and the title before."""
     title = F.when(F.lit(False), F.lit(None).cast("string"))
     for word in profile.critical:
-        title = title.when(F.contains("head", F.lit(word)), word + profile.title_suffix)
-    words = shared(F.col("__t"), F.col("__t"), profile, 3)
-    title = title.when(F.size(words) > 0, F.substring(F.array_join(words, " / "), 1, 18)).when(F.coalesce("__title", F.lit("")) != "", F.col("__title"))
-    title = title.when(F.col("head") == "", profile.default_title).otherwise(F.substring("head", 1, 18))
-    pieces = F.filter(F.concat(F.array(F.coalesce("__summary", F.lit(""))), "six"), lambda x: x != "")
-    return texts.select(event, title.alias("title"), F.substring(F.array_join(F.array_distinct(F.slice(pieces, 1, 6)), profile.join), 1, limit).alias("summary"))
+        title = title.when(F.contains(head, F.lit(word)), word + profile.title_suffix)
+    words = shared(tokens, tokens, profile, 3)
+    title = title.when(F.size(words) > 0, F.substring(F.array_join(words, " / "), 1, 18)).when(F.coalesce(previous, F.lit("")) != "", previous)
+    return title.when(head == "", profile.default_title).otherwise(F.substring(head, 1, 18))
+
+
+def summary_of(texts: Column, previous: Column, profile: Profile, limit: int = 240) -> Column:
+    """The summary before and the texts: the first six distinct, joined and cut."""
+    pieces = F.filter(F.concat(F.array(F.coalesce(previous, F.lit(""))), texts), lambda x: x != "")
+    return F.substring(F.array_join(F.array_distinct(F.slice(pieces, 1, 6)), profile.join), 1, limit)
 
 
 def last_texts(nodes: dict[str, DataFrame], k: int, event: str = "event_id") -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
 from ..profile import Profile
+from ..sources.scratch import materialize
 from . import extract as rules
+from .events import summary_of, title_of
 from .folds import DIM, token_list, vector
 
 
@@ -103,16 +105,85 @@ def _typed(values: Column, kind: str) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("name")))
 
 
-def summarise(df: DataFrame, text: str, model: Callable[[list[str]], list[str]] | None = None, limit: int = 120) -> DataFrame:
-    """df with summary: the model's, or the first characters of the text."""
+def once(df: DataFrame, inputs: list[str], model: Callable[[list[dict]], list], result: str, name: str, tries: int = 3, batch: int = 64) -> DataFrame:
+    """df with name, what model makes of a row's inputs, and <name>_tries, how often it was asked for them.
+
+    Rows with equal inputs are asked for once, by a digest, so long texts aren't compared; what comes back is written before
+    it is joined, so no later step asks again. model takes up to batch dicts of inputs and gives a value of the SQL type
+    result for each; where it raises, its inputs are asked for one by one, tries times in all, and null is the answer if
+    all fail."""
+    key = F.sha2(F.to_json(F.struct(*inputs)), 256)
+    keyed = df.withColumn("__key", key)
+    asked = keyed.groupBy("__key").agg(F.any_value(F.struct(*inputs)).alias("__in")).select("__key", "__in.*")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for start in range(0, len(rows), batch):
+                part = rows.iloc[start : start + batch]
+                records, values, times = part[inputs].to_dict("records"), [], []
+                try:
+                    values, times = list(model(records)), [1] * len(part)
+                except Exception:  # whatever the model's client raises
+                    for one in records:
+                        value, n = None, 1
+                        while n < tries:
+                            n += 1
+                            try:
+                                value = model([one])[0]
+                                break
+                            except Exception:  # the same, for one
+                                continue
+                        values.append(value)
+                        times.append(n)
+                yield pd.DataFrame({"__key": part["__key"], name: pd.Series(values, index=part.index, dtype=object), f"{name}_tries": times})
+
+    answers = materialize(asked.mapInPandas(run, f"__key string, `{name}` {result}, `{name}_tries` int"))
+    return keyed.join(answers, "__key").drop("__key")
+
+
+def _fused(pieces: Column, profile: Profile, alike: float = 0.72, limit: int = 240) -> Column:
+    """Pieces in order without those like one that is kept, joined and cut."""
+
+    def add(kept: Column, piece: Column) -> Column:
+        near = F.exists(kept, lambda k: X.overlap(X.token_set(k), X.token_set(piece)) > alike)
+        return F.when((piece == "") | near, kept).otherwise(F.array_append(kept, piece))
+
+    return F.substring(F.array_join(F.aggregate(F.transform(pieces, X.normalize), X.none(), add), profile.join), 1, limit)
+
+
+def _fuse(alike: bool):
+    def rule(c: dict[str, Column], profile: Profile) -> Column:
+        before, new = c["previous"], c["new"]
+        return X.fuse(before, new, X.overlap(X.token_set(before), X.token_set(new)) if alike else F.lit(0.0), profile)
+
+    return rule
+
+
+def _title(c: dict[str, Column], profile: Profile) -> Column:
+    head = F.array_join(F.slice(c["texts"], 1, 3), " ")
+    return title_of(head, X.token_set(head), c["previous"], profile)
+
+
+#: What a summariser is asked for: its inputs, and the rule that stands in for a model.
+SUMMARIES: dict[str, tuple[list[str], Callable[[dict[str, Column], Profile], Column]]] = {
+    "turn": (["question", "answer", "visual"], lambda c, p: X.local_summary(c["question"], c["answer"], c["visual"])),
+    "event_title": (["texts", "previous"], _title),
+    "event_summary": (["texts", "previous"], lambda c, p: summary_of(c["texts"], c["previous"], p)),
+    "fuse_summary": (["previous", "local", "texts"], lambda c, p: _fused(F.concat(F.array(F.coalesce(c["previous"], F.lit("")), F.coalesce(c["local"], F.lit(""))), F.slice(F.reverse(F.slice(F.reverse(c["texts"]), 1, 3)), 1, 3)), p)),
+    "fuse_entity": (["previous", "new"], _fuse(True)),
+    "fuse_temporal": (["previous", "new"], _fuse(False)),
+    "fuse_causal": (["previous", "new"], _fuse(True)),
+}
+
+
+def summarise(df: DataFrame, method: str, profile: Profile, model: Callable[[list[dict]], list[str]] | None = None, tries: int = 3, batch: int = 64) -> DataFrame:
+    """df (with the inputs of a method of SUMMARIES) with summary: the model's, where it gives one, or the rule's; with a model, summary_tries too."""
+    inputs, rule = SUMMARIES[method]
+    ruled = rule({c: F.col(c) for c in inputs}, profile)
     if model is None:
-        return df.withColumn("summary", F.substring(X.normalize(F.col(text)), 1, limit))
-
-    @pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series(model(batch.fillna("").tolist()))
-
-    return df.withColumn("summary", run(text))
+        return df.withColumn("summary", ruled)
+    asked = once(df, inputs, model, "string", "summary", tries, batch)
+    return asked.withColumn("summary", F.coalesce("summary", ruled))
 
 
 def review(items: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..profile import ASCII as P
 from ..sources import scratch
 from ..sources import tables as S
 from .adapters import TURNS, sql_overlap, sql_tokens, table, turns
+from .graph_memory import _LOCAL
 from .memory_queries import _ASKED, _EVENTS, _NODES, _SPANS, asked, at_the_question, earlier, entity_nodes, span_events, spans
 from .registry import query
 from .text_queries import STOP
@@ -145,3 +147,40 @@ def assigned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = span_events(s).withColumn("survival", F.lit(0.5))
     out = events.assigned(t, e, P)
     return out.select("event_id", "turns", "last_hit", F.round("survival", 6).alias("survival"), F.array_join("recent", "|").alias("recent"), F.round("consistency", 6).alias("consistency"))
+
+
+def stub(inputs: list[str], fails: dict[str, int]):
+    """A model for tests and counts: the first 40 characters of the inputs, with a mark; those whose md5 begins with a digit of fails raise so often first."""
+    asked: dict[str, int] = {}
+
+    def model(records: list[dict]) -> list[str]:
+        out = []
+        for r in records:
+            text = "|".join(r[c] for c in inputs)
+            digest = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+            asked[digest] = asked.get(digest, 0) + 1
+            if asked[digest] <= fails.get(digest[0], 0):
+                raise RuntimeError("no answer")
+            out.append(text[:40] + "!")
+        return out
+
+    return model
+
+
+_ANSWERED = "CASE WHEN md5({0})[1] = '0' THEN {1} ELSE {0}[1:40] || '!' END AS summary, CASE WHEN md5({0})[1] = '0' THEN 3 WHEN md5({0})[1] IN ('1', '2') THEN 2 ELSE 1 END AS tries"
+
+
+@query(
+    f"{_FUSED.replace('WITH t AS', f'WITH {TURNS}, t AS', 1)}, hq AS (SELECT id, question || '|' || answer AS x, {_LOCAL} AS local FROM turns WHERE valid), "
+    + f"hn AS (SELECT conv_id || ':' || turn AS id, px || '|' || x AS x, CASE WHEN {sql_overlap('list_distinct(k)', 'list_distinct(pk)')} > 0.7 THEN px ELSE (px || '; ' || x)[1:240] END AS fused FROM n WHERE px IS NOT NULL) "
+    + f"SELECT 'turn' AS method, id, {_ANSWERED.format('x', 'local')} FROM hq UNION ALL SELECT 'fuse_entity', id, {_ANSWERED.format('x', 'fused')} FROM hn"
+)
+def hooked_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the summariser's methods by a stub model that fails at times: each distinct input is asked for once, alone and up to three times, and the rule answers where that fails."""
+    fails = {"0": 3, "1": 1, "2": 1}
+    t = turns(spark, sf_dir).where("valid").select("id", "question", "answer", F.lit("").alias("visual"))
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("new"))
+    c = c.withColumn("previous", F.lag("new").over(w)).where("previous IS NOT NULL")
+    made = [hooks.summarise(d, m, P, stub(of, fails), batch=1).select(F.lit(m).alias("method"), "id", "summary", F.col("summary_tries").alias("tries")) for d, m, of in ((t, "turn", ["question", "answer"]), (c, "fuse_entity", ["previous", "new"]))]
+    return made[0].unionByName(made[1])

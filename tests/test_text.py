@@ -86,8 +86,6 @@ def test_hooks(spark):
     assert abs(sum(x * x for x in r[0].v) - 1) < 1e-9 and not any(r[1].v) and r[0].w == [5.0]
     assert [x.answer for x in hooks.answer(df, None, "K: ", "none", "; ").collect()] == ["K: x; y", "none"]
     assert [x.answer for x in hooks.answer(df, lambda q, c: [f"{a}{len(b)}" for a, b in zip(q, c)], "", "", "").collect()] == ["ab cd2", "0"]
-    assert [x.summary for x in hooks.summarise(df, "question", lambda b: [t.upper() for t in b]).collect()] == ["AB CD", ""]
-    assert [x.summary for x in hooks.summarise(df, "question").collect()] == ["ab cd", ""]
     items = df.select("question")
     assert hooks.review(items) is items
     assert hooks.review(items, lambda p: p.fillna("z")).count() == 2
@@ -120,3 +118,60 @@ def test_extraction_by_rules_and_by_a_model(spark):
 
     by_model = {r.id: r.x for r in hooks.extract(turns, ["id"], "text", DEFAULT, model).collect()}
     assert [e.name for e in by_model[1].entities] == ["东区"] and by_model[1].temporal[0].stage_name == "s" and by_model[2].entities == []
+
+
+SUMMARY_ROWS = [
+    ("ab  cd", "x", "", ["fire alpha beta", "gamma"], "old", "new one", "local"),
+    ("ab  cd", "x", "", ["fire alpha beta", "gamma"], "old", "new one", "local"),
+    ("", "", "", [], "", "", ""),
+    ("q " * 100, "a", "v", ["one two", "one two", "three", "four", "five", "six", "seven"], "one two", "one two", "one two"),
+]
+
+
+def test_seven_summaries_by_rule_and_by_model(spark):
+    from episodica.operators import hooks
+    from test_live import fuse, jac, title
+
+    from episodica.profile import ASCII as A
+
+    df = spark.createDataFrame(SUMMARY_ROWS, "question string, answer string, visual string, texts array<string>, previous string, new string, local string")
+
+    def plain(method, r):
+        q, a, v, texts, before, new, local = r
+        both = lambda: f"{before}{A.join}{new}"[:240]
+        head = " ".join(texts[:3])
+        return {
+            "turn": " ".join(f"{q} {a} {v}".split())[:120],
+            "event_title": title(texts) if head or not before else before,
+            "event_summary": A.join.join(dict.fromkeys([x for x in [before, *texts] if x][:6]))[:240],
+            "fuse_summary": fuse([before, local, *texts[-3:]]),
+            "fuse_entity": before if jac(before, new) > 0.7 else both(),
+            "fuse_temporal": both(),
+            "fuse_causal": before if jac(before, new) > 0.7 else both(),
+        }[method]
+
+    assert len(hooks.SUMMARIES) == 7
+    for method in hooks.SUMMARIES:
+        assert [r.summary for r in hooks.summarise(df, method, A).collect()] == [plain(method, r) for r in SUMMARY_ROWS], method
+        got = hooks.summarise(df, method, A, lambda rows: [f"m{len(rows[0])}" for _ in rows]).collect()
+        assert [(r.summary, r.summary_tries) for r in got] == [(f"m{len(hooks.SUMMARIES[method][0])}", 1)] * 4
+
+
+def test_a_model_is_asked_once_for_equal_inputs_and_again_where_it_fails(spark):
+    from episodica.operators import hooks
+    from episodica.plans.report_queries import stub
+
+    df = spark.createDataFrame([(i, f"t{i % 40}") for i in range(400)], "id long, x string").repartition(3)
+    got = hooks.once(df, ["x"], stub(["x"], {"0": 9, "1": 1}), "string", "y", tries=3, batch=4)
+    rows = got.collect()
+    assert sorted(r.id for r in rows) == list(range(400)) and set(got.columns) == {"id", "x", "y", "y_tries"}
+    by = {}
+    for r in rows:
+        by.setdefault(r.x, set()).add((r.y, r.y_tries))
+    assert len(by) == 40 and all(len(v) == 1 for v in by.values())  # one answer for all rows of an input
+    import hashlib
+
+    for x, ((y, n),) in by.items():
+        digit = hashlib.md5(x.encode()).hexdigest()[0]
+        assert (y is None and n == 3) if digit == "0" else y == x + "!" and n <= 3
+    assert hooks.once(df.where("false"), ["x"], stub(["x"], {}), "string", "y").count() == 0
