@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vector as V
 from ..operators import edges, extract, resolve, retrieve, route
 from ..operators.tiles import Pair
 from ..profile import ASCII as P
@@ -14,7 +15,7 @@ from ..profile import Params
 from .adapters import TURNS, sql_any, sql_hits, sql_overlap, sql_tokens, table, turns
 from .graph_memory import GAP, SESSIONS, in_memories
 from .registry import query
-from .text_queries import _sql_chunks, _sql_class, _sql_key, sql_key_match
+from .text_queries import _sql_chunks, _sql_class, _sql_key, _sql_map, sql_key_match
 from .vector_queries import sql_embedding
 
 PARAMS = Params()
@@ -213,8 +214,10 @@ def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(log.select(F.col("event_type").alias("part"), "id", F.col("by").alias("other")))
 
 
+MONTH = 30 * 86400
+_WEAK = f"NOT {sql_any('a_name', P.pins)} AND NOT {sql_any('b_name', P.pins)} AND round(0.35 * exp(-ln(2::DOUBLE) * {MONTH} / 21600.0::DOUBLE) + 0.25 * round(greatest(0.05, least(1.0, 0.50 + {_sql_map('kind', P.boosts, 0.05)})), 4), 4) < 0.16"
 #: The greedy walk: a node is gone where an earlier one that stays is like it, and goes into the first of these.
-_GREEDY = f""", al AS (SELECT b_id AS id, list(a_id ORDER BY a_ord) AS near FROM sc WHERE a_ord % 7 <> 0 AND b_ord % 7 <> 0 AND score >= {MERGE} GROUP BY ALL),
+_GREEDY = f""", al AS (SELECT b_id AS id, list(a_id ORDER BY a_ord) AS near FROM sc WHERE {_WEAK} AND score >= {MERGE} GROUP BY ALL),
 nn AS (SELECT n.event_id, n.kind, n.id, row_number() OVER (PARTITION BY n.event_id, n.kind ORDER BY n.ord) AS place, coalesce(al.near, []) AS near FROM nodes n LEFT JOIN al USING (id)),
 walk AS (SELECT event_id, kind, 0::BIGINT AS place, []::VARCHAR[] AS stay, NULL::VARCHAR AS id, NULL::VARCHAR AS kept FROM (SELECT DISTINCT event_id, kind FROM nn)
   UNION ALL SELECT nn.event_id, nn.kind, nn.place, CASE WHEN len(list_intersect(nn.near, w.stay)) > 0 THEN w.stay ELSE list_append(w.stay, nn.id) END, nn.id, list_filter(nn.near, lambda x: list_contains(w.stay, x))[1]
@@ -224,7 +227,10 @@ _RECURSIVE = _NODES.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def weak_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_nodes(spark, sf_dir).withColumn("pinned", F.lit(False)).withColumn("weight", F.when(F.col("ord") % 7 == 0, 0.5).otherwise(0.1))
+    """entity_nodes() with their weights a month after they were seen: most are weak by then, but not hazards and those pinned."""
+    n = entity_nodes(spark, sf_dir).withColumn("pinned", X.any_of(F.col("name"), P.pins))
+    weight = V.active_weight(F.lit(MONTH), F.lit(0), X.importance(F.col("kind"), P), F.lit(0.0), F.col("pinned"), PARAMS)
+    return n.withColumn("weight", F.round(weight, 4))
 
 
 @query(_RECURSIVE + _GREEDY + " SELECT id, kept AS into FROM m")
