@@ -893,6 +893,20 @@ APPLIED = {
 }
 
 
+def test_chat_and_vectors_with_clashing_columns(spark):
+    turns = [(1, 0, json.dumps({"prompt": "a"})), (1, 0, json.dumps({"prompt": "a"})), (1, 1, None), (2, 0, "{"), (None, 0, json.dumps({"prompt": "z " * 50_000}))]
+    plain = spark.createDataFrame(turns, "conv_id long, turn long, record string")
+    more = plain.select("*", *[F.lit("clash").alias(c) for c in ("role", "text", "layout", "formatted", "n_turns", "seq", "a.b")])
+    rows = [sorted(map(repr, chat_format.digests(chat_format.format_records(d)).collect())) for d in (plain, more)]
+    assert rows[0] == rows[1] and len(rows[0]) == 3
+    assert chat_format.digests(chat_format.format_records(more.where("false"))).count() == 0
+    vectors = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (2, [1.0, 0.01], 1), (3, None, 1), (None, [1.0, 0.0], 1), (4, [1.0, 0.0], None)]
+    plain = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    more = plain.select("*", *[F.lit("clash").alias(c) for c in ("nid", "unit", "n_links", "component_id", "of", "n", "pass", "copies", "a.b")])
+    rows = [sorted(map(repr, vector_dedup.near_duplicates(d).collect())) for d in (plain, more)]
+    assert rows[0] == rows[1] and any("n_links=1" in r for r in rows[0])
+
+
 @pytest.mark.parametrize("name", sorted(APPLIED))
 def test_operators_on_strange_rows(spark, name):
     docs, apply = strange(spark), APPLIED[name]
