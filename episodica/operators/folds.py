@@ -37,10 +37,11 @@ _hashed = lru_cache(maxsize=1 << 16)(place_and_sign)
 
 def vector(tokens: list[str], dim: int = DIM) -> np.ndarray:
     """The same hash embedding as functions.vector.hash_embedding, dense."""
-    v = np.zeros(dim)
+    sums = [0.0] * dim  # a list, as single items of an array are slow to reach
     for t in tokens:
         place, sign = _hashed(t, dim)
-        v[place] += sign
+        sums[place] += sign
+    v = np.array(sums)
     n = np.linalg.norm(v)
     return v / n if n else v
 

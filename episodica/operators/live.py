@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,13 @@ def prepared(turns: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
+@lru_cache(1 << 12)
+def parsed(text: str) -> tuple[np.ndarray, frozenset[str]]:
+    """A text's vector and token set; a turn's texts are met several times each."""
+    words = token_list(text)
+    return vector(words), frozenset(words)
+
+
 def title_of(texts: list[str], profile: Profile, previous: str = "") -> str:
     head = " ".join(texts[:3])
     for word in profile.critical:
@@ -83,7 +91,7 @@ def fused(pieces: Iterable[str], join: str, alike: float = 0.72, limit: int = 24
     """Pieces in order without those like one that is kept, joined and cut."""
     kept: list[tuple[str, set]] = []
     for piece in pieces:
-        own = set(token_list(piece))
+        own = parsed(piece)[1]
         if piece and all(jaccard(own, s) <= alike for _, s in kept):
             kept.append((piece, own))
     return join.join(p for p, _ in kept)[:limit]
@@ -120,7 +128,7 @@ class Graph:
         self.kinds = np.zeros(8, np.int64)
         self.codes: dict[str, int] = {}
         self.having: dict[str, set[int]] = {}
-        self.tokens: list[set[str]] = []
+        self.tokens: list[frozenset[str]] = []
 
     def code(self, kind: str) -> int:
         return self.codes.setdefault(kind, len(self.codes))
@@ -131,12 +139,12 @@ class Graph:
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
             self.sizes, self.kinds = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.kinds))
         self.nodes.append(node)
-        self.tokens.append(set())
-        self.matrix[n], self.kinds[n] = vector(token_list(embedded)), self.code(node.kind)
+        self.tokens.append(frozenset())
+        self.matrix[n], self.kinds[n] = parsed(embedded)[0], self.code(node.kind)
         self.retoken(n, lexical)
 
     def retoken(self, n: int, lexical: str) -> None:
-        own = set(token_list(lexical))
+        own = parsed(lexical)[1]
         for t in self.tokens[n] - own:
             self.having[t].discard(n)
         for t in own - self.tokens[n]:
@@ -149,10 +157,9 @@ class Graph:
         of = np.arange(n) if kind is None else np.flatnonzero(self.kinds[:n] == self.code(kind))
         if not len(of):
             return -1, -1.0
-        words = token_list(text)
-        scores = np.maximum(self.matrix[:n] @ vector(words), 0.0)
+        v, own = parsed(text)
+        scores = np.maximum(self.matrix[:n] @ v, 0.0)
         if lexical:
-            own = set(words)
             met = np.array([i for t in own for i in self.having.get(t, ())], np.int64)
             both = np.bincount(met, minlength=n)
             scores = (1 - lexical) * scores + lexical * both / np.maximum(len(own) + self.sizes[:n] - both, 1)
@@ -180,8 +187,8 @@ class Event:
         self.look()
 
     def look(self) -> None:
-        self.vector = vector(token_list(self.source))
-        self.tokens = set(token_list(f"{self.title} {self.summary}"))
+        self.vector = parsed(self.source)[0]
+        self.tokens = parsed(f"{self.title} {self.summary}")[1]
 
 
 class Memory:
@@ -242,8 +249,8 @@ class Memory:
 
     def route(self, turn) -> tuple[Event | None, float]:
         """The event that suits a turn best as things are, the earliest of equals, or none below the threshold; and its score."""
-        words, lexical = token_list(turn.said), set(token_list(turn.text))
-        v, keys, p = vector(words), keys_of(turn.text, self.profile), self.p
+        v, lexical = parsed(turn.said)[0], parsed(turn.text)[1]
+        keys, p = keys_of(turn.text, self.profile), self.p
         best, top = None, -1.0
         for e in self.events.values():
             cos, both = max(float(v @ e.vector), 0.0), jaccard(lexical, e.tokens)
@@ -261,7 +268,7 @@ class Memory:
         return (best if top >= least else None), top
 
     def _assign(self, turn, event: Event, score: float | None, how: str, created: bool) -> None:
-        consistency = float(vector(token_list(turn.said)) @ event.vector)
+        consistency = float(parsed(turn.said)[0] @ event.vector)
         event.scores = [*event.scores, consistency][-_LAST:]
         event.texts = [*event.texts, turn.text][-_RECENT:]
         event.updated_at, event.changed = turn.ts, True
@@ -329,7 +336,7 @@ class Memory:
         if turn.id not in node.turns:
             node.turns.append(turn.id)
         if not created:
-            if graph == "temporal" or jaccard(set(token_list(node.text)), set(token_list(clean))) <= 0.70:
+            if graph == "temporal" or jaccard(parsed(node.text)[1], parsed(clean)[1]) <= 0.70:
                 node.text = f"{node.text}{self.profile.join}{clean}"[:240]
                 if graph == "causal":
                     g.retoken(i, node.text)
