@@ -37,7 +37,7 @@ SAMPLE, ROUNDS = 20_000, 10
 PROBES, TARGET = 256, 0.96
 #: Centroids a half: about CELL_ROWS entries a cell, between these bounds; cells are the square.
 CELL_ROWS, FEWEST, MOST = 12, 4, 256
-BLOCK, ASIDE = 8192, 100_000
+BLOCK, ASIDE = 4096, 100_000
 #: Queries whose products with a block's entries are held at once.
 AT_ONCE = 128
 
