@@ -17,7 +17,8 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,14 @@ def _hashed(token: str) -> tuple[int, float]:
     return place_and_sign(token, DIM)
 
 
+#: Between tokens that are shuffled in one string: an array of short strings takes 16 bytes for each.
+SEPARATOR = "\x1f"
+
+
+def _joined(tokens: str) -> Column:
+    return F.array_join(tokens, SEPARATOR).alias(tokens)
+
+
 class Side:
     """Rows of one tile."""
 
@@ -51,6 +60,8 @@ class _Sets:
 
     def __init__(self, lists: pa.ChunkedArray):
         lists = lists.combine_chunks()
+        if pa.types.is_string(lists.type):  # joined by _joined()
+            lists = pc.split_pattern(pc.if_else(pc.equal(lists, ""), None, lists), SEPARATOR)
         lengths = np.diff(np.asarray(lists.offsets)) * np.asarray(lists.is_valid())
         flat = lists.flatten().dictionary_encode()
         self.n, self.members = len(lists), flat.dictionary.to_pylist()
@@ -194,7 +205,7 @@ def meet(left: DataFrame, right: DataFrame | None, block: list[str], score: Scor
 
     def rows(df: DataFrame, side: int) -> DataFrame:
         x = F.array(*[F.col(c).cast("double") for c in names[side]]) if names[side] else F.array().cast("array<double>")
-        return df.select(*block, F.lit(side).alias("side"), F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), "k", *texts, x.alias("x"), *[F.col(f"keys.{k}").alias(f"key_{k}") for k in keys])
+        return df.select(*block, F.lit(side).alias("side"), F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), _joined("k"), *map(_joined, texts), x.alias("x"), *[F.col(f"keys.{k}").alias(f"key_{k}") for k in keys])
 
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*block).agg(F.ceil(F.count("*") / tile).alias(name))
