@@ -119,23 +119,53 @@ def expand(seeds: DataFrame, edges: DataFrame, least: float = 0.75) -> DataFrame
     return near.join(seeds, ["query_id", "node"], "left_anti")
 
 
-def bounded_paths(starts: DataFrame, edges: DataFrame, relevance: DataFrame, depth: int = 2, prune: float = 0.26, drift: float = 0.25, survival: float = 0.16, combined: float = 0.10, most: int = 6) -> DataFrame:
-    """(query_id, event, depth, path_score, rank): events within two hops over coarse edges, fewest hops first, then the greatest product of scores; 6 at most.
-
-    starts: query_id, event; relevance: query_id, event, semantic, combined, survival. A path ends before an edge below 0.26,
-    and before an event that is over 0.25 less like the question than the start, has survived to less than 0.16, or
-    scores below 0.10 for the question."""
+def _walk(starts: DataFrame, edges: DataFrame, relevance: DataFrame, depth: int, prune: float, drift: float, survival: float, combined: float) -> tuple[list[DataFrame], DataFrame]:
+    """The events of each hop (query_id, event, depth, path_score), and all events with what may end a path there (query_id, event, drifted, faded, unlike)."""
     step = both_ways(edges.where(F.col("score") >= prune).select("source", "target", "score"))
     anchor = relevance.join(starts.select("query_id", "event"), ["query_id", "event"]).select("query_id", F.col("semantic").alias("__anchor"))
-    fit = relevance.join(anchor, "query_id").where((F.col("__anchor") - F.col("semantic") <= drift) & (F.col("survival") >= survival) & (F.col("combined") >= combined)).select("query_id", F.col("event").alias("target"))
+    ends = relevance.join(anchor, "query_id").select("query_id", "event", (F.col("__anchor") - F.col("semantic") > drift).alias("drifted"), (F.col("survival") < survival).alias("faded"), (F.col("combined") < combined).alias("unlike"))
+    fit = ends.where("NOT (drifted OR faded OR unlike)").select("query_id", F.col("event").alias("target"))
     here = starts.select("query_id", "event", F.lit(0).alias("depth"), F.lit(1.0).alias("path_score"))
-    found = here
+    hops = [here]
     for d in range(1, depth + 1):
         here = here.join(step, here["event"] == step["source"]).join(fit, ["query_id", "target"])
         here = here.select("query_id", F.col("target").alias("event"), F.lit(d).alias("depth"), (F.col("path_score") * F.col("score")).alias("path_score"))
         here = here.groupBy("query_id", "event", "depth").agg(F.max("path_score").alias("path_score"))
-        found = found.unionByName(here)
+        hops.append(here)
+    return hops, ends
+
+
+def _ranked(hops: list[DataFrame]) -> DataFrame:
     best = W.partitionBy("query_id", "event").orderBy("depth", F.desc("path_score"))
-    found = found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    found = reduce(DataFrame.unionByName, hops).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
     rank = W.partitionBy("query_id").orderBy("depth", F.desc(F.round("path_score", 9)), "event")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
+    return found.withColumn("rank", F.row_number().over(rank))
+
+
+def bounded_paths(starts: DataFrame, edges: DataFrame, relevance: DataFrame, depth: int = 2, prune: float = 0.26, drift: float = 0.25, survival: float = 0.16, combined: float = 0.10, most: int = 6) -> DataFrame:
+    """(query_id, event, depth, path_score, rank): events within two hops over coarse edges, fewest hops first, then the greatest product of scores; 6 at most.
+
+    starts: query_id, event; relevance: query_id, event, semantic, combined, survival. A path ends before an edge below 0.26,
+    and before an event that is over 0.25 less like the question than the start, has survived to less than 0.16, or
+    scores below 0.10 for the question."""
+    hops, _ = _walk(starts, edges, relevance, depth, prune, drift, survival, combined)
+    return _ranked(hops).where(F.col("rank") <= most)
+
+
+def path_trace(starts: DataFrame, edges: DataFrame, relevance: DataFrame, depth: int = 2, seen: float = 0.22, prune: float = 0.26, drift: float = 0.25, survival: float = 0.16, combined: float = 0.10, most: int = 6) -> DataFrame:
+    """(query_id, event, depth, status, reason, score): what bounded_paths() visited, with the score of the path, and what it passed over, with the score of the edge and why.
+
+    An edge from 0.22 on is looked at. An event that no path enters is passed over for the first that holds of: edge (below
+    0.26), drift, survival, score; where several edges lead to it, the one of fewest hops and then of greatest score
+    counts. One that a path enters beyond the sixth place is passed over for limit, with the path's score."""
+    hops, ends = _walk(starts, edges, relevance, depth, prune, drift, survival, combined)
+    ranked = _ranked(hops)
+    out = F.col("rank") > most
+    visited = ranked.select("query_id", "event", "depth", F.when(out, "pruned").otherwise("visited").alias("status"), F.when(out, "limit").otherwise("").alias("reason"), F.col("path_score").alias("score"))
+    near = both_ways(edges.where(F.col("score") >= seen).select("source", "target", "score"))
+    before = reduce(DataFrame.unionByName, hops[:-1])
+    met = before.join(near, before["event"] == near["source"]).select("query_id", F.col("target").alias("event"), (F.col("depth") + 1).alias("depth"), "score")
+    met = met.join(ranked.select("query_id", "event"), ["query_id", "event"], "left_anti").join(ends, ["query_id", "event"])
+    reason = F.when(F.col("score") < prune, "edge").when(F.col("drifted"), "drift").when(F.col("faded"), "survival").when(F.col("unlike"), "score")
+    first = met.groupBy("query_id", "event").agg(F.min_by(F.struct("depth", reason.alias("reason"), "score"), F.struct("depth", -F.col("score"))).alias("m"))
+    return visited.unionByName(first.select("query_id", "event", "m.depth", F.lit("pruned").alias("status"), "m.reason", "m.score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions import vector as V
 from ..operators import edges, events, extract, report, resolve, retrieve
 from ..profile import ASCII as P
 from ..profile import Params
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, shared_dir
 from .adapters import BASE, STEP, TURNS, quote, sql_any, sql_overlap, sql_tokens, table, turns
 from .registry import query
 from .text_queries import STOP, _sql_causal_of, _sql_chunks, _sql_class, _sql_key, _sql_map, _sql_stage, sql_key_match
@@ -166,7 +167,7 @@ def similar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.similar(talks(spark, sf_dir), P).select("memory_id", "source", "target", F.round("score", 6).alias("score"))
 
 
-@query(
+_WALKED = (
     TALKS
     + f""", q1 AS (SELECT memory_id, arg_min(k, place) AS k FROM (SELECT memory_id, {sql_tokens('question')} AS k, event_id::BIGINT * 1000000 + ord AS place FROM tt) GROUP BY memory_id), vq AS ({sql_embedding('q1', 'memory_id', 'k')}),
 rc AS (SELECT e.event_id, sum(a.w * b.w) AS cos FROM ev e JOIN vq a ON a.memory_id = e.memory_id JOIN ve b ON b.event_id = e.event_id AND a.idx = b.idx GROUP BY ALL),
@@ -177,11 +178,12 @@ ok AS (SELECT rel.query_id, rel.event FROM rel JOIN h0e USING (query_id) WHERE a
 h1e AS (SELECT query_id, s.target AS event, max(score) AS path_score FROM h0e JOIN s ON s.source = h0e.event WHERE (query_id, s.target) IN (SELECT (query_id, event) FROM ok) GROUP BY ALL),
 h2e AS (SELECT query_id, s.target AS event, max(path_score * score) AS path_score FROM h1e JOIN s ON s.source = h1e.event WHERE (query_id, s.target) IN (SELECT (query_id, event) FROM ok) GROUP BY ALL),
 f AS (SELECT query_id, event, 0 AS depth, 1.0::DOUBLE AS path_score FROM h0e UNION ALL SELECT query_id, event, 1, path_score FROM h1e UNION ALL SELECT query_id, event, 2, path_score FROM h2e),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id, event ORDER BY depth, path_score DESC) AS n FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, round(path_score, 9) DESC, event) AS rank FROM b WHERE n = 1)
-SELECT query_id, event, depth, round(path_score, 6) AS path_score, rank FROM r WHERE rank <= 6"""
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, event ORDER BY depth, path_score DESC) AS n FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, round(path_score, 9) DESC, event) AS rank FROM b WHERE n = 1)"""
 )
-def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the event that suits a memory's first question best, over the coarse graph."""
+
+
+def _walkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each memory's first question: the event that suits it best, the coarse graph, and how all events suit it."""
     t = memory_turns(spark, sf_dir)
     e = event_table(t, node_tables(t))
     place = F.col("event_id").cast("long") * 1_000_000 + F.col("ord")
@@ -190,8 +192,26 @@ def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = materialize(e)
     relevance = materialize(retrieve.relevance(q, e))
     starts = retrieve.top(relevance.where("combined >= 0.14"), "query_id", 1, [F.desc("combined"), F.col("ord")])
-    g = materialize(coarse_graph(e).select("source", "target", "score"))
-    return edges.bounded_paths(starts, g, relevance).withColumn("path_score", F.round("path_score", 6))
+    return starts, materialize(coarse_graph(e).select("source", "target", "score")), relevance
+
+
+@query(_WALKED + " SELECT query_id, event, depth, round(path_score, 6) AS path_score, rank FROM r WHERE rank <= 6")
+def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the event that suits a memory's first question best, over the coarse graph."""
+    return edges.bounded_paths(*_walkable(spark, sf_dir)).withColumn("path_score", F.round("path_score", 6))
+
+
+@query(
+    _WALKED
+    + """, near AS (SELECT source, target, score FROM coarse UNION ALL SELECT target, source, score FROM coarse),
+me AS (SELECT query_id, n.target AS event, 1 AS depth, n.score FROM h0e JOIN near n ON n.source = h0e.event UNION ALL SELECT query_id, n.target, 2, n.score FROM h1e JOIN near n ON n.source = h1e.event),
+pr AS (SELECT me.query_id, me.event, me.depth, me.score, CASE WHEN me.score < 0.26 THEN 'edge' WHEN anchor - rel.semantic > 0.25 THEN 'drift' WHEN survival < 0.16 THEN 'survival' WHEN combined < 0.10 THEN 'score' END AS reason, row_number() OVER (PARTITION BY me.query_id, me.event ORDER BY me.depth, me.score DESC) AS n
+  FROM me JOIN rel ON rel.query_id = me.query_id AND rel.event = me.event JOIN h0e ON h0e.query_id = me.query_id WHERE (me.query_id, me.event) NOT IN (SELECT (query_id, event) FROM r))
+SELECT query_id, event, depth, CASE WHEN rank <= 6 THEN 'visited' ELSE 'pruned' END AS status, CASE WHEN rank <= 6 THEN '' ELSE 'limit' END AS reason, round(path_score, 6) AS score FROM r UNION ALL SELECT query_id, event, depth, 'pruned', reason, round(score, 6) FROM pr WHERE n = 1"""
+)
+def path_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that the walk over the coarse graph visited, and those that it passed over, with reasons."""
+    return edges.path_trace(*_walkable(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query(TALKS + " SELECT memory_id, event_id AS id, 0.0::DOUBLE AS score, 'vertex' AS part FROM ev UNION ALL SELECT memory_id, source || '>' || target, round(score, 6), 'edge' FROM coarse")
@@ -388,19 +408,51 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ratio(t, event_table(t, nodes), nodes, "memory_id")
 
 
-@query(
-    f"""{GRAPH}, {EVENTS}, {_SIZES.format('event_id')}, n AS (SELECT event_id, count(*) FILTER (graph = 0) AS entity_count, count(*) FILTER (graph = 1) AS temporal_count, count(*) FILTER (graph = 2) AS causal_count FROM nodes GROUP BY ALL), tc AS (SELECT event_id, count(*) AS turn_count FROM tt GROUP BY ALL)
-SELECT event_id AS id, title, summary, created_at, updated_at, turn_count, coalesce(entity_count, 0) AS entity_count, coalesce(temporal_count, 0) AS temporal_count, coalesce(causal_count, 0) AS causal_count, survival AS survival_weight, round(CASE WHEN raw = 0 THEN 1.0 ELSE (coalesce(s, 0) + coalesce(b, 0)) / raw::DOUBLE END, 4)::DOUBLE AS compression_ratio
-FROM ev JOIN tc USING (event_id) LEFT JOIN rt USING (event_id) LEFT JOIN su USING (event_id) LEFT JOIN nt USING (event_id) LEFT JOIN n USING (event_id)"""
-)
+_COUNTED = f"""{_SIZES.format('event_id')}, n AS (SELECT event_id, count(*) FILTER (graph = 0) AS entity_count, count(*) FILTER (graph = 1) AS temporal_count, count(*) FILTER (graph = 2) AS causal_count FROM nodes GROUP BY ALL), tc AS (SELECT event_id, count(*) AS turn_count FROM tt GROUP BY ALL),
+sn AS (SELECT event_id AS id, title, summary, created_at, updated_at, turn_count, coalesce(entity_count, 0) AS entity_count, coalesce(temporal_count, 0) AS temporal_count, coalesce(causal_count, 0) AS causal_count, survival AS survival_weight, round(CASE WHEN raw = 0 THEN 1.0 ELSE (coalesce(s, 0) + coalesce(b, 0)) / raw::DOUBLE END, 4)::DOUBLE AS compression_ratio
+FROM ev JOIN tc USING (event_id) LEFT JOIN rt USING (event_id) LEFT JOIN su USING (event_id) LEFT JOIN nt USING (event_id) LEFT JOIN n USING (event_id))"""
+_SNAPSHOT = f"{GRAPH}, {EVENTS}, {_COUNTED} SELECT * FROM sn"
+
+
+def _snapshot(t: DataFrame, nodes: dict[str, DataFrame], e: DataFrame) -> DataFrame:
+    counts = report.counts({"turn_count": t} | {f"{g}_count": n for g, n in nodes.items()}, "event_id")
+    out = e.join(counts, "event_id").join(_ratio(t, e, nodes, "event_id"), "event_id", "left")
+    return out.select("id", "title", "summary", "created_at", "updated_at", "turn_count", "entity_count", "temporal_count", "causal_count", F.col("survival").alias("survival_weight"), F.col("ratio").alias("compression_ratio"))
+
+
+@query(_SNAPSHOT)
 def event_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event as the snapshot shows it: eleven columns."""
     t = memory_turns(spark, sf_dir)
     nodes = stored(node_tables(t))
+    return _snapshot(t, nodes, materialize(event_table(t, nodes)))
+
+
+@query(_SNAPSHOT)
+def snapshot_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' snapshot, written as JSON lines and read back."""
+    snapshot = event_snapshot(spark, sf_dir)
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    report.dump(snapshot, path)
+    return spark.read.schema(snapshot.schema).json(path)
+
+
+_VERTEX = ["title", "summary", "entity_count", "temporal_count", "causal_count", "turn_count", "survival_weight"]
+
+
+@query(f"{TALKS}, {_COUNTED} SELECT id AS source, '' AS target, {', '.join(_VERTEX)}, NULL::DOUBLE AS combined_score FROM sn UNION ALL SELECT source, target, '', '', 0, 0, 0, 0, NULL, round(score, 4) FROM coarse")
+def exported_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarse graph as two tables that were written and are read back: events with their attributes, edges with their scores. A row without target is an event."""
+    t = memory_turns(spark, sf_dir)
+    nodes = stored(node_tables(t))
     e = materialize(event_table(t, nodes))
-    counts = report.counts({"turn_count": t} | {f"{g}_count": n for g, n in nodes.items()}, "event_id")
-    out = e.join(counts, "event_id").join(_ratio(t, e, nodes, "event_id"), "event_id", "left")
-    return out.select("id", "title", "summary", "created_at", "updated_at", "turn_count", "entity_count", "temporal_count", "causal_count", F.col("survival").alias("survival_weight"), F.col("ratio").alias("compression_ratio"))
+    vertices = _snapshot(t, nodes, e).select("id", *_VERTEX)
+    links = coarse_graph(e).select("source", "target", F.round("score", 4).alias("combined_score"))
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    report.export_graph(vertices, links, path)
+    vertices, links = spark.read.schema(vertices.schema).parquet(f"{path}/vertices"), spark.read.schema(links.schema).parquet(f"{path}/edges")
+    empty = [(F.lit("") if c in ("title", "summary") else F.lit(None).cast("double") if c == "survival_weight" else F.lit(0)).alias(c) for c in _VERTEX]
+    return vertices.select(F.col("id").alias("source"), F.lit("").alias("target"), *_VERTEX, F.lit(None).cast("double").alias("combined_score")).unionByName(links.select("source", "target", *empty, "combined_score"))
 
 
 _LISTS = ", ".join(f"x{i} AS (SELECT event_id, list({{'ord': ord, 'id': id, 'body': body}} ORDER BY ord, id) AS {g}_nodes FROM nodes WHERE graph = {i} GROUP BY event_id), y{i} AS (SELECT event_id, list({{'source': source, 'target': target, 'weight': weight}} ORDER BY source, target) AS {g}_edges FROM all_edges WHERE graph = '{g}' GROUP BY event_id)" for i, g in enumerate(GRAPHS))
