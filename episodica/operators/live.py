@@ -39,8 +39,8 @@ _COLUMNS = [c.split()[0] for c in UPDATE.split(", ")]
 _LAST, _RECENT = 8, 4
 
 
-def prepared(turns: DataFrame, profile: Profile) -> DataFrame:
-    """Turns (memory_id, at, id, ts, question, answer, text) with all that they say: TURN. No shuffle."""
+def prepared(turns: DataFrame, profile: Profile, *more: str) -> DataFrame:
+    """Turns (memory_id, at, id, ts, question, answer, text) with all that they say: TURN, and more of their columns. No shuffle."""
     parts = extract.chunks(F.col("text"), profile)
     t = turns.withColumn("parts", parts).withColumn("k", X.tokens(F.col("text")))
     order = F.lit(len(CLASSES))
@@ -68,6 +68,7 @@ def prepared(turns: DataFrame, profile: Profile) -> DataFrame:
         extract.stage(F.col("parts"), profile).alias("stage"),
         c["cause"].alias("cause"),
         c["effect"].alias("effect"),
+        *more,
     )
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import edges, extract, folds, live, maintain
+from ..functions import vector as V
+from ..operators import edges, extract, folds, hooks, live, maintain, replay
 from ..profile import ASCII as P
 from ..profile import Params
 from ..sources import keyed, scratch
@@ -127,6 +128,37 @@ def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.changes(log)
 
 
+# --- questions on the way ---
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(live.prepared(memory_turns(spark, sf_dir), P, "question"), PARAMS, P)
+
+
+@query()
+def replayed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question answered from its memory as it was then, nodes that came up before weighing more."""
+    out = hooks.answer(replayed(spark, sf_dir), None, "Known: ", "Nothing known.", "; ")
+    return _rounded(out, "score", "survival").select("memory_id", "at", "turn", "hits", "anchor", "score", "survival", F.array_join("lines", "|").alias("lines"), "answer", F.size("accessed").alias("accessed"))
+
+
+@query()
+def replay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replaying its turns did to a memory, and how large it is in the end."""
+    return replay.summary(replayed(spark, sf_dir))
+
+
+@query()
+def replayed_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes after a replay, with how often they came up and what they weigh for that."""
+    t = memory_turns(spark, sf_dir)
+    said = live.prepared(t, P, "question")
+    nodes = live.nodes(live.updates(said, PARAMS, P), AS_OF, PARAMS, P)
+    n = nodes.join(replay.accesses(replay.replay(said, PARAMS, P)).select(F.col("node").alias("id"), "access"), "id", "left").withColumn("access", F.coalesce("access", F.lit(0)))
+    weight = V.active_weight(F.lit(AS_OF) - F.col("last_seen"), F.col("access"), F.col("importance"), F.lit(1.0), F.col("pinned"), PARAMS)
+    return n.select("memory_id", "event_id", "graph", "id", "access", F.round(weight, 4).alias("weight"))
+
+
 # --- upkeep of what the turns left ---
 
 #: Turns under this score to their event drift; the published 0.20 is below what invented prose has.
