@@ -85,14 +85,16 @@ def similar(events: DataFrame, profile: Profile, least: float = 0.56, gate: bool
 
 def causal(items: DataFrame, nodes: DataFrame, event: str) -> DataFrame:
     """(event, item, source, target): for each causal item the last node that contains its cause, or is contained in it, and the same for its effect."""
-    met = items.join(nodes.where("text <> ''"), event)
+    said = items.where("cause <> '' AND effect <> ''").select(event, "item", "cause", "effect").distinct()
 
-    def last(side: str) -> Column:
-        both = F.contains(F.col("text"), F.col(side)) | F.contains(F.col(side), F.col("text"))
-        return F.max_by("node_id", F.when(both, F.col("ord")))
+    def last(side: str) -> DataFrame:
+        # equal causes of an event are compared with its nodes once
+        met = said.select(event, side).distinct().join(nodes.where("text <> ''"), event)
+        met = met.where(F.contains(F.col("text"), F.col(side)) | F.contains(F.col(side), F.col("text")))
+        return met.groupBy(event, side).agg(F.max_by("node_id", "ord").alias("source" if side == "cause" else "target"))
 
-    out = met.where("cause <> '' AND effect <> ''").groupBy(event, "item").agg(last("cause").alias("source"), last("effect").alias("target"))
-    return out.where("source IS NOT NULL AND target IS NOT NULL AND source <> target")
+    out = said.join(last("cause"), [event, "cause"]).join(last("effect"), [event, "effect"])
+    return out.where("source <> target").select(event, "item", "source", "target")
 
 
 def cascade(edges: DataFrame, gone: DataFrame, node: str) -> DataFrame:

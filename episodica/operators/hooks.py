@@ -186,9 +186,31 @@ def summarise(df: DataFrame, method: str, profile: Profile, model: Callable[[lis
     return asked.withColumn("summary", F.coalesce("summary", ruled))
 
 
-def review(items: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
-    """Causal items after review; without a judge they stay as they are."""
-    return items if judge is None else items.mapInPandas(lambda batches: map(judge, batches), items.schema)
+CHAIN = "array<struct<causal_type: string, cause: string, effect: string>>"
+
+
+def review(turns: DataFrame, model: Callable[[list[dict]], list[str]] | None = None, tries: int = 3, batch: int = 64) -> DataFrame:
+    """turns (new, known: CHAIN; text) with chain, correction and reason: what a reviewer makes of a turn's causal items and those that its event has.
+
+    model gives a JSON text for each dict of new, known (as JSON) and text, with new_causal_chain, is_correction and reason;
+    a correction's chain is to replace what is known. Without a model, where nothing is new or nothing is known, where it
+    fails or its chain is empty, the new items stay as they are. Equal questions are asked once."""
+    kept, no, none = F.col("new"), F.lit(False), F.lit("")
+    if model is None:
+        return turns.withColumns({"chain": kept, "correction": no, "reason": none})
+    asks = (F.size("new") > 0) & (F.size("known") > 0)
+    rows = turns.withColumns({"__new": F.to_json("new"), "__known": F.to_json("known"), "__text": F.coalesce("text", none)})
+
+    def named(records: list[dict]) -> list[str]:
+        return model([{k.removeprefix("__"): v for k, v in r.items()} for r in records])
+
+    asked = once(rows.where(asks), ["__new", "__known", "__text"], named, "string", "__raw", tries, batch).drop("__raw_tries")
+    rest = rows.where(~F.coalesce(asks, no)).withColumn("__raw", F.lit(None).cast("string"))
+    said = F.from_json(F.col("__raw"), f"struct<is_correction: boolean, reason: string, new_causal_chain: {CHAIN}>")
+    out = asked.unionByName(rest).withColumn("__said", said)
+    chain = F.col("__said.new_causal_chain")
+    out = out.withColumns({"chain": F.when(F.size(chain) > 0, chain).otherwise(kept), "correction": F.coalesce("__said.is_correction", no), "reason": F.coalesce("__said.reason", none)})
+    return out.drop("__new", "__known", "__text", "__raw", "__said")
 
 
 def answer(lines: DataFrame, model: Callable[[list[str], list[list[str]]], list[str]] | None, prefix: str, nothing: str, join: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import edges, events, extract, report, resolve, retrieve
+from ..operators import edges, events, extract, hooks, report, resolve, retrieve
 from ..profile import ASCII as P
 from ..profile import Params
 from ..sources.scratch import materialize, shared_dir
@@ -265,6 +267,36 @@ def causal_edge_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.causal(causal_items(parts), n, "event_id")
 
 
+#: Items of an event that a reviewer is shown.
+_SHOWN = 10
+
+
+def stub_reviewer(records: list[dict]) -> list[str]:
+    """A reviewer for counts: a text that ends in a letter from a to m corrects what is known, any other adds to it."""
+    out = []
+    for r in records:
+        corrects, new = r["text"][-1:] in set("abcdefghijklm"), json.loads(r["new"])
+        out.append(json.dumps({"is_correction": corrects, "reason": "stub", "new_causal_chain": new if corrects else json.loads(r["known"]) + new}))
+    return out
+
+
+@query(f"""{GRAPH}, ci AS (SELECT event_id, item, spot, causal_type, cause, effect, row_number() OVER (PARTITION BY event_id ORDER BY spot, item) AS n FROM items WHERE cause <> '' AND effect <> ''),
+kn AS (SELECT a.event_id, a.item, a.cause, tt.text, list(b.cause ORDER BY b.n) FILTER (b.n <= {_SHOWN} AND b.n < a.n) AS known FROM ci a JOIN ci b ON b.event_id = a.event_id JOIN tt ON tt.id = a.item GROUP BY ALL),
+co AS (SELECT *, len(known) > 0 AND regexp_matches(text, '[a-m]$') AS c FROM kn)
+SELECT event_id, item, coalesce(c, false) AS correction, CASE WHEN known IS NULL THEN '' ELSE 'stub' END AS reason, CASE WHEN known IS NULL OR c THEN cause ELSE array_to_string(list_append(known, cause), '|') END AS chain FROM co""")
+def reviewed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's causal item before a stub reviewer, who is shown the first ten of its event that came before."""
+    t = memory_turns(spark, sf_dir)
+    parts = t.select("memory_id", "event_id", "id", "ord", "ts", extract.chunks(F.col("text"), P).alias("parts"))
+    items = causal_items(parts).where("cause <> '' AND effect <> ''")
+    items = items.withColumns({"n": F.row_number().over(W.partitionBy("event_id").orderBy("at", "item")), "one": F.struct(F.col("kind").alias("causal_type"), "cause", "effect")})
+    first = items.where(F.col("n") <= _SHOWN).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("n", "one"))).alias("first"))
+    known = F.transform(F.filter("first", lambda f: f["n"] < F.col("n")), lambda f: f["one"])
+    asked = items.join(first, "event_id").join(t.select(F.col("id").alias("item"), "text"), "item").select("event_id", "item", "text", F.array("one").alias("new"), known.alias("known"))
+    out = hooks.review(asked, stub_reviewer)
+    return out.select("event_id", "item", "correction", "reason", F.array_join(F.transform("chain", lambda c: c["cause"]), "|").alias("chain"))
+
+
 @query(f"{GRAPH}, a AS (SELECT event_id, sum(frequency) AS n, bool_or(pinned) AS some FROM nodes GROUP BY ALL) SELECT t.event_id, a.n IS NOT NULL AS has_nodes FROM (SELECT DISTINCT conv_id::VARCHAR AS event_id FROM conversations) t LEFT JOIN a USING (event_id)")
 def event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a conversation has a node in any graph."""

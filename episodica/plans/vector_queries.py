@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
+from ..operators import hooks
 from ..profile import Params
 from .adapters import sql_tokens, table
 from .registry import query
@@ -73,6 +74,15 @@ def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.hash_embedding(rows, ["conv_id", "turn"], "k", DIM).select("conv_id", "turn", "idx", F.round("w", 6).alias("w"))
 
 
+@query(f"WITH k AS (SELECT conv_id, turn, {sql_tokens('text')} AS k FROM conversations), e AS ({sql_embedding('k', 'conv_id, turn', 'k')}), s AS (SELECT conv_id, turn, count(*) AS n, round(sum(w * w), 6) AS length, round(sum(w * idx), 4) AS weighted FROM e GROUP BY ALL) SELECT k.conv_id, k.turn, coalesce(n, 0) AS n, coalesce(length, 0.0)::DOUBLE AS length, coalesce(weighted, 0.0)::DOUBLE AS weighted FROM k LEFT JOIN s USING (conv_id, turn)")
+def hooked_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding hook with its default: dense vectors, by their places other than 0, their length and a weighted sum."""
+    v = table(spark, sf_dir, "conversations").select("conv_id", "turn", hooks.embed(F.col("text")).alias("v"))
+    zero = F.lit(0.0)
+    weighted = F.aggregate(F.transform("v", lambda x, i: x * i), zero, lambda a, x: a + x)
+    return v.select("conv_id", "turn", F.size(F.filter("v", lambda x: x != 0)).alias("n"), F.round(F.aggregate("v", zero, lambda a, x: a + x * x), 6).alias("length"), F.round(weighted, 4).alias("weighted"))
+
+
 def timed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as timed nodes: age in seconds, access count, importance in [0.05, 1], pinned."""
     e = table(spark, sf_dir, "events")

@@ -86,9 +86,30 @@ def test_hooks(spark):
     assert abs(sum(x * x for x in r[0].v) - 1) < 1e-9 and not any(r[1].v) and r[0].w == [5.0]
     assert [x.answer for x in hooks.answer(df, None, "K: ", "none", "; ").collect()] == ["K: x; y", "none"]
     assert [x.answer for x in hooks.answer(df, lambda q, c: [f"{a}{len(b)}" for a, b in zip(q, c)], "", "", "").collect()] == ["ab cd2", "0"]
-    items = df.select("question")
-    assert hooks.review(items) is items
-    assert hooks.review(items, lambda p: p.fillna("z")).count() == 2
+
+
+def test_a_reviewer_is_asked_where_something_is_new_and_known(spark):
+    import json
+
+    from episodica.operators import hooks
+
+    item = lambda c: {"causal_type": "direct_cause", "cause": c, "effect": "e"}
+    rows = [("both", [item("a  x")], [item("b")], "say"), ("again", [item("a")], [item("b")], "say"), ("nothing new", [], [item("b")], "say"), ("nothing known", [item("a")], [], "say"), ("null", None, None, None), ("empty chain", [item("a")], [item("b")], "none"), ("fails", [item("a")], [item("b")], "raise"), ("no json", [item("a")], [item("b")], "what")]
+    df = spark.createDataFrame(rows, f"id string, new {hooks.CHAIN}, known {hooks.CHAIN}, text string").withColumn("reason", F.lit("clash"))
+
+    def model(records):
+        out = []
+        for r in records:
+            if r["text"] == "raise":
+                raise RuntimeError
+            chain = json.loads(r["known"])[::-1] + json.loads(r["new"]) if r["text"] == "say" else []
+            out.append(json.dumps({"is_correction": True, "reason": "r", "new_causal_chain": chain}) if r["text"] != "what" else "sorry")
+        return out
+
+    got = {r.id: (None if r.chain is None else [c.cause for c in r.chain], r.correction, r.reason) for r in hooks.review(df, model).collect()}
+    assert got == {"both": (["b", "a  x"], True, "r"), "again": (["b", "a"], True, "r"), "nothing new": ([], False, ""), "nothing known": (["a"], False, ""), "null": (None, False, ""), "empty chain": (["a"], True, "r"), "fails": (["a"], False, ""), "no json": (["a"], False, "")}
+    ruled = {r.id: (r.correction, r.reason) for r in hooks.review(df).collect()}
+    assert set(ruled.values()) == {(False, "")} and len(ruled) == len(rows)
 
 
 def test_state_document_round_trip(spark, tmp_path):
