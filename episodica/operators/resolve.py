@@ -40,16 +40,17 @@ def duplicate_ratio(pairs: DataFrame, nodes: DataFrame, event: str) -> DataFrame
     return n.join(d, event, "left").select(event, "node_count", F.round(ratio, 4).alias("duplicate_ratio"))
 
 
-def corrections(nodes: DataFrame, block: list[str], least_signal: float = 0.3) -> DataFrame:
-    """(id, corrected_by): each node (turn, evidence, signal, corrected) that a newer one corrects, with the first of these.
+def corrections(nodes: DataFrame, block: list[str]) -> DataFrame:
+    """(id, corrected_by): each node (turn, told, evidence, corrected, keys.turns) that another one corrects, with the first of these.
 
-    The newer has a signal, shares no turn with the older, is unlike in direction, and its evidence is 1.3 times as strong;
-    a node that is corrected already stays as it is."""
+    The other is said in a turn with a signal of a conflict (told: the last such turn) after the node was first said (turn),
+    shares no turn with it, is unlike in direction, and its evidence is 1.3 times as strong; a node that is corrected already
+    stays as it is."""
 
     def where(p: Pair) -> np.ndarray:
-        return _earlier(p) & (p.a("signal") >= least_signal) & (p.a("turn") != p.b("turn")) & (p.b("corrected") == 0) & (p.a("evidence") > 1.3 * p.b("evidence")) & (p.cos < 0.5)
+        return (p.a("told") > p.b("turn")) & ~p.shared("turns") & (p.b("corrected") == 0) & (p.a("evidence") > 1.3 * p.b("evidence")) & (p.cos < 0.5)
 
-    met = meet(nodes, None, block, merge_score, where=where, numbers=(["turn", "evidence", "signal", "corrected"], []))
+    met = meet(nodes, None, block, merge_score, where=where, numbers=(["turn", "told", "evidence", "corrected"], []), keys=["turns"])
     return met.groupBy(F.col("b").alias("id")).agg(F.min_by("a", "a_ord").alias("corrected_by"))
 
 

@@ -126,6 +126,10 @@ class Pair:
         both, x, _ = self._both("t" if "t" in self.sets else "k")
         return both / np.maximum(x, 1)
 
+    def shared(self, key: str) -> np.ndarray:
+        """Whether both sides have a member of a key's sets in common."""
+        return self._both(f"key_{key}")[0] > 0
+
     @cached_property
     def key_match(self) -> np.ndarray:
         """Mean Jaccard over the classes of key entities that both sides have; 1 without any."""

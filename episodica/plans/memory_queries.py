@@ -140,10 +140,10 @@ def route_turns_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- chunks of a conversation as entity nodes ---
 
-_NODES = f"""WITH d AS (SELECT conv_id, turn, {_sql_chunks('text')}[1:18] AS a FROM conversations), c AS (SELECT conv_id, turn, unnest(range(len(a))) AS pos, unnest(a) AS whole FROM d),
-k AS (SELECT conv_id AS event_id, {_sql_class('whole', P.classes, P.other_class)} AS kind, whole[1:48] AS name, min(turn * 100 + pos) AS ord, count(*) AS frequency FROM c GROUP BY ALL),
+_NODES = f"""WITH d AS (SELECT conv_id, turn, {_sql_chunks('text')}[1:18] AS a, least(1.0, {sql_hits("lower(coalesce(text, ''))", P.conflicts)} / 2.0::DOUBLE) >= 0.3 AS told FROM conversations), c AS (SELECT conv_id, turn, told, unnest(range(len(a))) AS pos, unnest(a) AS whole FROM d),
+k AS (SELECT conv_id AS event_id, {_sql_class('whole', P.classes, P.other_class)} AS kind, whole[1:48] AS name, min(turn * 100 + pos) AS ord, count(*) AS frequency, list(DISTINCT turn) AS turns, max(CASE WHEN told THEN turn ELSE -1 END) AS told FROM c GROUP BY 1, 2, 3),
 nodes AS (SELECT *, event_id || ':' || kind || ':' || ord AS id, {sql_tokens('name')} AS k, ord // 100 AS turn FROM k), v AS ({sql_embedding('nodes', 'id', 'k')}),
-p AS (SELECT a.event_id, a.kind, a.id AS a_id, b.id AS b_id, a.ord AS a_ord, b.ord AS b_ord, a.turn AS a_turn, b.turn AS b_turn, a.name AS a_name, b.name AS b_name, a.frequency AS a_frequency, b.frequency AS b_frequency, list_distinct(a.k) AS ta, list_distinct(b.k) AS tb FROM nodes a JOIN nodes b ON a.event_id = b.event_id AND a.kind = b.kind AND a.ord < b.ord),
+p AS (SELECT a.event_id, a.kind, a.id AS a_id, b.id AS b_id, a.ord AS a_ord, b.ord AS b_ord, a.turn AS a_turn, b.turn AS b_turn, a.told AS a_told, b.told AS b_told, len(list_intersect(a.turns, b.turns)) > 0 AS together, a.name AS a_name, b.name AS b_name, a.frequency AS a_frequency, b.frequency AS b_frequency, list_distinct(a.k) AS ta, list_distinct(b.k) AS tb FROM nodes a JOIN nodes b ON a.event_id = b.event_id AND a.kind = b.kind AND a.ord < b.ord),
 cs AS (SELECT p.a_id, p.b_id, sum(x.w * y.w) AS cos FROM p JOIN v x ON x.id = p.a_id JOIN v y ON y.id = p.b_id AND x.idx = y.idx GROUP BY ALL),
 sc AS (SELECT p.*, coalesce(cos, 0) AS cos, 0.70 * greatest(coalesce(cos, 0), 0) + 0.30 * {sql_overlap('ta', 'tb')} AS score FROM p LEFT JOIN cs USING (a_id, b_id))"""
 #: Lower than for real facts: chunks of invented prose are never so alike.
@@ -151,9 +151,11 @@ MERGE = 0.35
 
 
 def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct chunks of a conversation by class: event_id, kind, name, id, ord, turn, frequency, k, t."""
-    f = extract.facts(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", P)
-    n = f.groupBy(F.col("conv_id").alias("event_id"), "kind", F.col("chunk").alias("name")).agg(F.min(F.col("turn") * 100 + F.col("pos")).alias("ord"), F.count("*").alias("frequency"))
+    """Distinct chunks of a conversation by class: event_id, kind, name, id, ord, turn, frequency, k, keys (turns: all that say it), told (the last of these with a signal of a conflict, or -1)."""
+    t = table(spark, sf_dir, "conversations").withColumn("told", X.conflict_signal(F.coalesce("text", F.lit("")), P) >= 0.3)
+    f = extract.facts(t, ["conv_id", "turn", "told"], "text", P)
+    told = F.max(F.when(F.col("told"), F.col("turn")).otherwise(-1))
+    n = f.groupBy(F.col("conv_id").alias("event_id"), "kind", F.col("chunk").alias("name")).agg(F.min(F.col("turn") * 100 + F.col("pos")).alias("ord"), F.count("*").alias("frequency"), told.alias("told"), F.struct(F.collect_set(F.col("turn").cast("string")).alias("turns")).alias("keys"))
     n = n.withColumn("id", F.concat_ws(":", "event_id", "kind", "ord")).withColumn("turn", F.floor(F.col("ord") / 100))
     return n.withColumn("k", X.tokens(F.col("name")))
 
@@ -177,20 +179,26 @@ def _sql_signal(side: str) -> str:
     return f"least(1.0, {sql_hits(f'lower({side}_name)', P.conflicts)} / 2.0::DOUBLE)"
 
 
-@query(_NODES + f", cp AS (SELECT * FROM sc WHERE {_sql_signal('b')} >= 0.3 AND a_turn <> b_turn AND cos < 0.5 AND {_sql_evidence('b')} > 1.3 * {_sql_evidence('a')}) SELECT a_id AS id, arg_min(b_id, b_ord) AS corrected_by FROM cp GROUP BY ALL")
+def _sql_corrects(new: str, old: str) -> str:
+    return f"SELECT {old}_id AS id, {new}_id AS newer, {new}_ord AS came FROM sc WHERE {new}_told > {old}_turn AND NOT together AND cos < 0.5 AND {_sql_evidence(new)} > 1.3 * {_sql_evidence(old)}"
+
+
+_CORRECTED = _NODES + f", cp AS ({_sql_corrects('b', 'a')} UNION ALL {_sql_corrects('a', 'b')}), co AS (SELECT id, arg_min(newer, came) AS newer FROM cp GROUP BY ALL)"
+
+
+@query(_CORRECTED + " SELECT id, newer AS corrected_by FROM co")
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.corrections(evident_nodes(spark, sf_dir), ["event_id", "kind"])
 
 
 def evident_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_nodes() with evidence, signal and the columns that a correction sets."""
+    """entity_nodes() with evidence and the columns that a correction sets."""
     evidence = X.evidence_weight(F.col("name"), F.col("frequency"), F.lit(0.5), (100 - F.col("turn")) * 600, PARAMS.half_life, P)
-    n = entity_nodes(spark, sf_dir).withColumn("evidence", evidence).withColumn("signal", X.conflict_signal(F.col("name"), P))
+    n = entity_nodes(spark, sf_dir).withColumn("evidence", evidence)
     return n.withColumns({"corrected": F.lit(False), "weight": F.lit(1.0), "confidence": F.lit(1.0), "correction_source": F.lit("")})
 
 
 _NEXT = "nx AS (SELECT * FROM (SELECT event_id, id AS source, lead(id) OVER (PARTITION BY event_id ORDER BY ord, id) AS target FROM nodes) WHERE target IS NOT NULL)"
-_CORRECTED = _NODES + f", cp AS (SELECT * FROM sc WHERE {_sql_signal('b')} >= 0.3 AND a_turn <> b_turn AND cos < 0.5 AND {_sql_evidence('b')} > 1.3 * {_sql_evidence('a')}), co AS (SELECT a_id AS id, arg_min(b_id, b_ord) AS newer FROM cp GROUP BY ALL)"
 
 
 @query(_CORRECTED + """ SELECT n.id, co.id IS NOT NULL AS corrected, CASE WHEN co.id IS NULL THEN 1.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN co.id IS NULL THEN 1.0 ELSE 0.1 END::DOUBLE AS confidence, coalesce(newer, '') AS correction_source FROM nodes n LEFT JOIN co USING (id)""")

@@ -192,3 +192,21 @@ def test_empty_turns(spark):
     df = spark.createDataFrame([], TURNS)
     assert folds.cluster_turns(df, CLUSTER, P).count() == 0
     assert df.select(F.count("*")).first()[0] == 0
+
+
+def test_corrections_go_by_the_turns_that_say_a_node(spark):
+    # id, ord, name, first turn, told, evidence, corrected, turns
+    rows = [
+        ("old", 1, "north gate", 1, -1, 0.3, False, ["1"]),
+        ("with", 2, "water stone", 1, -1, 0.3, False, ["1", "5"]),  # shares a turn with the new one
+        ("done", 3, "brand omega", 2, -1, 0.3, True, ["2"]),  # corrected before
+        ("strong", 4, "thing place", 2, -1, 0.8, False, ["2"]),  # not weaker by enough
+        ("alike", 5, "alpha water thing brands", 2, -1, 0.3, False, ["2"]),
+        ("again", 6, "alpha water thing brand", 0, 5, 0.9, False, ["0", "5"]),  # said first of all, and once more with a signal
+        ("late", 7, "omega stones", 6, -1, 0.3, False, ["6"]),  # said after the signal
+        ("quiet", 8, "gate stone thing", 7, -1, 1.0, False, ["7"]),
+    ]
+    n = spark.createDataFrame([("e", "k", i, o, name.split() + [a + b for a, b in zip(name, name[1:])], t, told, x, done, (turns,)) for i, o, name, t, told, x, done, turns in rows], "event_id string, kind string, id string, ord long, k array<string>, turn long, told long, evidence double, corrected boolean, keys struct<turns: array<string>>")
+    assert {tuple(r) for r in resolve.corrections(n, ["event_id", "kind"]).collect()} == {("old", "again")}
+    other = n.withColumn("kind", F.when(F.col("id") == "again", "other").otherwise("k"))
+    assert resolve.corrections(other, ["event_id", "kind"]).count() == 0
