@@ -25,3 +25,7 @@ def ask(spark, far_apart):
 
 def test_coarse_edges_join_events_of_a_topic(ask):
     assert [(r.memory_id, r.source, r.target) for r in ask("coarse_edges")] == [("kitchen", "0", "40")]
+
+
+def test_similar_events_of_a_topic(ask):
+    assert [(r.memory_id, r.source, r.target) for r in ask("similar_events")] == [("kitchen", "0", "40")]
