@@ -29,3 +29,7 @@ def test_coarse_edges_join_events_of_a_topic(ask):
 
 def test_similar_events_of_a_topic(ask):
     assert [(r.memory_id, r.source, r.target) for r in ask("similar_events")] == [("kitchen", "0", "40")]
+
+
+def test_paths_lead_to_events_of_a_topic(ask):
+    assert {(r.query_id, r.event, r.depth) for r in ask("bounded_paths")} == {("kitchen", "0", 0), ("kitchen", "40", 1), ("harbour", "1", 0)}
