@@ -33,3 +33,9 @@ def test_similar_events_of_a_topic(ask):
 
 def test_paths_lead_to_events_of_a_topic(ask):
     assert {(r.query_id, r.event, r.depth) for r in ask("bounded_paths")} == {("kitchen", "0", 0), ("kitchen", "40", 1), ("harbour", "1", 0)}
+
+
+def test_the_export_has_edges_of_a_topic(ask):
+    got = ask("coarse_export")
+    assert [r.id for r in got if r.part == "edge"] == ["0>40"]
+    assert {(r.memory_id, r.id) for r in got if r.part == "vertex"} == {("kitchen", "0"), ("kitchen", "40"), ("harbour", "1")}
