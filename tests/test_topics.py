@@ -39,3 +39,7 @@ def test_the_export_has_edges_of_a_topic(ask):
     got = ask("coarse_export")
     assert [r.id for r in got if r.part == "edge"] == ["0>40"]
     assert {(r.memory_id, r.id) for r in got if r.part == "vertex"} == {("kitchen", "0"), ("kitchen", "40"), ("harbour", "1")}
+
+
+def test_entries_come_from_all_events_of_a_topic(ask):
+    assert {r.node_id.split(":")[1] for r in ask("graph_entries") if r.query_id == "40:0"} == {"0", "40"}
