@@ -43,3 +43,7 @@ def test_the_export_has_edges_of_a_topic(ask):
 
 def test_entries_come_from_all_events_of_a_topic(ask):
     assert {r.node_id.split(":")[1] for r in ask("graph_entries") if r.query_id == "40:0"} == {"0", "40"}
+
+
+def test_local_results_come_from_an_anchor_far_away(ask):
+    assert {r.node_id.split(":")[1] for r in ask("local_results") if r.query_id == "40:0"} == {"0"}
