@@ -47,3 +47,7 @@ def test_entries_come_from_all_events_of_a_topic(ask):
 
 def test_local_results_come_from_an_anchor_far_away(ask):
     assert {r.node_id.split(":")[1] for r in ask("local_results") if r.query_id == "40:0"} == {"0"}
+
+
+def test_context_comes_from_an_anchor_far_away(ask):
+    assert ["sprinkler" in r.lines for r in ask("context_lines") if r.query_id == "40:0"] == [True]
