@@ -51,3 +51,7 @@ def test_local_results_come_from_an_anchor_far_away(ask):
 
 def test_context_comes_from_an_anchor_far_away(ask):
     assert ["sprinkler" in r.lines for r in ask("context_lines") if r.query_id == "40:0"] == [True]
+
+
+def test_the_trace_names_an_anchor_far_away(ask):
+    assert {r.query_id: (r.n_events, r.anchor) for r in ask("retrieval_trace")}["40:0"] == (2, "0")
