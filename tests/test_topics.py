@@ -55,3 +55,9 @@ def test_context_comes_from_an_anchor_far_away(ask):
 
 def test_the_trace_names_an_anchor_far_away(ask):
     assert {r.query_id: (r.n_events, r.anchor) for r in ask("retrieval_trace")}["40:0"] == (2, "0")
+
+
+def test_nodes_are_reinforced_by_questions_far_away(ask):
+    access = {r.id: r.access for r in ask("reinforced_nodes")}
+    assert max(n for i, n in access.items() if i.split(":")[1] == "0") == 3
+    assert all(n == 0 for i, n in access.items() if i.split(":")[1] == "40")
