@@ -61,3 +61,7 @@ def test_nodes_are_reinforced_by_questions_far_away(ask):
     access = {r.id: r.access for r in ask("reinforced_nodes")}
     assert max(n for i, n in access.items() if i.split(":")[1] == "0") == 3
     assert all(n == 0 for i, n in access.items() if i.split(":")[1] == "40")
+
+
+def test_events_are_reinforced_by_questions_far_away(ask):
+    assert {r.event_id: r.recent for r in ask("reinforced_events")} == {"0": "40:0|0:98|0:0", "1": "1:0", "40": ""}
