@@ -65,3 +65,7 @@ def test_nodes_are_reinforced_by_questions_far_away(ask):
 
 def test_events_are_reinforced_by_questions_far_away(ask):
     assert {r.event_id: r.recent for r in ask("reinforced_events")} == {"0": "40:0|0:98|0:0", "1": "1:0", "40": ""}
+
+
+def test_snapshots_count_a_topic(ask):
+    assert {r.memory_id: (r.turns, r.events, r.coarse_edges) for r in ask("snapshot_counts")} == {"kitchen": (3, 2, 1), "harbour": (1, 1, 0)}
