@@ -69,3 +69,7 @@ def test_events_are_reinforced_by_questions_far_away(ask):
 
 def test_snapshots_count_a_topic(ask):
     assert {r.memory_id: (r.turns, r.events, r.coarse_edges) for r in ask("snapshot_counts")} == {"kitchen": (3, 2, 1), "harbour": (1, 1, 0)}
+
+
+def test_the_report_counts_edges_of_a_topic(ask):
+    assert [(r.turns, r.events, r.coarse_edges) for r in ask("batch_report")] == [(4, 3, 1)]
