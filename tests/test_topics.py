@@ -73,3 +73,7 @@ def test_snapshots_count_a_topic(ask):
 
 def test_the_report_counts_edges_of_a_topic(ask):
     assert [(r.turns, r.events, r.coarse_edges) for r in ask("batch_report")] == [(4, 3, 1)]
+
+
+def test_events_of_a_topic_are_planned_to_merge(ask):
+    assert [tuple(r) for r in ask("merge_plan")] == [("kitchen", "0", "40")]
