@@ -77,3 +77,7 @@ def test_the_report_counts_edges_of_a_topic(ask):
 
 def test_events_of_a_topic_are_planned_to_merge(ask):
     assert [tuple(r) for r in ask("merge_plan")] == [("kitchen", "0", "40")]
+
+
+def test_events_of_a_topic_merge(ask):
+    assert {r.event_id: r.turns for r in ask("merged_events")} == {"0": 3, "1": 1}
