@@ -52,7 +52,7 @@ def one_topic(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["context_lines", "local_results", "reinforced_events", "reinforced_nodes", "retrieval_trace"])
+@pytest.mark.parametrize("name", ["context_lines", "local_results", "reinforced_events", "reinforced_nodes", "retrieval_trace", "graph_entries"])
 def test_no_row_is_copied_for_the_search(name, spark, one_topic, monkeypatch):
     """Each node was copied for 512 questions, and each question for 512 nodes."""
     dealt, kind = [], type(spark.range(0))
