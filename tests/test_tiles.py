@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.operators import folds, retrieve, tiles
+from episodica.operators import edges, folds, retrieve, tiles
 from episodica.plans.catalog import QUERIES
+from episodica.profile import ASCII
 
 WORDS = "smoke alarm kitchen valve pump hose ladder roof door stair cellar engine water foam".split()
 
@@ -67,3 +68,32 @@ def test_no_row_is_copied_for_the_search(name, spark, one_topic, monkeypatch):
     (search,) = dealt
     sides = {r.side: (r.n, r.different) for r in search.groupBy("side").agg(F.count("*").alias("n"), F.countDistinct("id").alias("different")).collect()}
     assert sides[0] == (TALKS, TALKS) and sides[1][0] == sides[1][1] > 512
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """1,300 events of one memory, in more than one batch and tile, and three of another."""
+    rows = [("m" if i < 1300 else "n", str(i), i, folds.token_list(t), sorted(set(folds.token_list(t))), float(i * 40)) for i, t in enumerate(_texts(1303, 7, 4))]
+    e = spark.createDataFrame(rows, "memory_id string, id string, ord long, k array<string>, t array<string>, updated_at double")
+    return e.withColumn("keys", F.struct(*[F.array().cast("array<string>").alias(k) for k in ASCII.key_patterns]))
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """1,300 events of one memory, in more than one batch and tile, and three of another."""
+    rows = [("m" if i < 1300 else "n", str(i), i, folds.token_list(t), sorted(set(folds.token_list(t))), float(i * 40)) for i, t in enumerate(_texts(1303, 7, 4))]
+    e = spark.createDataFrame(rows, "memory_id string, id string, ord long, k array<string>, t array<string>, updated_at double")
+    return e.withColumn("keys", F.struct(*[F.array().cast("array<string>").alias(k) for k in ASCII.key_patterns]))
+
+
+def test_merges_are_those_of_a_walk_over_all_pairs(alike):
+    want = folds.merge_plan(edges.similar(alike, ASCII, 0.75))
+    got = edges.merges(alike, ASCII, 0.75).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+    assert 300 < len(got) < 1280  # some go, and more stay than one batch has leaders for
+
+
+@pytest.mark.parametrize("name", ["merge_plan"])
+def test_merges_list_no_pairs(name, spark, one_topic, monkeypatch):
+    monkeypatch.setattr(edges, "similar", None)
+    assert QUERIES[name](spark, one_topic).count()
