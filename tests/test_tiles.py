@@ -93,7 +93,7 @@ def test_merges_are_those_of_a_walk_over_all_pairs(alike):
     assert 300 < len(got) < 1280  # some go, and more stay than one batch has leaders for
 
 
-@pytest.mark.parametrize("name", ["merge_plan"])
+@pytest.mark.parametrize("name", ["merge_plan", "merged_events"])
 def test_merges_list_no_pairs(name, spark, one_topic, monkeypatch):
     monkeypatch.setattr(edges, "similar", None)
     assert QUERIES[name](spark, one_topic).count()
