@@ -97,3 +97,21 @@ def test_merges_are_those_of_a_walk_over_all_pairs(alike):
 def test_merges_list_no_pairs(name, spark, one_topic, monkeypatch):
     monkeypatch.setattr(edges, "similar", None)
     assert QUERIES[name](spark, one_topic).count()
+
+
+@pytest.mark.parametrize("name", ["merge_plan", "merged_events"])
+def test_merges_list_no_pairs(name, spark, one_topic, monkeypatch):
+    monkeypatch.setattr(edges, "similar", None)
+    assert QUERIES[name](spark, one_topic).count()
+
+
+def test_paths_need_few_edges(spark, alike):
+    """Two memories: in one the first hop finds enough, in the other both hops count."""
+    first = [("m", "5"), ("n", "1301")]
+    starts = spark.createDataFrame(first, "query_id string, event string")
+    relevance = alike.select(F.col("memory_id").alias("query_id"), F.col("id").alias("event"), F.lit(0.5).alias("semantic"), F.lit(0.9).alias("survival"), F.lit(0.5).alias("combined"))
+    every = edges.coarse(alike, 21600.0, ASCII)
+    links = edges.reached_links(starts, alike, relevance, 21600.0)
+    assert links.where("source <> '5' AND target <> '5'").where("source < '1300' AND length(source) < 4").count() == 0
+    got, want = (sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in edges.bounded_paths(starts, e, relevance).collect()) for e in (links, every))
+    assert got == want and len(got) > 7
