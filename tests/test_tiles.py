@@ -115,3 +115,17 @@ def test_paths_need_few_edges(spark, alike):
     assert links.where("source <> '5' AND target <> '5'").where("source < '1300' AND length(source) < 4").count() == 0
     got, want = (sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in edges.bounded_paths(starts, e, relevance).collect()) for e in (links, every))
     assert got == want and len(got) > 7
+
+
+@pytest.mark.parametrize("name", ["coarse_edges"])
+def test_pairs_are_neither_sorted_nor_made_of_copied_tokens(name, spark, one_topic, monkeypatch):
+    dealt, kind = [], type(spark.range(0))
+
+    def watched(df, *args, f=kind.mapInArrow, **kwargs):
+        dealt.append(df)
+        return f(df, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    plan = QUERIES[name](spark, one_topic)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan[: plan.index("MapInArrow")]
+    assert dealt[-1].schema["k"].dataType.typeName() == "binary"
