@@ -117,7 +117,7 @@ def test_paths_need_few_edges(spark, alike):
     assert got == want and len(got) > 7
 
 
-@pytest.mark.parametrize("name", ["coarse_edges"])
+@pytest.mark.parametrize("name", ["coarse_edges", "coarse_export"])
 def test_pairs_are_neither_sorted_nor_made_of_copied_tokens(name, spark, one_topic, monkeypatch):
     dealt, kind = [], type(spark.range(0))
 
