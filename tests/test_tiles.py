@@ -129,3 +129,20 @@ def test_pairs_are_neither_sorted_nor_made_of_copied_tokens(name, spark, one_top
     plan = QUERIES[name](spark, one_topic)._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" not in plan[: plan.index("MapInArrow")]
     assert dealt[-1].schema["k"].dataType.typeName() == "binary"
+
+
+@pytest.mark.parametrize("least", [0.24, 0.6])
+def test_coarse_pairs_are_counted_without_rows(alike, least):
+    want = {r.memory_id: r["count"] for r in edges.coarse(alike, 21600.0, ASCII, least).groupBy("memory_id").count().collect()}
+    assert {r.memory_id: r.n for r in edges.count_coarse(alike, 21600.0, least).collect()} == want
+
+
+@pytest.mark.parametrize("least", [0.24, 0.6])
+def test_coarse_pairs_are_counted_without_rows(alike, least):
+    want = {r.memory_id: r["count"] for r in edges.coarse(alike, 21600.0, ASCII, least).groupBy("memory_id").count().collect()}
+    assert {r.memory_id: r.n for r in edges.count_coarse(alike, 21600.0, least).collect()} == want
+
+
+def test_the_report_makes_no_pairs(spark, one_topic, monkeypatch):
+    monkeypatch.setattr(edges, "coarse", None)
+    assert QUERIES["batch_report"](spark, one_topic).collect()[0].coarse_edges == TALKS * (TALKS - 1) // 2
