@@ -151,11 +151,9 @@ def replay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def replayed_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes after a replay, with how often they came up and what they weigh for that."""
-    t = memory_turns(spark, sf_dir)
-    said = live.prepared(t, P, "question")
-    nodes = live.nodes(live.updates(said, PARAMS, P), AS_OF, PARAMS, P)
-    n = nodes.join(replay.accesses(replay.replay(said, PARAMS, P)).select(F.col("node").alias("id"), "access"), "id", "left").withColumn("access", F.coalesce("access", F.lit(0)))
-    weight = V.active_weight(F.lit(AS_OF) - F.col("last_seen"), F.col("access"), F.col("importance"), F.lit(1.0), F.col("pinned"), PARAMS)
+    n = replay.touched(live.prepared(memory_turns(spark, sf_dir), P, "question"), PARAMS, P)
+    pinned = (F.col("graph") != "temporal") & X.any_of(F.col("name"), P.pins)
+    weight = V.active_weight(F.lit(AS_OF) - F.col("last_seen"), F.col("access"), F.col("importance"), F.lit(1.0), pinned, PARAMS)
     return n.select("memory_id", "event_id", "graph", "id", "access", F.round(weight, 4).alias("weight"))
 
 
