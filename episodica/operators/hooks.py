@@ -64,11 +64,8 @@ _RELATION = "array<struct<source_text: string, target_text: string, relation_lab
 def extract_json(raw: Column, profile: Profile, most: int = 8) -> Column:
     """An upstream model's JSON as struct(entities, temporal, causal, relations): known classes only, normalised, without blanks, 8 a class at most; temporal and causal as lists, also where the JSON has one object; relations with both ends."""
     kinds = ", ".join(f"`{k}`: array<string>" for k in profile.entity_types)
-    clean_raw = X.strip_fence(raw)
-    parsed = F.from_json(clean_raw, f"struct<entities: struct<{kinds}>, relations: {_RELATION}>")
 
-    def listed(name: str, kind: str) -> Column:
-        text = F.get_json_object(clean_raw, f"$.{name}")
+    def listed(text: Column, kind: str) -> Column:
         one = F.from_json(text, kind)
         some = F.when(F.substring(F.trim(text), 1, 1) == "[", F.from_json(text, f"array<{kind}>")).when(F.substring(F.trim(text), 1, 1) == "{", F.array(one))
         return F.coalesce(some, F.from_json(F.lit("[]"), f"array<{kind}>"))
@@ -76,24 +73,38 @@ def extract_json(raw: Column, profile: Profile, most: int = 8) -> Column:
     def clean(values: Column) -> Column:
         return F.slice(F.filter(F.transform(F.coalesce(values, X.none()), X.normalize), lambda v: v != ""), 1, most)
 
-    entities = F.flatten(F.array(*[_typed(clean(parsed["entities"][k]), k) for k in profile.entity_types]))
-    relations = _relations(parsed["relations"], profile.location_label)
-    return F.struct(entities.alias("entities"), listed("temporal", _STAGE).alias("temporal"), listed("causal", _CAUSE).alias("causal"), relations.alias("relations"))
+    def read(s: Column) -> Column:
+        entities = F.flatten(F.array(*[_typed(clean(s["parsed"]["entities"][k]), k) for k in profile.entity_types]))
+        relations = _relations(s["parsed"]["relations"], profile.location_label)
+        return F.struct(entities.alias("entities"), listed(s["temporal"], _STAGE).alias("temporal"), listed(s["causal"], _CAUSE).alias("causal"), relations.alias("relations"))
+
+    def parse(text: Column) -> Column:
+        parsed = F.from_json(text, f"struct<entities: struct<{kinds}>, relations: {_RELATION}>")
+        return _once(F.struct(parsed.alias("parsed"), *[F.get_json_object(text, f"$.{n}").alias(n) for n in ("temporal", "causal")]), read)
+
+    return _once(X.strip_fence(raw), parse)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: an expression that is used in several places is computed in each, and a parser for each field that is read."""
+    return F.transform(F.array(value), use)[0]
 
 
 def legacy_extract_json(raw: Column, profile: Profile, most: int = 8) -> Column:
     """The one-graph form, struct(candidates, relations): a candidate of a class that isn't known is one of the last class, and labels are upper case, RELATES_TO where there is none."""
-    parsed = F.from_json(X.strip_fence(raw), f"struct<candidates: map<string, array<string>>, relations: {_RELATION}>")
     known = [k for k, _ in profile.legacy_classes]
-    entries = F.map_entries(F.coalesce(parsed["candidates"], F.from_json(F.lit("{}"), "map<string, array<string>>")))
 
     def typed(e: Column) -> Column:
         kind = F.when(e["key"].isin(*known), e["key"]).otherwise(profile.legacy_other_class)
         names = F.slice(F.filter(F.transform(F.coalesce(e["value"], X.none()), X.normalize), lambda v: v != ""), 1, most)
         return F.transform(names, lambda n: F.struct(kind.alias("kind"), n.alias("name")))
 
-    relations = F.transform(_relations(parsed["relations"], "RELATES_TO"), lambda r: F.struct(r["source_text"].alias("source_text"), r["target_text"].alias("target_text"), F.upper(X.normalize(r["relation_label"])).alias("relation_label")))
-    return F.struct(F.flatten(F.transform(entries, typed)).alias("candidates"), relations.alias("relations"))
+    def read(parsed: Column) -> Column:
+        entries = F.map_entries(F.coalesce(parsed["candidates"], F.from_json(F.lit("{}"), "map<string, array<string>>")))
+        relations = F.transform(_relations(parsed["relations"], "RELATES_TO"), lambda r: F.struct(r["source_text"].alias("source_text"), r["target_text"].alias("target_text"), F.upper(X.normalize(r["relation_label"])).alias("relation_label")))
+        return F.struct(F.flatten(F.transform(entries, typed)).alias("candidates"), relations.alias("relations"))
+
+    return _once(F.from_json(X.strip_fence(raw), f"struct<candidates: map<string, array<string>>, relations: {_RELATION}>"), read)
 
 
 def _relations(found: Column, label: str) -> Column:
